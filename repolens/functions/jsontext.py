@@ -6,6 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def parse_json(text: Column) -> Column:
+    """The variant of a JSON text, null for anything else.
+
+    ``try_parse_json`` stops after the first value and ignores what follows. Inside brackets nothing
+    may follow: put into an array, the text must be its only element, and put into an object its
+    value.
+    """
+    elements = F.try_variant_get(
+        F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>"
+    )
+    alone = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    return F.when((F.size(elements) == 1) & alone, F.get(elements, F.lit(0)))
+
+
 def _last(text: Column, char: str) -> Column:
     """1-based place of the last occurrence, 0 if there is none."""
     back = F.instr(F.reverse(text), char)
@@ -34,16 +48,16 @@ def extract_last_json(text: Column, balanced: bool = False) -> Column:
                 ),
             ),
         )
-        good = F.filter(tails, lambda t: t.startswith("{") & F.try_parse_json(t).isNotNull())
+        good = F.filter(tails, lambda t: t.startswith("{") & parse_json(t).isNotNull())
         return F.coalesce(F.get(good, F.lit(0)), F.lit("{}"))
     start = _last(text, "{")
     piece = F.when((start > 0) & (end > start), F.substring(text, start, end - start + 1))
-    return F.when(F.try_parse_json(piece).isNotNull(), piece).otherwise(F.lit("{}"))
+    return F.when(parse_json(piece).isNotNull(), piece).otherwise(F.lit("{}"))
 
 
 def safe_root_cause(text: Column) -> Column:
     """Root-cause JSON; other text is wrapped as ``{"root_cause": text}``; blank gives null."""
-    parsed = F.try_parse_json(text)
+    parsed = parse_json(text)
     wrapped = F.to_json(F.struct(text.alias("root_cause")))
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(None).cast("string")).otherwise(
         F.coalesce(F.to_json(parsed), wrapped)
@@ -52,7 +66,7 @@ def safe_root_cause(text: Column) -> Column:
 
 def root_cause_text(text: Column) -> Column:
     """The ``root_cause`` field of the JSON, or the text itself if it is no JSON object."""
-    parsed = F.try_parse_json(text)
+    parsed = parse_json(text)
     is_object = F.schema_of_variant(parsed).startswith("OBJECT")
     return (
         F.when(F.coalesce(text, F.lit("")) == "", F.lit(""))
@@ -64,5 +78,5 @@ def root_cause_text(text: Column) -> Column:
 def plan_steps(text: Column) -> Column:
     """The ``steps`` of a fix plan, an empty list if there are none."""
     return F.coalesce(
-        F.try_variant_get(F.try_parse_json(text), "$.steps", "array<string>"), F.array().cast("array<string>")
+        F.try_variant_get(parse_json(text), "$.steps", "array<string>"), F.array().cast("array<string>")
     )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,28 +128,29 @@ def file_edits(issues: DataFrame) -> DataFrame:
     )
 
 
-def rewrite(text: Column) -> Column:
-    """Apply the edits of a row of :func:`file_edits` to a text.
+def rewrite(rows: DataFrame) -> DataFrame:
+    """Adds ``after``: ``before`` with the edits of a row of :func:`file_edits` applied.
 
     Line rewrites come first and keep the number of lines, so their line numbers stay valid; then
     the well-known secret names where a secret's line has no assignment, then whole-text rewrites.
+    Each step is a column of its own, as it uses the one before it several times.
     """
-    lines = X.split_lines_keep_ends(text)
-
-    def edit(line, i):
-        for kind, fix in _LINE_FIXES:
-            line = F.when(F.array_contains(F.col(f"{kind}_lines"), i + 1), fix(line)).otherwise(line)
-        return line
-
-    any_line = F.lit(False)
-    for kind, _ in _LINE_FIXES:
-        any_line = any_line | (F.size(f"{kind}_lines") > 0)
-    result = F.when(any_line, F.array_join(F.transform(lines, edit), "")).otherwise(text)
-    no_assignment = F.exists("secret_lines", lambda n: _secret_name(F.coalesce(F.get(lines, n - 1), F.lit(""))) == "")
-    result = F.when(no_assignment, fix_named_secrets(result)).otherwise(result)
+    wanted = {kind: F.size(f"{kind}_lines") > 0 for kind, _ in _LINE_FIXES}
+    any_line = reduce(or_, wanted.values())
+    rows = rows.withColumn("_lines", F.when(any_line, X.split_lines_keep_ends(F.col("before"))))
+    named = F.exists("secret_lines", lambda n: _secret_name(F.coalesce(F.get("_lines", n - 1), F.lit(""))) == "")
+    rows = rows.withColumn("_named", named)
+    for kind, fix in _LINE_FIXES:
+        edited = F.transform(
+            "_lines", lambda line, i: F.when(F.array_contains(f"{kind}_lines", i + 1), fix(line)).otherwise(line)
+        )
+        rows = rows.withColumn("_lines", F.when(wanted[kind], edited).otherwise(F.col("_lines")))
+    after = F.col("after")
+    rows = rows.withColumn("after", F.when(any_line, F.array_join("_lines", "")).otherwise(F.col("before")))
+    rows = rows.withColumn("after", F.when(F.col("_named"), fix_named_secrets(after)).otherwise(after))
     for kind, fix in _TEXT_FIXES:
-        result = F.when(F.col(f"fix_{kind}"), fix(result)).otherwise(result)
-    return result
+        rows = rows.withColumn("after", F.when(F.col(f"fix_{kind}"), fix(after)).otherwise(after))
+    return rows
 
 
 def apply_codemods(issues: DataFrame, files: DataFrame, content: str = "content") -> DataFrame:
@@ -159,8 +162,9 @@ def apply_codemods(issues: DataFrame, files: DataFrame, content: str = "content"
     edits = file_edits(issues)
     edits = broadcast_if_small(edits, 100_000) or edits
     rows = files.select("repo_id", "path", F.col(content).alias("before")).join(edits, ["repo_id", "path"])
-    rows = rows.withColumn("after", rewrite(F.col("before")))
-    return rows.select("repo_id", "path", "before", "after", (F.col("before") != F.col("after")).alias("applied"))
+    return rewrite(rows).select(
+        "repo_id", "path", "before", "after", (F.col("before") != F.col("after")).alias("applied")
+    )
 
 
 def stub_tests(issues: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repolens import constants as K
+from repolens.functions.jsontext import parse_json
 from repolens.functions.labels import half_up
 from repolens.functions.text import lookup_map
 
@@ -123,7 +124,7 @@ def analysis_status(repos: DataFrame, issues: DataFrame) -> DataFrame:
         .join(_count_map(category_counts(issues), "category"), "repo_id", "left")
         .select(
             "repo_id", "status",
-            F.try_variant_get(F.try_parse_json(F.col("scan_metadata")), "$.analysis_job_id", "string").alias("job_id"),
+            F.try_variant_get(parse_json(F.col("scan_metadata")), "$.analysis_job_id", "string").alias("job_id"),
             F.coalesce("total_issues", F.lit(0)).alias("total_issues"),
             F.col("health_score_before").alias("health_score"),
             F.coalesce("severity_counts", zeros).alias("severity_counts"),

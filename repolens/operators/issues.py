@@ -105,7 +105,7 @@ def issue_view(issues: DataFrame) -> DataFrame:
     """Issues as shown: JSON texts made safe, time as text."""
     return issues.withColumns({
         "root_cause": J.safe_root_cause(F.col("root_cause")),
-        "fix_plan": F.to_json(F.try_parse_json(F.col("fix_plan"))),
+        "fix_plan": F.to_json(J.parse_json(F.col("fix_plan"))),
         "detected_at": L.iso_utc(F.col("detected_at")),
     })
 
@@ -134,7 +134,7 @@ def run_view(runs: DataFrame) -> DataFrame:
 
 def repo_view(repos: DataFrame) -> DataFrame:
     """Repositories with the fields of their scan metadata, which show only once a stack is known."""
-    meta = F.when(F.coalesce("tech_stack", F.lit("")) != "", F.try_parse_json(F.col("scan_metadata")))
+    meta = F.when(F.coalesce("tech_stack", F.lit("")) != "", J.parse_json(F.col("scan_metadata")))
     field = lambda name, type_: F.try_variant_get(meta, f"$.{name}", type_).alias(name)
     return repos.select(
         "repo_id", "name", "status", "source_url", "tech_stack", "test_framework",
@@ -145,7 +145,7 @@ def repo_view(repos: DataFrame) -> DataFrame:
 
 def metadata_with_job(repos: DataFrame, job_id: Column) -> DataFrame:
     """Scan metadata with ``analysis_job_id`` set; metadata that is no JSON object is replaced."""
-    fields = F.try_variant_get(F.try_parse_json(F.col("scan_metadata")), "$", "map<string,variant>")
+    fields = F.try_variant_get(J.parse_json(F.col("scan_metadata")), "$", "map<string,variant>")
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     texts = F.transform_values(F.map_filter(fields, lambda k, v: k != "analysis_job_id"), lambda k, v: F.to_json(v))
     pairs = F.map_entries(F.map_concat(F.coalesce(texts, empty), F.create_map(F.lit("analysis_job_id"), F.to_json(F.to_variant_object(F.array(job_id))))))

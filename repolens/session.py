@@ -44,7 +44,7 @@ def spread_small_input(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     if size < cores * split:
         return df.repartition(cores)

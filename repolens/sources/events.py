@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from repolens import schemas
+from repolens.functions.jsontext import parse_json
 
 
 def parse_events(messages: DataFrame) -> DataFrame:
     """Events from text messages in ``value``; text that is no JSON becomes a ``raw`` event."""
-    is_json = F.try_parse_json(F.col("value")).isNotNull()
+    is_json = parse_json(F.col("value")).isNotNull()
     rows = messages.select(F.from_json("value", schemas.EVENTS).alias("e"), is_json.alias("ok"), "value").select(
         "e.*", "ok", "value"
     )
