@@ -1,3 +1,10 @@
 """Spark-native analytics over corpora of source-code repositories."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions sent to executors carry their code with them, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _count(log: Column, word: str) -> Column:
-    return F.coalesce(F.regexp_extract(log, rf"(\d+) {word}", 1).try_cast("int"), F.lit(0))
+    digits = F.regexp_extract(log, rf"(\d+) {word}", 1)
+    return F.when(digits == "", F.lit(0)).otherwise(F.coalesce(digits.try_cast("int"), F.lit(0)))
 
 
 def parse_test_log(log: Column) -> Column:

@@ -61,5 +61,5 @@ def parse_fix_prompt(prompt: Column) -> Column:
     return F.struct(
         F.when(file != "", strip(file)).alias("file"),
         F.lower(strip(field("Issue", ".+"))).alias("issue"),
-        line.try_cast("int").alias("line"),
+        F.when(line != "", line.try_cast("int")).alias("line"),
     )

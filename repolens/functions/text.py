@@ -17,6 +17,11 @@ def java_pattern(pattern: str) -> str:
     return "(?U)(?u)" + pattern.replace(r"\s", r"[\s\x1c-\x1f]")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def decode_source(content: Column) -> Column:
     """Bytes to text: invalid UTF-8 becomes U+FFFD, every newline becomes ``\\n``."""
     return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\r\n?", "\n")
@@ -30,7 +35,9 @@ def strip(col: Column) -> Column:
 def split_lines(text: Column) -> Column:
     """Python's ``str.splitlines``: Unicode line breaks, no empty line after the last break."""
     parts = F.split(text, f"\r\n|[{K.LINE_BREAKS}]")
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(
+        parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p)
+    )
 
 
 def split_lines_keep_ends(text: Column) -> Column:
@@ -58,8 +65,8 @@ def redact_js(line: Column) -> Column:
 
 def is_js_code(line: Column) -> Column:
     """False for blank lines and for lines that start with ``//`` or ``*``."""
-    s = strip(line)
-    return (s != "") & ~s.startswith("//") & ~s.startswith("*")
+    start = F.ltrim(line, F.lit(K.BLANKS))
+    return ~F.substring(start, 1, 2).isin("", "//") & (F.substring(start, 1, 1) != "*")
 
 
 def replace_first(text: Column, old: str, new: str) -> Column:

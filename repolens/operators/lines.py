@@ -18,7 +18,11 @@ MAX_RULES = 1000
 
 @dataclass(frozen=True)
 class LineRule:
-    """A pattern over single lines; ``language`` is ``py`` or ``js``."""
+    """A pattern over single lines; ``language`` is ``py`` or ``js``.
+
+    ``first`` may list the characters a match can start with: other places are passed over without
+    trying the pattern.
+    """
 
     language: str
     pattern: str
@@ -29,6 +33,12 @@ class LineRule:
     suggested_fix: str
     confidence: float
     redact: bool = False
+    first: str = ""
+
+    @property
+    def java(self) -> str:
+        guard = f"(?=[{self.first}])" if self.first else ""
+        return guard + X.java_pattern(self.pattern)
 
 
 # The line rules, in the order in which their findings are produced.
@@ -37,12 +47,12 @@ LINE_RULES = [
         "py", K.PY_SECRET_PATTERN, "security", "critical", "Hardcoded Secret Detected",
         "A password, API key, or secret token appears to be hardcoded in source code. "
         "This exposes credentials to anyone with repository access.",
-        "Move secrets to environment variables or a secrets manager.", 0.88, redact=True,
+        "Move secrets to environment variables or a secrets manager.", 0.88, redact=True, first="pPsS\u017faAcCdD",
     ),
     LineRule(
         "js", K.JS_SECRET_PATTERN, "security", "critical", "Hardcoded Secret Detected",
         "A secret/credential appears to be hardcoded in source.",
-        "Move to environment variables (process.env.SECRET).", 0.85, redact=True,
+        "Move to environment variables (process.env.SECRET).", 0.85, redact=True, first="pPsS\u017faAcC",
     ),
     LineRule(
         "js", K.JS_EVAL_PATTERN, "security", "high", "Dangerous eval() Usage",
@@ -78,7 +88,7 @@ def source_lines(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def _hit(rule: LineRule, number: int, line: Column) -> Column:
-    matched = (F.col("language") == rule.language) & line.rlike(X.java_pattern(rule.pattern))
+    matched = (F.col("language") == rule.language) & line.rlike(rule.java)
     evidence = X.strip(line)
     if rule.redact:
         evidence = X.redact_py(evidence) if rule.language == "py" else X.redact_js(evidence)
@@ -109,11 +119,12 @@ def apply_line_rules(files: DataFrame, rules: list[LineRule] = LINE_RULES, conte
     which no rule of its language matches anywhere is left out before it is cut into lines.
     """
     text, line, language = F.col(content), F.col("line"), F.col("language")
-    matches = [(language == r.language) & text.rlike(X.java_pattern(r.pattern)) for r in rules]
+    matches = [(language == r.language) & text.rlike(r.java) for r in rules]
     candidates = files.withColumn("language", rule_language(F.col("path"))).where(reduce(or_, matches))
     lines = candidates.select(
         "repo_id", "path", "language", F.posexplode(X.split_lines(text)).alias("at", "line")
     ).where((language == "py") | X.is_js_code(line))
+    lines = lines.where(reduce(or_, [(language == r.language) & line.rlike(r.java) for r in rules]))
     hits = F.filter(F.array(*[_hit(r, n, line) for n, r in enumerate(rules, 1)]), lambda h: h.isNotNull())
     found = lines.select("repo_id", "path", "language", (F.col("at") + 1).alias("line_number"), F.explode(hits).alias("h"))
     is_py, number, rule = language == "py", F.col("line_number"), F.col("h.rule")

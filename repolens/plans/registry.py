@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from repolens.plans import derived
+from repolens.session import spread_small_input
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_SPREAD: dict[tuple[str, str, str], DataFrame] = {}
 
 
 class Tables:
@@ -23,6 +25,21 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return derived.load(self.spark, self.sf_dir, getattr(derived, name.upper()))
 
+    @property
+    def corpus(self) -> DataFrame:
+        return self._spread("CORPUS")
+
+    @property
+    def corpus_after(self) -> DataFrame:
+        return self._spread("CORPUS_AFTER")
+
+    def _spread(self, name: str) -> DataFrame:
+        """A derived corpus; one small enough to be spread is spread once per session."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _SPREAD:
+            _SPREAD[key] = spread_small_input(derived.load(self.spark, self.sf_dir, getattr(derived, name)))
+        return _SPREAD[key]
+
 
 def expand(sql: str) -> str:
     """Put the statement of a derived table in the place of its name in braces, such as {CORPUS}."""

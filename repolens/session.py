@@ -36,21 +36,6 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame | No
     return None
 
 
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Spread an input of less than one split per core over all cores.
-
-    Parsing is CPU-bound, so one small file must not become one task. Larger inputs already have
-    more splits than cores and are left as they are: file contents are not shuffled.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    if size < cores * split:
-        return df.repartition(cores)
-    return df
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a result several branches read to the shared checkpoint folder, and read it back.
 
@@ -59,3 +44,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Cut an input of less than one split per core, kept in few files, into one file per core.
+
+    Work on contents is CPU-bound, so one small file must not become one task. Larger inputs have
+    more splits than cores and are left as they are: their contents are not moved.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if size < cores * split and len(df.inputFiles()) < cores:
+        return materialize(df.repartition(cores), "spread")
+    return df
