@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from repolens.functions.text import strip
+
 
 def parse_json(text: Column) -> Column:
     """The variant of a JSON text, null for anything else.
@@ -77,6 +79,5 @@ def root_cause_text(text: Column) -> Column:
 
 def plan_steps(text: Column) -> Column:
     """The ``steps`` of a fix plan, an empty list if there are none."""
-    return F.coalesce(
-        F.try_variant_get(parse_json(text), "$.steps", "array<string>"), F.array().cast("array<string>")
-    )
+    steps = F.when(strip(text).startswith("{"), F.try_variant_get(parse_json(text), "$.steps", "array<string>"))
+    return F.coalesce(steps, F.array().cast("array<string>"))

@@ -39,10 +39,10 @@ def build_fix_prompt(
         F.lit("\nSuggested fix: "), _or(suggested_fix, "none"),
         F.lit("\n"),
     )
-    plan = numbered(F.coalesce(steps, F.array().cast("array<string>")))
+    plan = F.when(F.size(steps) > 0, F.concat(F.lit("\nFix plan:\n"), numbered(steps), F.lit("\n")))
     return F.concat(
         head,
-        F.when(plan != "", F.concat(F.lit("\nFix plan:\n"), plan, F.lit("\n"))).otherwise(F.lit("")),
+        F.coalesce(plan, F.lit("")),
         F.lit(
             "\nApply the minimal correct fix. Do not modify any other files. "
             "Do not add extra comments or whitespace changes."

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from repolens import constants as K
 from repolens.functions import text as X
-from repolens.session import broadcast_if_small
+from repolens.operators.skew import skew_join
+from repolens.session import materialize
 
 # Rewrite patterns.
 SECRET_LINE = r"^(\s*\w+)\s*=\s*[\"'].+[\"']"
@@ -96,11 +97,11 @@ def issue_targets(issues: DataFrame, files: DataFrame, content: str = "content")
     """``(issue_id, repo_id, file_path, line_number, target)``: issues with the line they point at.
 
     An issue whose file is missing is left out; ``target`` is null outside the file. Issues of a file
-    are gathered as line numbers before they meet its content, so it is not repeated per issue.
+    are gathered as line numbers before they meet its content, so it is not repeated per issue; the
+    numbers are written first, so Spark knows their size and broadcasts them if they are few.
     """
     wanted = issues.select("repo_id", "file_path", F.coalesce("line_number", F.lit(0)).alias("n")).distinct()
-    per_file = wanted.groupBy("repo_id", "file_path").agg(F.collect_list("n").alias("ns"))
-    per_file = broadcast_if_small(per_file) or per_file
+    per_file = materialize(wanted.groupBy("repo_id", "file_path").agg(F.collect_list("n").alias("ns")), "pointers")
     source = files.select("repo_id", F.col("path").alias("file_path"), F.col(content).alias("_text"))
     lines = X.split_lines(F.col("_text"))
     found = source.join(per_file, ["repo_id", "file_path"]).withColumn("_lines", lines).select(
@@ -108,7 +109,7 @@ def issue_targets(issues: DataFrame, files: DataFrame, content: str = "content")
         F.explode(F.transform("ns", lambda n: F.struct(n.alias("n"), F.when(n > 0, F.get("_lines", n - 1)).alias("target")))).alias("t"),
     ).select("repo_id", "file_path", F.col("t.n").alias("_n"), F.col("t.target").alias("target"))
     rows = issues.select("issue_id", "repo_id", "file_path", "line_number", F.coalesce("line_number", F.lit(0)).alias("_n"))
-    return rows.join(found, ["repo_id", "file_path", "_n"]).drop("_n")
+    return skew_join(rows, found, ["repo_id", "file_path", "_n"], "inner", spread_by=["issue_id"]).drop("_n")
 
 
 def file_edits(issues: DataFrame) -> DataFrame:
@@ -157,10 +158,10 @@ def apply_codemods(issues: DataFrame, files: DataFrame, content: str = "content"
     """``(repo_id, path, before, after, applied)`` of every file some issue asks to rewrite.
 
     All issues of a file are applied together; ``applied`` tells if the text changed. Edits are one
-    narrow row per file and are broadcast up to a checked size, so contents are not shuffled then.
+    narrow row per file and are written first, so Spark knows their size: below its broadcast
+    threshold contents are not shuffled.
     """
-    edits = file_edits(issues)
-    edits = broadcast_if_small(edits, 100_000) or edits
+    edits = materialize(file_edits(issues), "edits")
     rows = files.select("repo_id", "path", F.col(content).alias("before")).join(edits, ["repo_id", "path"])
     return rewrite(rows).select(
         "repo_id", "path", "before", "after", (F.col("before") != F.col("after")).alias("applied")

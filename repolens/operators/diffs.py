@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repolens.session import broadcast_if_small
+from repolens.session import materialize
 
 
 def changed_files(before: DataFrame, after: DataFrame, content: str = "content") -> DataFrame:
@@ -51,13 +51,12 @@ def unified_diff(changed: DataFrame) -> DataFrame:
 def snapshot_diff(before: DataFrame, after: DataFrame, content: str = "content") -> DataFrame:
     """Diffs of the changed files of two snapshots; contents of other files are not shuffled.
 
-    The keys of the changed files are broadcast up to a checked size, so both snapshots are cut down
-    to the changed files where they are read.
+    The keys of the changed files are written first, so Spark knows their size: below its broadcast
+    threshold both snapshots are cut down to the changed files where they are read.
     """
-    keys = changed_files(before, after, content)
-    side = broadcast_if_small(keys) or keys
+    keys = materialize(changed_files(before, after, content).select("repo_id", "path"), "changed")
     of = lambda df, name: df.select("repo_id", "path", F.col(content).alias(name)).join(
-        side.select("repo_id", "path"), ["repo_id", "path"], "left_semi"
+        keys, ["repo_id", "path"], "left_semi"
     )
     return unified_diff(of(before, "before").join(of(after, "after"), ["repo_id", "path"], "full_outer"))
 

@@ -11,6 +11,7 @@ from repolens.operators import factrules
 from repolens.operators.enrich import root_cause
 from repolens.operators.facts import extract_facts
 from repolens.operators.lines import LINE_RULES, LineRule, apply_line_rules
+from repolens.operators.skew import skew_join
 from repolens.session import broadcast_if_small, materialize, spread_small_input
 
 KEY = ["repo_id", "file_path", "line_number", "title"]
@@ -31,7 +32,11 @@ def dispatch(rows: DataFrame, stacks: DataFrame, path: str = "path") -> DataFram
     findings, which are narrow: the outcome is the same.
     """
     side = stacks.select("repo_id", F.coalesce("tech_stack", F.lit("unknown")).alias("_stack"))
-    joined = rows.join(broadcast_if_small(side) or side, "repo_id", "left")
+    small = broadcast_if_small(side)
+    if small is not None:
+        joined = rows.join(small, "repo_id", "left")
+    else:
+        joined = skew_join(rows, side, ["repo_id"], "left", spread_by=[path])
     return joined.where(stack_allows(F.col(path), F.coalesce("_stack", F.lit("unknown")))).drop("_stack")
 
 

@@ -30,7 +30,8 @@ def skew_join(
     hot = sizes.select(*on, F.ceil(F.col("count") / hot_rows).cast("int").alias("_salts"))
     if hot.isEmpty():
         return big.join(small, on, how)
-    hot = broadcast_if_small(hot) or hot
+    small_hot = broadcast_if_small(hot)
+    hot = hot if small_hot is None else small_hot
     row = F.xxhash64(*spread_by)
     no_key = reduce(or_, [F.col(k).isNull() for k in on])
     salt = F.when(no_key, F.pmod(row, F.lit(1 << 16))).otherwise(F.pmod(row, F.coalesce("_salts", F.lit(1))))

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens import constants as K
-from repolens.session import broadcast_if_small
+from repolens.operators.skew import skew_join
+from repolens.session import materialize
 
 MEMBERS = (
     "archive STRING, ord BIGINT, member STRING, size BIGINT, content BINARY, crc_ok BOOLEAN, "
@@ -114,12 +115,11 @@ def archive_verdicts(members: DataFrame) -> DataFrame:
 def admit_archives(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members of the admitted archives, and ``(archive, reason)`` of the refused ones.
 
-    The refused ones are few and narrow; up to the checked size they are broadcast, so that member
-    contents are not shuffled.
+    The refused ones are few and narrow and are written first, so that Spark broadcasts them when it
+    can and member contents are not shuffled.
     """
-    refused = archive_verdicts(members).where(F.col("reason").isNotNull())
-    names = refused.select("archive")
-    return members.join(broadcast_if_small(names) or names, "archive", "left_anti"), refused
+    refused = materialize(archive_verdicts(members).where(F.col("reason").isNotNull()), "refused")
+    return members.join(refused.select("archive"), "archive", "left_anti"), refused
 
 
 def _roots(members: DataFrame) -> DataFrame:
@@ -138,21 +138,20 @@ def _below_root(member, root):
 
 def unwrap_root(members: DataFrame) -> DataFrame:
     """Adds ``path``: the member name without the single top-level directory of its archive."""
-    joined = members.join(_roots(members), "archive", "left")
+    joined = skew_join(members, _roots(members), ["archive"], "left", spread_by=["member"])
     return joined.withColumn("path", _below_root(F.col("member"), F.col("root"))).drop("root")
 
 
 def archive_files(members: DataFrame) -> DataFrame:
     """``files`` rows of the admitted archives; the archive's name is the repository.
 
-    Verdict and root are one narrow row per archive. Up to the checked size that table is broadcast
-    and the member contents stay where they are; beyond it, the join shuffles them. ``members``
-    should be a written table, as it is read three times.
+    Verdict and root are one narrow row per archive, written first: while that table is below the
+    broadcast threshold the member contents stay where they are. ``members`` should be a written
+    table, as it is read three times.
     """
     outcome = archive_verdicts(members).where(F.col("reason").isNull()).join(_roots(members), "archive", "left")
-    outcome = broadcast_if_small(outcome) or outcome
+    outcome = materialize(outcome, "archives")
     return (
-        members.where(F.col("content").isNotNull())
-        .join(outcome, "archive")
+        skew_join(members.where(F.col("content").isNotNull()), outcome, ["archive"], "inner", spread_by=["member"])
         .select(F.col("archive").alias("repo_id"), _below_root(F.col("member"), F.col("root")).alias("path"), "size", "content")
     )

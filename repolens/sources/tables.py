@@ -23,12 +23,17 @@ def append_table(df: DataFrame, path: str, schema: T.StructType, buckets: int =
     rows.repartition("repo_bucket", salt).write.mode("append").partitionBy("repo_bucket").parquet(path)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType, repo_id: str | None = None) -> DataFrame:
-    """A table with its declared columns; with ``repo_id`` only that bucket's folder is read."""
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType, repo_id: str | None = None, buckets: int = BUCKETS
+) -> DataFrame:
+    """A table with its declared columns; with ``repo_id`` only that bucket's folder is read.
+
+    ``buckets`` is the number the table was written with.
+    """
     full = T.StructType([*schema.fields, T.StructField("repo_bucket", T.IntegerType())])
     rows = spark.read.schema(full).parquet(path)
     if repo_id is not None:
-        bucket = F.pmod(F.xxhash64(F.lit(repo_id)), F.lit(BUCKETS)).cast("int")
+        bucket = F.pmod(F.xxhash64(F.lit(repo_id)), F.lit(buckets)).cast("int")
         rows = rows.where((F.col("repo_bucket") == bucket) & (F.col("repo_id") == repo_id))
     return rows.drop("repo_bucket")
 
