@@ -146,11 +146,10 @@ def repo_view(repos: DataFrame) -> DataFrame:
 def metadata_with_job(repos: DataFrame, job_id: Column) -> DataFrame:
     """Scan metadata with ``analysis_job_id`` set; metadata that is no JSON object is replaced."""
     fields = F.try_variant_get(J.parse_json(F.col("scan_metadata")), "$", "map<string,variant>")
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    texts = F.transform_values(F.map_filter(fields, lambda k, v: k != "analysis_job_id"), lambda k, v: F.to_json(v))
-    pairs = F.map_entries(F.map_concat(F.coalesce(texts, empty), F.create_map(F.lit("analysis_job_id"), F.to_json(F.to_variant_object(F.array(job_id))))))
-    body = F.array_join(F.transform(pairs, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ",")
-    return repos.withColumn("scan_metadata", F.concat(F.lit("{"), body, F.lit("}")))
+    kept = F.map_filter(fields, lambda name, _: name != "analysis_job_id")
+    id_ = F.try_variant_get(F.to_variant_object(F.struct(job_id.alias("id"))), "$.id", "variant")
+    own = F.create_map(F.lit("analysis_job_id"), id_)
+    return repos.withColumn("scan_metadata", F.to_json(F.coalesce(F.map_concat(kept, own), own)))
 
 
 def issue_labels(issues: DataFrame) -> DataFrame:

@@ -41,61 +41,71 @@ def skew_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def _split_hot(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary keys, and rows of keys with more than ``hot_rows`` rows (None if none)."""
-    hot = df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys)
-    if hot.isEmpty():
-        return df, None
-    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+def _split_hot(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """Rows of ordinary keys, rows of keys with more than ``hot_rows`` rows (None if there are none),
+    and the number of ranges of about ``hot_rows`` rows the latter make."""
+    sizes = df.groupBy(*keys).count().where(F.col("count") > hot_rows)
+    total = sizes.agg(F.sum("count")).first()[0]
+    if total is None:
+        return df, None, 0
+    hot = sizes.select(*keys)
+    ranges = max(-(-total // hot_rows), df.sparkSession.sparkContext.defaultParallelism)
+    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi"), ranges
 
 
 def _order_names(order: list) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
+def _ranged_ordinal(hot: DataFrame, ranges: int, keys: list[str], order: list[Column], out: str) -> DataFrame:
+    """Positions from sorted ranges: the rows of earlier ranges, plus the position in the range."""
+    ensure_checkpoint_dir(hot.sparkSession)
+    ranged = hot.repartitionByRange(ranges, *[F.col(k) for k in keys], *order)
+    ranged = ranged.withColumn("_range", F.spark_partition_id()).checkpoint()
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    in_range = Window.partitionBy(*keys, "_range").orderBy(*order)
+    return (
+        ranged.withColumn("_place", F.row_number().over(in_range))
+        .join(starts, [*keys, "_range"])
+        .withColumn(out, (F.col("_start") + F.col("_place")).cast("bigint"))
+        .drop("_range", "_start", "_place")
+        .select(*hot.columns, out)
+    )
+
+
 def ordinal(
     df: DataFrame, keys: list[str], order: list, out: str = "ordinal", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """1-based position of each row within its key; ``order`` must be total, keys not null.
 
-    Ordinary keys use a window. A hot key is cut into sorted ranges over many tasks: a position is
-    the number of rows in earlier ranges plus the position within the range. The ranges are
+    Ordinary keys use a window. A hot key is cut into sorted ranges over many tasks. The ranges are
     checkpointed, so counts and positions see the same cut even when an executor is lost.
     """
     order = _order_names(order)
-    plain, hot = _split_hot(df, keys, hot_rows)
+    plain, hot, ranges = _split_hot(df, keys, hot_rows)
     within = Window.partitionBy(*keys).orderBy(*order)
     done = plain.withColumn(out, F.row_number().over(within).cast("bigint"))
-    if hot is None:
-        return done
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = hot.repartitionByRange(*[F.col(k) for k in keys], *order)
-    ranged = ranged.withColumn("_range", F.spark_partition_id()).checkpoint()
-    sizes = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
-    in_range = Window.partitionBy(*keys, "_range").orderBy(*order)
-    placed = (
-        ranged.withColumn("_at", F.row_number().over(in_range))
-        .join(starts, [*keys, "_range"])
-        .withColumn(out, (F.col("_start") + F.col("_at")).cast("bigint"))
-        .drop("_range", "_start", "_at")
-    )
-    return done.unionByName(placed)
+    return done if hot is None else done.unionByName(_ranged_ordinal(hot, ranges, keys, order, out))
 
 
 def previous(
     df: DataFrame, keys: list[str], order: list, value: str, out: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """``value`` of the row before, within the key; null on the first row."""
-    plain, hot = _split_hot(df, keys, hot_rows)
-    within = Window.partitionBy(*keys).orderBy(*_order_names(order))
+    """``value`` of the row before, within the key; null on the first row.
+
+    Rows of a hot key get positions first and then meet the row one position ahead.
+    """
+    order = _order_names(order)
+    plain, hot, ranges = _split_hot(df, keys, hot_rows)
+    within = Window.partitionBy(*keys).orderBy(*order)
     done = plain.withColumn(out, F.lag(value).over(within))
     if hot is None:
         return done
-    placed = ordinal(hot, keys, order, "_at", hot_rows=0)
+    placed = _ranged_ordinal(hot, ranges, keys, order, "_at")
     ahead = placed.select(*keys, (F.col("_at") + 1).alias("_at"), F.col(value).alias(out))
-    return done.unionByName(placed.join(ahead, [*keys, "_at"], "left").drop("_at").select(*df.columns, out))
+    return done.unionByName(placed.join(ahead, [*keys, "_at"], "left").select(*df.columns, out))
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list, n: int, spread_by: list[str], salts: int = SALTS):
