@@ -26,24 +26,30 @@ def parse_runs(logs: DataFrame) -> DataFrame:
     return rows
 
 
-_RUN = ["passed", "tests_total", "tests_passed", "tests_failed", "ran_at"]
-
-
 def latest_run(runs: DataFrame) -> DataFrame:
-    """The newest run of each repository; equal times go by id."""
-    newest = F.max(F.struct("ran_at", "run_id", *[c for c in _RUN if c != "ran_at"]))
-    return runs.groupBy("repo_id").agg(newest.alias("r")).select("repo_id", "r.run_id", *[f"r.{c}" for c in _RUN])
+    """The newest run of each repository with all its columns; equal times go by id.
+
+    Works on raw logs too: picking the run first saves parsing the logs of all others.
+    """
+    rest = [c for c in runs.columns if c not in ("repo_id", "ran_at", "run_id")]
+    newest = F.max(F.struct("ran_at", "run_id", *rest))
+    return runs.groupBy("repo_id").agg(newest.alias("r")).select("repo_id", "r.*")
 
 
 def first_vs_latest_run(runs: DataFrame) -> DataFrame:
-    """Oldest and newest run; the oldest is null if there is only one run."""
-    at = F.struct("ran_at", "run_id", "tests_passed", "tests_failed")
+    """Oldest and newest run; the oldest is null if there is only one run. Takes raw logs."""
+    at = F.struct("ran_at", "run_id", "output")
     ends = runs.groupBy("repo_id").agg(F.min(at).alias("f"), F.max(at).alias("l"), F.count("*").alias("runs"))
-    first = lambda c: F.when(F.col("runs") > 1, F.col(f"f.{c}")).alias(f"first_{c}")
-    last = lambda c: F.col(f"l.{c}").alias(f"latest_{c}")
+    several = F.col("runs") > 1
+    ends = ends.withColumn("first", parse_test_log(F.col("f.output"))).withColumn("last", parse_test_log(F.col("l.output")))
     return ends.select(
-        "repo_id", "runs", *[first(c) for c in ("run_id", "tests_passed", "tests_failed")],
-        *[last(c) for c in ("run_id", "tests_passed", "tests_failed")],
+        "repo_id", "runs",
+        F.when(several, F.col("f.run_id")).alias("first_run_id"),
+        F.when(several, F.col("first.passed")).alias("first_tests_passed"),
+        F.when(several, F.col("first.failed")).alias("first_tests_failed"),
+        F.col("l.run_id").alias("latest_run_id"),
+        F.col("last.passed").alias("latest_tests_passed"),
+        F.col("last.failed").alias("latest_tests_failed"),
     )
 
 

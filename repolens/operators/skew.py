@@ -1,4 +1,9 @@
-"""Row numbers, previous rows and joins that hold when one key has a large share of all rows."""
+"""Row numbers, previous rows and joins that hold when one key has a large share of all rows.
+
+Keys with many rows are found first by a frequent-items sketch: one pass over the key columns, no
+shuffle, at most a thousand entries on the driver whatever the size of the data. A key the sketch misses
+has less than a thousandth of all rows and is left to sorting with spill.
+"""
 
 from __future__ import annotations
 
@@ -8,52 +13,69 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolens.session import broadcast_if_small, ensure_checkpoint_dir
+from repolens.session import ensure_checkpoint_dir
 
 HOT_ROWS = 2_000_000
-SALTS = 16
+SKETCH_KEYS = 1000
+SKETCH_SIZE = 65_536
+
+
+def _hash(keys: list[str]) -> Column:
+    return F.xxhash64(*keys)
+
+
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> dict[int, int]:
+    """Hash of each key with more than about ``hot_rows`` rows, and its number of rows."""
+    sketch = F.expr(f"approx_top_k(h, {SKETCH_KEYS}, {SKETCH_SIZE})")
+    top = df.select(_hash(keys).alias("h")).agg(sketch.alias("top")).first().top
+    return {r.item: r["count"] for r in top or [] if r["count"] > hot_rows}
+
+
+def _cuts(keys: list[str], hot: dict[int, int], hot_rows: int) -> Column:
+    """Into how many parts the rows of a key are cut: a power of two, 1 for ordinary keys."""
+    by_cuts: dict[int, list[int]] = {}
+    for hash_, rows in hot.items():
+        by_cuts.setdefault(1 << (rows // hot_rows).bit_length(), []).append(hash_)
+    choice = F.lit(1)
+    for cuts, hashes in by_cuts.items():
+        choice = F.when(_hash(keys).isin(hashes), F.lit(cuts)).otherwise(choice)
+    return choice
 
 
 def skew_join(
     big: DataFrame, small: DataFrame, on: list[str], how: str, spread_by: list[str], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Equi join in which a key with more than ``hot_rows`` rows in ``big`` is cut over many tasks.
+    """Equi join in which the rows of a hot key of ``big`` are cut over many tasks.
 
-    Keys are counted first, with partial counts per task. Only rows of hot keys get a salt, and only
-    their partners in ``small`` (few rows per key) are repeated. Rows without a key, which meet
-    nobody, are spread too. ``how`` is inner, left, left_semi or left_anti, so that no row of
-    ``small`` can come out unmatched.
+    Only rows of hot keys get a salt, and only their partners in ``small`` (few rows per key) are
+    repeated. Rows without a key, which meet nobody, are spread too. ``how`` is inner, left,
+    left_semi or left_anti, so that no row of ``small`` can come out unmatched.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"not a join that can be salted: {how}")
-    sizes = big.groupBy(*on).count().where(F.col("count") > hot_rows)
-    hot = sizes.select(*on, F.ceil(F.col("count") / hot_rows).cast("int").alias("_salts"))
-    if hot.isEmpty():
+    hot = hot_keys(big, on, hot_rows)
+    if not hot:
         return big.join(small, on, how)
-    small_hot = broadcast_if_small(hot)
-    hot = hot if small_hot is None else small_hot
-    row = F.xxhash64(*spread_by)
+    cuts, row = _cuts(on, hot, hot_rows), F.xxhash64(*spread_by)
     no_key = reduce(or_, [F.col(k).isNull() for k in on])
-    salt = F.when(no_key, F.pmod(row, F.lit(1 << 16))).otherwise(F.pmod(row, F.coalesce("_salts", F.lit(1))))
-    left = big.join(hot, on, "left").withColumn("_salt", salt.cast("int")).drop("_salts")
-    last = F.coalesce("_salts", F.lit(1)) - 1
-    right = small.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_salts")
+    salt = F.when(no_key, F.pmod(row, F.lit(1 << 16))).otherwise(F.pmod(row, cuts))
+    left = big.withColumn("_salt", salt.cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), cuts - 1)))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
 def _split_hot(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None, int]:
-    """Rows of ordinary keys, rows of keys with more than ``hot_rows`` rows (None if there are none),
-    and the number of ranges of about ``hot_rows`` rows the latter make."""
-    sizes = df.groupBy(*keys).count().where(F.col("count") > hot_rows)
-    total = sizes.agg(F.sum("count")).first()[0]
-    if total is None:
+    """Rows of ordinary keys, rows of hot keys (None if there are none), and the number of ranges of
+    about ``hot_rows`` rows the latter make."""
+    hot = hot_keys(df, keys, hot_rows)
+    if not hot:
         return df, None, 0
-    hot = sizes.select(*keys)
-    ranges = max(-(-total // hot_rows), df.sparkSession.sparkContext.defaultParallelism)
-    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi"), ranges
+    is_hot = _hash(keys).isin(list(hot))
+    ranges = max(-(-sum(hot.values()) // hot_rows), df.sparkSession.sparkContext.defaultParallelism)
+    return df.where(~is_hot), df.where(is_hot), ranges
 
 
-def _order_names(order: list) -> list[Column]:
+def _columns(order: list) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
@@ -83,7 +105,7 @@ def ordinal(
     Ordinary keys use a window. A hot key is cut into sorted ranges over many tasks. The ranges are
     checkpointed, so counts and positions see the same cut even when an executor is lost.
     """
-    order = _order_names(order)
+    order = _columns(order)
     plain, hot, ranges = _split_hot(df, keys, hot_rows)
     within = Window.partitionBy(*keys).orderBy(*order)
     done = plain.withColumn(out, F.row_number().over(within).cast("bigint"))
@@ -97,7 +119,7 @@ def previous(
 
     Rows of a hot key get positions first and then meet the row one position ahead.
     """
-    order = _order_names(order)
+    order = _columns(order)
     plain, hot, ranges = _split_hot(df, keys, hot_rows)
     within = Window.partitionBy(*keys).orderBy(*order)
     done = plain.withColumn(out, F.lag(value).over(within))
@@ -108,9 +130,9 @@ def previous(
     return done.unionByName(placed.join(ahead, [*keys, "_at"], "left").select(*df.columns, out))
 
 
-def first_rows(df: DataFrame, keys: list[str], order: list, n: int, spread_by: list[str], salts: int = SALTS):
+def first_rows(df: DataFrame, keys: list[str], order: list, n: int, spread_by: list[str], salts: int = 16) -> DataFrame:
     """The first ``n`` rows of each key: first within each salt, then among those."""
-    order = _order_names(order)
+    order = _columns(order)
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     local = Window.partitionBy(*keys, "_salt").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)

@@ -19,9 +19,12 @@ def report_core(repos: DataFrame, issues: DataFrame, jobs: DataFrame, runs: Data
     """One flat row per repository.
 
     Issues, jobs and runs are grouped by repository first, each to one row, so the joins neither fan
-    out nor meet a key twice. ``runs`` must have their counts.
+    out nor meet a key twice. ``runs`` may be raw logs; then only the newest one is parsed.
     """
-    run = R.latest_run(runs).select(
+    run = R.latest_run(runs)
+    if "tests_total" not in run.columns:
+        run = R.parse_runs(run)
+    run = run.select(
         "repo_id", F.col("passed").alias("tests_ok"), "tests_total", "tests_passed", "tests_failed",
         F.col("ran_at").alias("tests_ran_at"),
     )

@@ -329,7 +329,7 @@ _LATEST = f"(SELECT * FROM {_LOG} l QUALIFY row_number() OVER (PARTITION BY repo
 SELECT repo_id, run_id, p + f > 0 AND f = 0 AS passed, p + f AS tests_total, p AS tests_passed, f AS tests_failed, strftime(ran_at, '%Y-%m-%dT%H:%M:%S') AS ran_at FROM {_LATEST} l
 """)
 def latest_test_run(t: Tables) -> DataFrame:
-    return R.latest_run(R.parse_runs(t.runs)).withColumn("ran_at", L.iso_utc(F.col("ran_at")))
+    return R.parse_runs(R.latest_run(t.runs.drop("job_id"))).drop("output").withColumn("ran_at", L.iso_utc(F.col("ran_at")))
 
 
 @query(f"""
@@ -339,7 +339,7 @@ SELECT repo_id, runs, CASE WHEN runs > 1 THEN fr.run_id ELSE '-' END AS first_ru
   LATERAL (SELECT a[2] AS run_id, a[3] AS p, a[4] AS f) fr, LATERAL (SELECT b[2] AS run_id, b[3] AS p, b[4] AS f) lr
 """)
 def first_vs_latest_run(t: Tables) -> DataFrame:
-    rows = R.first_vs_latest_run(R.parse_runs(t.runs))
+    rows = R.first_vs_latest_run(t.runs)
     return rows.fillna("-", ["first_run_id"]).fillna(-1, ["first_tests_passed", "first_tests_failed"])
 
 
@@ -354,7 +354,7 @@ FROM {{REPOS}} r JOIN {_DELTA} d ON d.repo_id = r.repo_id LEFT JOIN {_SUMMARY} s
 
 @query(f"SELECT * FROM {_CORE} c")
 def report_core(t: Tables) -> DataFrame:
-    rows = RP.report_core(t.repos, t.issues, t.jobs, R.parse_runs(t.runs)).drop("tests_ok")
+    rows = RP.report_core(t.repos, t.issues, t.jobs, t.runs).drop("tests_ok")
     rows = rows.withColumn("tests_ran_at", L.iso_utc(F.col("tests_ran_at")))
     return rows.fillna(-1, ["tests_total", "tests_passed", "tests_failed"]).fillna("-", ["tests_ran_at"])
 
@@ -367,7 +367,7 @@ LEFT JOIN {_PREVIEW} p ON p.repo_id = c.repo_id LEFT JOIN (SELECT repo_id, count
   string_agg(issue_id, ' ' ORDER BY detected_at, issue_id) FILTER (WHERE status = 'fixed') AS fixed_ids FROM {{ISSUES}} i GROUP BY repo_id) x ON x.repo_id = c.repo_id
 """)
 def repo_report(t: Tables) -> DataFrame:
-    rows = RP.repo_report(t.repos, t.issues, t.jobs, R.parse_runs(t.runs))
+    rows = RP.repo_report(t.repos, t.issues, t.jobs, t.runs)
     ids = lambda name: F.array_join(F.transform(f"{name}_issue_list", lambda x: x["id"]), " ").alias(f"{name}_ids")
     return rows.select(
         "repo_id", "page", "health.after", "issues.total", "fixes.total_jobs",
