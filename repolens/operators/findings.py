@@ -12,7 +12,7 @@ from repolens.operators.enrich import root_cause
 from repolens.operators.facts import extract_facts
 from repolens.operators.lines import LINE_RULES, LineRule, apply_line_rules
 from repolens.operators.skew import skew_join
-from repolens.session import broadcast_if_small, materialize, spread_small_input
+from repolens.session import broadcast_if_small, materialize
 
 KEY = ["repo_id", "file_path", "line_number", "title"]
 
@@ -76,12 +76,13 @@ def all_findings(
 ) -> DataFrame:
     """Every finding of every rule, before deduplication.
 
-    Contents are read twice, once for the patterns and once for the syntax trees, and never
+    ``files`` should be a stored corpus (see :func:`repolens.session.spread_small_input` for one small
+    file). Contents are read twice, once for the patterns and once for the syntax trees, and never
     shuffled; what is joined afterwards are facts and findings. ``seq`` orders findings as they are
     produced: Python file checks, missing tests, scripts. With ``stacks`` only findings of languages
     analysed in their repository's stack are kept.
     """
-    facts = materialize(extract_facts(spread_small_input(python_files(files)), content), "facts")
+    facts = materialize(extract_facts(python_files(files), content), "facts")
     lines = line_findings(files, rules, content)
     if not scan_unparsed:
         lines = drop_unparsed(lines, facts)

@@ -42,6 +42,12 @@ def _cuts(keys: list[str], hot: dict[int, int], hot_rows: int) -> Column:
     return choice
 
 
+def spread(df: DataFrame, keys: list[str], spread_by: list[str], hot_rows: int = HOT_ROWS) -> Column:
+    """A number that cuts the rows of each hot key into parts of about ``hot_rows`` rows, else 0."""
+    hot = hot_keys(df, keys, hot_rows)
+    return F.pmod(F.xxhash64(*spread_by), _cuts(keys, hot, hot_rows)).cast("int")
+
+
 def skew_join(
     big: DataFrame, small: DataFrame, on: list[str], how: str, spread_by: list[str], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -130,17 +136,14 @@ def previous(
     return done.unionByName(placed.join(ahead, [*keys, "_at"], "left").select(*df.columns, out))
 
 
-def first_rows(df: DataFrame, keys: list[str], order: list, n: int, spread_by: list[str], salts: int = 16) -> DataFrame:
-    """The first ``n`` rows of each key: first within each salt, then among those."""
+def first_rows(
+    df: DataFrame, keys: list[str], order: list, n: int, spread_by: list[str], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """The first ``n`` rows of each key; those of a hot key are taken within its parts first."""
     order = _columns(order)
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    local = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    whole = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        df.withColumn("_salt", salt)
-        .withColumn("_at", F.row_number().over(local))
-        .where(F.col("_at") <= n)
-        .withColumn("_at", F.row_number().over(whole))
-        .where(F.col("_at") <= n)
-        .drop("_salt", "_at")
-    )
+    hot = hot_keys(df, keys, hot_rows)
+    place = lambda *by: F.row_number().over(Window.partitionBy(*keys, *by).orderBy(*order))
+    if hot:
+        part = F.pmod(F.xxhash64(*spread_by), _cuts(keys, hot, hot_rows))
+        df = df.withColumn("_part", part).withColumn("_at", place("_part")).where(F.col("_at") <= n).drop("_part")
+    return df.withColumn("_at", place()).where(F.col("_at") <= n).drop("_at")

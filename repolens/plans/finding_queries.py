@@ -14,14 +14,14 @@ from repolens.operators.facts import extract_facts, fact_rows
 from repolens.operators.lines import LINE_RULES
 from repolens.plans import analysis
 from repolens.plans.registry import Tables, literal, query
-from repolens.session import materialize, spread_small_input
+from repolens.session import materialize
 
 COLUMNS = ["repo_id", "file_path", "line_number", "category", "severity", "title", "evidence"]
 _EXPECTED = "SELECT repo_id, file_path, CAST(line_number AS int) AS line_number, category, severity, title, evidence FROM {EXPECTED_FINDINGS} f"
 
 
 def _facts(t: Tables) -> DataFrame:
-    return extract_facts(spread_small_input(FD.python_files(t.corpus)))
+    return extract_facts(FD.python_files(t.corpus))
 
 
 @query("SELECT repo_id, path, kind, CAST(n AS bigint) AS n FROM {EXPECTED_FACTS} f")

@@ -47,15 +47,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread_small_input(df: DataFrame) -> DataFrame:
-    """Cut an input of less than one split per core, kept in few files, into one file per core.
+    """Cut a scan of fewer splits than cores into one file per core.
 
-    Work on contents is CPU-bound, so one small file must not become one task. Larger inputs have
-    more splits than cores and are left as they are: their contents are not moved.
+    Work on contents is CPU-bound, so one small file must not become one task. A split holds at most
+    ``spark.sql.files.maxPartitionBytes``, so what is rewritten here is below that size per core;
+    larger inputs have more splits and are left as they are. ``df`` must be a scan without shuffles.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    if size < cores * split and len(df.inputFiles()) < cores:
-        return materialize(df.repartition(cores), "spread")
-    return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return materialize(df.repartition(cores), "spread") if df.rdd.getNumPartitions() < cores else df

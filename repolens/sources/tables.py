@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from repolens.operators.skew import spread
 from repolens.schemas import conform
 
 BUCKETS = 256
@@ -15,12 +16,11 @@ def append_table(df: DataFrame, path: str, schema: T.StructType, buckets: int =
     """Append rows below ``repo_bucket=…`` folders.
 
     Rows are never updated: a status change is one more row, see :mod:`repolens.operators.lifecycle`.
-    A bucket is split over several tasks by the row's own hash, so a large repository does not make
-    one large file.
+    Rows of a bucket go to one file, those of a large repository to as many as their number asks for.
     """
     rows = conform(df, schema).withColumn("repo_bucket", F.pmod(F.xxhash64("repo_id"), F.lit(buckets)).cast("int"))
-    salt = F.pmod(F.xxhash64(*schema.names[:2]), F.lit(4))
-    rows.repartition("repo_bucket", salt).write.mode("append").partitionBy("repo_bucket").parquet(path)
+    part = spread(rows, ["repo_id"], schema.names[:2])
+    rows.repartition("repo_bucket", part).write.mode("append").partitionBy("repo_bucket").parquet(path)
 
 
 def read_table(

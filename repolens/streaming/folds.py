@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,7 +88,10 @@ def job_timeouts(events: DataFrame, budget_seconds: int = K.JOB_BUDGET_SECONDS)
 
 
 class FixFold(StatefulProcessor):
-    """Stream form of :func:`fix_fold`; keeps a count and the ending, never the lines themselves."""
+    """Stream form of :func:`fix_fold`; the state is a count and the ending, never the lines.
+
+    Of the lines in a micro-batch only their places in time are held, two numbers each.
+    """
 
     OUTPUT = struct(job_id=STRING, status=STRING, lines=LONG, diff=STRING, error=STRING)
 
@@ -96,18 +100,25 @@ class FixFold(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         status, lines, diff, error = self.state.get() if self.state.exists() else ("pending", 0, None, None)
-        events = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        for e in events.itertuples():
-            if status in ("succeeded", "failed"):
-                break
-            if e.event == "output":
-                status, lines = "running", lines + 1
-            elif e.event == "fix_complete":
-                status, diff = "succeeded", e.diff
-            elif e.event == "fix_failed":
-                status, error = "failed", e.message
-        self.state.update((status, int(lines), diff, error))
-        yield pd.DataFrame([(key[0], status, int(lines), diff, error)], columns=self.OUTPUT.names)
+        if status in ("succeeded", "failed"):
+            return
+        places, end = [], None
+        for pdf in rows:
+            at = np.stack([pdf["ts"].astype("datetime64[us]").astype("int64"), pdf["seq"].astype("int64")])
+            places.append(at[:, (pdf["event"] == "output").to_numpy()])
+            for i in np.flatnonzero(pdf["event"].isin(["fix_complete", "fix_failed"])):
+                found = (*at[:, i], pdf["event"].iloc[i], pdf["diff"].iloc[i], pdf["message"].iloc[i])
+                end = found if end is None or found[:2] < end[:2] else end
+        ts, seq = np.concatenate(places, axis=1)
+        counted = len(ts) if end is None else ((ts < end[0]) | ((ts == end[0]) & (seq < end[1]))).sum()
+        lines += int(counted)
+        if end is not None:
+            status = "succeeded" if end[2] == "fix_complete" else "failed"
+            diff, error = (end[3], None) if status == "succeeded" else (None, end[4])
+        elif lines:
+            status = "running"
+        self.state.update((status, lines, diff, error))
+        yield pd.DataFrame([(key[0], status, lines, diff, error)], columns=self.OUTPUT.names)
 
     def close(self) -> None:
         pass
