@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from repolens import constants as K
 from repolens.functions import jsontext as J
 from repolens.functions import labels as L
-from repolens.operators.skew import ordinal, skew_join
+from repolens.operators.skew import hot_keys, ordinal, skew_join
 
 
 def list_issues(
@@ -72,9 +72,10 @@ def issues_sorted(issues: DataFrame, ranked: bool = False) -> DataFrame:
 
 def issue_progress(issues: DataFrame, order: list | None = None) -> DataFrame:
     """Adds ``position`` (from 1), ``total`` and ``pct``: analysing issue i of n is at 60 + i/n of 30."""
-    placed = ordinal(issues, ["repo_id"], order or ["detected_at", "issue_id"], "position")
+    hot = hot_keys(issues, ["repo_id"])
+    placed = ordinal(issues, ["repo_id"], order or ["detected_at", "issue_id"], "position", hot=hot)
     totals = issues.groupBy("repo_id").agg(F.count("*").alias("total"))
-    rows = skew_join(placed, totals, ["repo_id"], "inner", spread_by=["issue_id"])
+    rows = skew_join(placed, totals, ["repo_id"], "inner", spread_by=["issue_id"], hot=hot)
     return rows.withColumn("pct", (60 + F.floor((F.col("position") - 1) / F.col("total") * 30)).cast("int"))
 
 

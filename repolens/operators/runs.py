@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from repolens import constants as K
 from repolens.functions.logs import parse_test_log
 from repolens.functions.text import not_blank
-from repolens.operators.skew import first_rows, ordinal, skew_join
+from repolens.operators.skew import first_rows, hot_keys_of, ordinal, skew_join
 
 
 def parse_runs(logs: DataFrame) -> DataFrame:
@@ -68,8 +68,9 @@ def job_context(jobs: DataFrame, issues: DataFrame, repos: DataFrame) -> DataFra
     """Jobs with their issue and repository; a job that lacks either is left out."""
     issue = issues.select("issue_id", "title", "severity", "file_path", "line_number")
     repo = repos.select("repo_id", F.col("name").alias("repo_name"))
-    with_issue = skew_join(jobs, issue, ["issue_id"], "inner", spread_by=["job_id"])
-    return skew_join(with_issue, repo, ["repo_id"], "inner", spread_by=["job_id"])
+    hot_issues, hot_repos = hot_keys_of(jobs, ["issue_id"], ["repo_id"])
+    with_issue = skew_join(jobs, issue, ["issue_id"], "inner", spread_by=["job_id"], hot=hot_issues)
+    return skew_join(with_issue, repo, ["repo_id"], "inner", spread_by=["job_id"], hot=hot_repos)
 
 
 def job_outcome(diff: Column) -> Column:

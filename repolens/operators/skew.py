@@ -24,11 +24,17 @@ def _hash(keys: list[str]) -> Column:
     return F.xxhash64(*keys)
 
 
+def hot_keys_of(df: DataFrame, *keys: list[str], hot_rows: int = HOT_ROWS) -> list[dict[int, int]]:
+    """For each set of key columns: hash of each key with more than about ``hot_rows`` rows, and its
+    number of rows. All sets are counted in one pass."""
+    hashes = df.select(*[_hash(k).alias(f"h{i}") for i, k in enumerate(keys)])
+    sketches = [F.expr(f"approx_top_k(h{i}, {SKETCH_KEYS}, {SKETCH_SIZE})") for i in range(len(keys))]
+    tops = hashes.agg(*sketches).first()
+    return [{r.item: r["count"] for r in top or [] if r["count"] > hot_rows} for top in tops]
+
+
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> dict[int, int]:
-    """Hash of each key with more than about ``hot_rows`` rows, and its number of rows."""
-    sketch = F.expr(f"approx_top_k(h, {SKETCH_KEYS}, {SKETCH_SIZE})")
-    top = df.select(_hash(keys).alias("h")).agg(sketch.alias("top")).first().top
-    return {r.item: r["count"] for r in top or [] if r["count"] > hot_rows}
+    return hot_keys_of(df, keys, hot_rows=hot_rows)[0]
 
 
 def _cuts(keys: list[str], hot: dict[int, int], hot_rows: int) -> Column:
@@ -49,17 +55,24 @@ def spread(df: DataFrame, keys: list[str], spread_by: list[str], hot_rows: int =
 
 
 def skew_join(
-    big: DataFrame, small: DataFrame, on: list[str], how: str, spread_by: list[str], hot_rows: int = HOT_ROWS
+    big: DataFrame,
+    small: DataFrame,
+    on: list[str],
+    how: str,
+    spread_by: list[str],
+    hot_rows: int = HOT_ROWS,
+    hot: dict[int, int] | None = None,
 ) -> DataFrame:
     """Equi join in which the rows of a hot key of ``big`` are cut over many tasks.
 
     Only rows of hot keys get a salt, and only their partners in ``small`` (few rows per key) are
     repeated. Rows without a key, which meet nobody, are spread too. ``how`` is inner, left,
-    left_semi or left_anti, so that no row of ``small`` can come out unmatched.
+    left_semi or left_anti, so that no row of ``small`` can come out unmatched. ``hot`` are the hot
+    keys of ``big`` if they are known.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"not a join that can be salted: {how}")
-    hot = hot_keys(big, on, hot_rows)
+    hot = hot_keys(big, on, hot_rows) if hot is None else hot
     if not hot:
         return big.join(small, on, how)
     cuts, row = _cuts(on, hot, hot_rows), F.xxhash64(*spread_by)
@@ -70,10 +83,12 @@ def skew_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def _split_hot(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None, int]:
+def _split_hot(
+    df: DataFrame, keys: list[str], hot_rows: int, hot: dict[int, int] | None = None
+) -> tuple[DataFrame, DataFrame | None, int]:
     """Rows of ordinary keys, rows of hot keys (None if there are none), and the number of ranges of
     about ``hot_rows`` rows the latter make."""
-    hot = hot_keys(df, keys, hot_rows)
+    hot = hot_keys(df, keys, hot_rows) if hot is None else hot
     if not hot:
         return df, None, 0
     is_hot = _hash(keys).isin(list(hot))
@@ -104,7 +119,12 @@ def _ranged_ordinal(hot: DataFrame, ranges: int, keys: list[str], order: list[Co
 
 
 def ordinal(
-    df: DataFrame, keys: list[str], order: list, out: str = "ordinal", hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    keys: list[str],
+    order: list,
+    out: str = "ordinal",
+    hot_rows: int = HOT_ROWS,
+    hot: dict[int, int] | None = None,
 ) -> DataFrame:
     """1-based position of each row within its key; ``order`` must be total, keys not null.
 
@@ -112,10 +132,10 @@ def ordinal(
     checkpointed, so counts and positions see the same cut even when an executor is lost.
     """
     order = _columns(order)
-    plain, hot, ranges = _split_hot(df, keys, hot_rows)
+    plain, cut, ranges = _split_hot(df, keys, hot_rows, hot)
     within = Window.partitionBy(*keys).orderBy(*order)
     done = plain.withColumn(out, F.row_number().over(within).cast("bigint"))
-    return done if hot is None else done.unionByName(_ranged_ordinal(hot, ranges, keys, order, out))
+    return done if cut is None else done.unionByName(_ranged_ordinal(cut, ranges, keys, order, out))
 
 
 def previous(

@@ -88,7 +88,7 @@ def test_moves_of_a_hot_entity(spark, monkeypatch):
 
 
 def test_targets_of_a_hot_line(spark, monkeypatch):
-    monkeypatch.setattr(S.skew_join, "__defaults__", (5,))
+    monkeypatch.setattr(S.skew_join, "__defaults__", (5, None))
     files = spark.createDataFrame([("r", "a", "one\ntwo\n"), ("r", "b", "x")], "repo_id string, path string, content string")
     issues = spark.range(40).select(
         F.concat(F.lit("i"), "id").alias("issue_id"), F.lit("r").alias("repo_id"),
