@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from repolens.functions.text import strip
+from repolens.functions.text import java_pattern, strip
 
 
 def _or(col: Column, default: str) -> Column:
@@ -55,7 +55,7 @@ def parse_fix_prompt(prompt: Column) -> Column:
 
     ``(?d)`` keeps ``\\n`` the only line end, as ``U+0085`` may stand inside a title.
     """
-    field = lambda name, value: F.regexp_extract(prompt, rf"(?dm)^{name}:[\s\x1c-\x1f]*({value})", 1)
+    field = lambda name, value: F.regexp_extract(prompt, "(?dm)" + java_pattern(rf"^{name}:\s*({value})"), 1)
     file = field("File", ".+")
     line = field("Line", r"\d+")
     return F.struct(

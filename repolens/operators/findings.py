@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from repolens import constants as K
 from repolens.functions import paths as P
+from repolens.functions import text as X
 from repolens.operators import factrules
 from repolens.operators.enrich import root_cause
 from repolens.operators.facts import extract_facts
@@ -62,6 +64,13 @@ def drop_unparsed(findings: DataFrame, facts: DataFrame) -> DataFrame:
     return findings.join(broken, ["repo_id", "file_path"], "left_anti")
 
 
+def with_text(files: DataFrame, content: str = "content") -> DataFrame:
+    """Contents as text; bytes are decoded."""
+    if isinstance(files.schema[content].dataType, T.BinaryType):
+        return files.withColumn(content, X.decode_source(F.col(content)))
+    return files
+
+
 def python_files(files: DataFrame) -> DataFrame:
     path = F.col("path")
     return files.where(P.has_ext(path, K.PYTHON_SUFFIXES) | path.endswith(".py"))
@@ -80,8 +89,9 @@ def all_findings(
     file). Contents are read twice, once for the patterns and once for the syntax trees, and never
     shuffled; what is joined afterwards are facts and findings. ``seq`` orders findings as they are
     produced: Python file checks, missing tests, scripts. With ``stacks`` only findings of languages
-    analysed in their repository's stack are kept.
+    analysed in their repository's stack are kept. Contents may be text or bytes.
     """
+    files = with_text(files, content)
     facts = materialize(extract_facts(python_files(files), content), "facts")
     lines = line_findings(files, rules, content)
     if not scan_unparsed:

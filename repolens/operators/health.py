@@ -109,7 +109,7 @@ def job_counts(jobs: DataFrame) -> DataFrame:
 
 def _count_map(counts: DataFrame, key: str) -> DataFrame:
     """The counts of a repository as one map; keys are declared names, so it stays small."""
-    pairs = F.sort_array(F.collect_list(F.struct(key, "issues")))
+    pairs = F.sort_array(F.collect_list(F.struct(F.coalesce(key, F.lit("null")).alias(key), "issues")))
     return counts.groupBy("repo_id").agg(F.map_from_entries(pairs).alias(f"{key}_counts"))
 
 

@@ -77,7 +77,7 @@ def repo_report(
         )
     )
     by_category = H.category_counts(issues).groupBy("repo_id").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "issues")))).alias("category_breakdown")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.coalesce("category", F.lit("null")).alias("category"), "issues")))).alias("category_breakdown")
     )
     zeros = F.create_map(*[
         x for s in K.SEVERITIES

@@ -408,7 +408,7 @@ def issue_status_after_jobs(t: Tables) -> DataFrame:
 
 @query(f"""
 SELECT job_id, CAST(coalesce(arg_max(CASE WHEN event = 'done' THEN 100 ELSE pct END, seq) FILTER (WHERE event IN ('progress', 'done')), 5) AS int) AS pct,
-  coalesce(arg_max(CASE WHEN event = 'done' THEN 'Analysis complete!' ELSE message END, seq) FILTER (WHERE event IN ('progress', 'done')), 'Starting analysis...') AS message,
+  coalesce(arg_max(CASE WHEN event = 'done' THEN 'Analysis complete!' ELSE message END, seq) FILTER (WHERE event IN ('progress', 'done')), {literal(folds.START_MESSAGE)}) AS message,
   {_count_if("event = 'issue_found'")} AS issues, NOT bool_or(event IN ('done', 'error')) AS running,
   coalesce(arg_max(message, seq) FILTER (WHERE event = 'error'), '-') AS error FROM {{EVENTS}} e GROUP BY job_id
 """)

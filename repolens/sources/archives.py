@@ -34,7 +34,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def explode_archives(archives: DataFrame) -> DataFrame:
-    """One row per file in each archive; an unreadable archive gives one row with ``error``."""
+    """One row per member of each archive; an unreadable archive gives one row with ``error``, an empty
+    one a row without member."""
     names = [f.split()[0] for f in MEMBERS.split(", ")]
 
     def batch(rows):
@@ -51,6 +52,8 @@ def explode_archives(archives: DataFrame) -> DataFrame:
             return
         try:
             with zipfile.ZipFile(io.BytesIO(content)) as z:
+                if not z.infolist():
+                    yield path, 0, None, 0, None, True, length, None
                 for ord_, info in enumerate(z.infolist()):
                     if info.is_dir():
                         yield path, ord_, info.filename, 0, None, True, length, None

@@ -17,7 +17,7 @@ from repolens.schemas import LONG, STRING, TIMESTAMP, struct
 WATERMARK = "10 minutes"
 
 # State before the first event, and after the last.
-START_PCT, START_MESSAGE = 5, "Starting analysis..."
+START_PCT, START_MESSAGE = 5, "Starting analysis\u2026"
 DONE_PCT, DONE_MESSAGE = 100, "Analysis complete!"
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from repolens.operators import factrules
 from repolens.operators.facts import FILE_FACTS, extract_facts
-from repolens.operators.findings import dedup_findings, drop_unparsed, file_findings, line_findings, python_files
+from repolens.operators.findings import dedup_findings, drop_unparsed, file_findings, line_findings, python_files, with_text
 from repolens.schemas import FINDINGS, STRING, struct
 
 KEY = struct(repo_id=STRING, path=STRING)
@@ -25,7 +25,7 @@ def analyze_stream(files: DataFrame, out: str, checkpoint: str) -> DataStreamWri
     own folders, so a repeated batch leaves no rows twice."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, batch = batch.sparkSession, with_text(batch)
         folder = lambda table: f"{out}/{table}/batch={batch_id}"
         batch.select("repo_id", "path").write.mode("overwrite").parquet(folder("arrivals"))
         extract_facts(python_files(batch)).write.mode("overwrite").parquet(folder("facts"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from repolens import constants as K
 from repolens import schemas
 from repolens.functions.text import decode_source
+from repolens.plans.analysis import analyze
 from repolens.operators.profile import repo_profile, repo_size
 from repolens.sources import archives as A
 from repolens.sources import corpus as CO
@@ -148,3 +149,18 @@ def test_profile(spark):
         "tie": ("go", "go_test", 2, {"Go": 1, "Ruby": 1}), "skip": ("javascript", "jest", 0, None), "none": ("unknown", "unknown", 1, None),
         "cfg": ("python", "pytest", 1, None), "nested": ("unknown", "unknown", 2, None),
     }
+
+
+def test_trees_are_analysed_as_they_are_read(spark, tmp_path):
+    (tmp_path / "shop").mkdir()
+    (tmp_path / "shop" / "_a.py").write_bytes(b"import os\r\neval(x)\r\xff")
+    (tmp_path / "shop" / "b.js").write_bytes(b"el.innerHTML = 1\r\n")
+    rows = analyze(CO.read_repo_trees(spark, str(tmp_path))).select("file_path", "line_number", "title").collect()
+    assert sorted(map(tuple, rows)) == [("_a.py", 3, "Syntax Error"), ("b.js", 1, "Potential XSS via innerHTML")]
+
+
+def test_an_empty_archive_is_admitted(spark, tmp_path):
+    (tmp_path / "empty.zip").write_bytes(zipped({}))
+    members = A.explode_archives(A.read_archives(spark, str(tmp_path)))
+    assert [r.reason for r in A.archive_verdicts(members).collect()] == [None]
+    assert A.archive_files(members).count() == 0

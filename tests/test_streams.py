@@ -66,7 +66,7 @@ def test_progress_of_single_jobs(spark):
             ("c", 1, "progress", 90, "x"), ("c", 2, "done", None, None)]
     df = spark.createDataFrame(rows, "job_id string, seq long, event string, pct int, message string").withColumn("ts", F.timestamp_seconds("seq"))
     got = {r.job_id: tuple(r)[1:] for r in folds.progress_fold(df).collect()}
-    assert got == {"a": (5, "Starting analysis...", 1, True, None), "b": (35, "tests", 0, False, "bad"), "c": (100, "Analysis complete!", 0, False, None)}
+    assert got == {"a": (5, "Starting analysis\u2026", 1, True, None), "b": (35, "tests", 0, False, "bad"), "c": (100, "Analysis complete!", 0, False, None)}
 
 
 @pytest.fixture
