@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from repolens import constants as K
 from repolens import schemas
 from repolens.functions import labels as L
-from repolens.functions.logs import parse_test_log
-from repolens.functions.prompts import parse_fix_prompt
+from repolens.functions import logs
+from repolens.functions import prompts as PR
 from repolens.operators import enrich as E
 from repolens.operators import findings as FD
 from repolens.operators import health as H
@@ -120,9 +120,9 @@ def build_fix_prompt(t: Tables) -> DataFrame:
 SELECT issue_id, trim(regexp_extract(prompt, '(?m)^File:\\s*(.+)$', 1)) AS file, lower(trim(regexp_extract(prompt, '(?m)^Issue:\\s*(.+)$', 1))) AS issue,
   coalesce(try_cast(regexp_extract(prompt, '(?m)^Line:\\s*(\\d+)', 1) AS int), -1) AS line FROM {_PROMPT} p
 """)
-def parse_fix_prompts(t: Tables) -> DataFrame:
+def parse_fix_prompt(t: Tables) -> DataFrame:
     prompts = E.with_fix_prompt(t.full_issues)
-    return prompts.select("issue_id", parse_fix_prompt(F.col("prompt")).alias("p")).select(
+    return prompts.select("issue_id", PR.parse_fix_prompt(F.col("prompt")).alias("p")).select(
         "issue_id", "p.file", "p.issue", F.coalesce("p.line", F.lit(-1)).alias("line")
     )
 
@@ -132,8 +132,8 @@ _LOG = """(SELECT run_id, repo_id, job_id, ran_at, coalesce(try_cast(regexp_extr
 
 
 @query(f"SELECT run_id, p + f AS total, p AS passed, f AS failed FROM {_LOG} l")
-def parse_test_logs(t: Tables) -> DataFrame:
-    return t.runs.select("run_id", parse_test_log(F.col("output")).alias("l")).select("run_id", "l.*")
+def parse_test_log(t: Tables) -> DataFrame:
+    return t.runs.select("run_id", logs.parse_test_log(F.col("output")).alias("l")).select("run_id", "l.*")
 
 
 @query("SELECT job_id, CASE WHEN length(trim(coalesce(diff, ''))) > 0 THEN 'succeeded' ELSE 'failed' END AS outcome FROM {JOBS} j")
