@@ -70,72 +70,98 @@ def root_markers(files: DataFrame) -> DataFrame:
     )
 
 
-def detect_stack(files: DataFrame) -> DataFrame:
-    """``(repo_id, tech_stack)``: the first marker by priority, else the main language.
+def _has(path: str) -> Column:
+    return F.col("path") == path
+
+
+def _path_flags() -> dict[str, Column]:
+    """What the framework rules ask of the path of a file."""
+    return {
+        "pytest_file": _has("pytest.ini") | _has("conftest.py"),
+        "java_tests": F.col("path").rlike(r"(Test|Spec)\.java$"),
+    }
 
-    One pass over paths: files are counted per repository and language with the markers as
-    further columns, and the few rows per repository are put together after that.
+
+def _content_flags(files: DataFrame, content: str) -> DataFrame:
+    """What the framework rules ask of contents, one row per repository with one of the three files.
+
+    The test of the path is pushed to the scan, so contents are read only where those files are.
     """
+    holds = lambda path, word: _has(path) & F.contains(F.col(content).cast("string"), F.lit(word))
+    return files.where(F.col("path").isin("pyproject.toml", "setup.cfg", "package.json")).groupBy("repo_id").agg(
+        F.bool_or(holds("pyproject.toml", "pytest") | holds("setup.cfg", "pytest")).alias("pytest_named"),
+        *[F.bool_or(holds("package.json", name)).alias(name) for name in ("vitest", "jest", "mocha")],
+    )
+
+
+def _framework(stack: Column) -> Column:
+    default = F.coalesce(F.try_element_at(lookup_map(K.FRAMEWORK_BY_STACK), stack), F.lit("unknown"))
+    return (
+        F.when(F.col("pytest_file") | F.col("pytest_named"), F.lit("pytest"))
+        .when(F.col("vitest"), F.lit("vitest"))
+        .when(F.col("jest"), F.lit("jest"))
+        .when(F.col("mocha"), F.lit("mocha"))
+        .when(F.col("java_tests"), F.lit("junit"))
+        .otherwise(default)
+    )
+
+
+def _per_language(files: DataFrame) -> DataFrame:
+    """Counts, sizes, best marker and path flags per repository and language: one pass over paths and
+    sizes, reduced to a few rows per repository in each task before anything is shuffled."""
     path = F.col("path")
+    listed = P.keep_for_profile(path) & P.depth_ok(path)
     order = lookup_map({name: i for i, (name, _) in enumerate(K.STACK_MARKERS)})
-    per_language = files.groupBy("repo_id", P.exact_language(path).alias("language")).agg(
+    return files.groupBy(
+        "repo_id", P.exact_language(path).alias("exact"), P.language(path).alias("language")
+    ).agg(
         F.count("*").alias("n"),
+        F.count_if(listed).alias("listed"),
+        *([F.sum(F.when(listed, F.col("size"))).alias("bytes")] if "size" in files.columns else []),
         F.min(F.try_element_at(order, path)).alias("marker"),
-        F.bool_or(path == "tsconfig.json").alias("typed"),
-    )
-    best = F.min(F.when(F.col("language").isNotNull(), F.struct(-F.col("n"), F.col("language").alias("language"))))
-    repos = per_language.groupBy("repo_id").agg(
-        F.min("marker").alias("marker"), F.bool_or("typed").alias("typed"), F.lower(best.language).alias("main")
+        F.bool_or(_has("tsconfig.json")).alias("typed"),
+        *[F.bool_or(test).alias(name) for name, test in _path_flags().items()],
     )
+
+
+def _main_language() -> Column:
+    """The language with most files; a language has one row per repository where ``exact`` is set."""
+    best = F.min(F.when(F.col("exact").isNotNull(), F.struct(-F.col("n"), F.col("exact").alias("language"))))
+    return F.lower(best.language)
+
+
+def _stack() -> Column:
     stacks = F.array(*[F.lit(s) for _, s in K.STACK_MARKERS])
     marked = F.get(stacks, F.col("marker"))
     stack = F.when((marked == "javascript") & F.col("typed"), F.lit("typescript")).otherwise(marked)
-    return repos.select("repo_id", F.coalesce(stack, F.col("main"), F.lit("unknown")).alias("tech_stack"))
+    return F.coalesce(stack, F.col("main"), F.lit("unknown"))
 
 
-def _has(path: str) -> Column:
-    return F.bool_or(F.col("path") == path)
-
-
-def _holds(path: str, word: str, content: str) -> Column:
-    """The file exists and contains the word; contents of other files are not looked at."""
-    return F.bool_or((F.col("path") == path) & F.contains(F.col(content).cast("string"), F.lit(word)))
+def detect_stack(files: DataFrame) -> DataFrame:
+    """``(repo_id, tech_stack)``: the first marker by priority, else the main language."""
+    repos = _per_language(files).groupBy("repo_id").agg(
+        F.min("marker").alias("marker"), F.bool_or("typed").alias("typed"), _main_language().alias("main")
+    )
+    return repos.select("repo_id", _stack().alias("tech_stack"))
 
 
-def _framework_flags(files: DataFrame, content: str) -> DataFrame:
-    """Per repository, what the framework rules ask for; only files they name are read."""
-    path = F.col("path")
-    named = path.isin("pytest.ini", "conftest.py", "pyproject.toml", "setup.cfg", "package.json")
-    java = path.rlike(r"(Test|Spec)\.java$")
-    found = files.where(named | java)
-    return found.groupBy("repo_id").agg(
-        (_has("pytest.ini") | _has("conftest.py")).alias("pytest_file"),
-        (_holds("pyproject.toml", "pytest", content) | _holds("setup.cfg", "pytest", content)).alias("pytest_named"),
-        _holds("package.json", "vitest", content).alias("vitest"),
-        _holds("package.json", "jest", content).alias("jest"),
-        _holds("package.json", "mocha", content).alias("mocha"),
-        F.bool_or(java).alias("java_tests"),
+def _with_flags(files: DataFrame, stacks: DataFrame, content: str) -> DataFrame:
+    """Stacks with the framework flags of their repository."""
+    flags = _path_flags()
+    by_path = files.where(flags["pytest_file"] | flags["java_tests"]).groupBy("repo_id").agg(
+        *[F.bool_or(test).alias(name) for name, test in flags.items()]
     )
+    return stacks.join(by_path, "repo_id", "left").join(_content_flags(files, content), "repo_id", "left")
 
 
 def detect_framework(files: DataFrame, stacks: DataFrame, content: str = "content") -> DataFrame:
     """``(repo_id, test_framework)`` by marker files, then by stack."""
-    rows = stacks.join(_framework_flags(files, content), "repo_id", "left")
-    default = F.coalesce(F.try_element_at(lookup_map(K.FRAMEWORK_BY_STACK), F.col("tech_stack")), F.lit("unknown"))
-    framework = (
-        F.when(F.col("pytest_file") | F.col("pytest_named"), F.lit("pytest"))
-        .when(F.col("vitest"), F.lit("vitest"))
-        .when(F.col("jest"), F.lit("jest"))
-        .when(F.col("mocha"), F.lit("mocha"))
-        .when(F.col("java_tests"), F.lit("junit"))
-        .otherwise(default)
-    )
-    return rows.select("repo_id", framework.alias("test_framework"))
+    rows = _with_flags(files, stacks, content)
+    return rows.select("repo_id", _framework(F.col("tech_stack")).alias("test_framework"))
 
 
 def detect_runner(files: DataFrame, stacks: DataFrame, content: str = "content") -> DataFrame:
     """``(repo_id, runner)``: the command tests are run with, a narrower rule than the framework."""
-    rows = stacks.join(_framework_flags(files, content), "repo_id", "left")
     script = F.col("tech_stack").isin("javascript", "typescript")
     runner = (
         F.when(F.col("pytest_file"), F.lit("pytest"))
@@ -143,7 +169,32 @@ def detect_runner(files: DataFrame, stacks: DataFrame, content: str = "content")
         .when(script & F.col("jest"), F.lit("jest"))
         .otherwise(F.lit("pytest"))
     )
-    return rows.select("repo_id", runner.alias("runner"))
+    return _with_flags(files, stacks, content).select("repo_id", runner.alias("runner"))
+
+
+def repo_profile(files: DataFrame, content: str = "content") -> DataFrame:
+    """One row per repository: stack, framework, size and language counts.
+
+    Paths and sizes are read once, contents only of the files the framework rules name.
+
+    ``language_counts`` holds the languages that occur among the listed files.
+    """
+    languages = sorted(set(K.LANGUAGES.values()))
+    rows = _per_language(files).groupBy("repo_id").agg(
+        F.sum("listed").alias("file_count"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("total_size_bytes"),
+        F.min("marker").alias("marker"),
+        F.bool_or("typed").alias("typed"),
+        _main_language().alias("main"),
+        *[F.bool_or(name).alias(name) for name in _path_flags()],
+        *[F.sum(F.when(F.col("language") == name, F.col("listed"))).alias(name) for name in languages],
+    )
+    counts = F.create_map(*[x for name in languages for x in (F.lit(name), F.col(f"`{name}`"))])
+    rows = rows.join(_content_flags(files, content), "repo_id", "left").withColumn("tech_stack", _stack())
+    return rows.select(
+        "repo_id", "tech_stack", _framework(F.col("tech_stack")).alias("test_framework"), "file_count",
+        "total_size_bytes", F.map_filter(counts, lambda _, n: n > 0).alias("language_counts"),
+    )
 
 
 def tree_nodes(files: DataFrame) -> DataFrame:
@@ -175,14 +226,3 @@ def tree_nodes(files: DataFrame) -> DataFrame:
         F.size(parts).alias("depth"), "size", "language",
     )
     return ordinal(nodes, ["repo_id", "parent"], [F.col("type") == "file", "name"], "sibling_rank")
-
-
-def repo_profile(files: DataFrame, content: str = "content") -> DataFrame:
-    """One row per repository: stack, framework, size and language counts."""
-    stacks = detect_stack(files)
-    return (
-        repo_size(files)
-        .join(stacks, "repo_id")
-        .join(detect_framework(files, stacks, content), "repo_id")
-        .join(language_map(files), "repo_id", "left")
-    )

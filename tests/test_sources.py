@@ -146,8 +146,8 @@ def test_profile(spark):
     assert got == {
         "py": ("python", "pytest", 2, {"Python": 1}), "ts": ("typescript", "vitest", 2, {"JSON": 2}),
         "both": ("python", "jest", 2, {"JSON": 1}), "java": ("java", "junit", 1, {"Java": 1}),
-        "tie": ("go", "go_test", 2, {"Go": 1, "Ruby": 1}), "skip": ("javascript", "jest", 0, None), "none": ("unknown", "unknown", 1, None),
-        "cfg": ("python", "pytest", 1, None), "nested": ("unknown", "unknown", 2, None),
+        "tie": ("go", "go_test", 2, {"Go": 1, "Ruby": 1}), "skip": ("javascript", "jest", 0, {}), "none": ("unknown", "unknown", 1, {}),
+        "cfg": ("python", "pytest", 1, {}), "nested": ("unknown", "unknown", 2, {}),
     }
 
 
@@ -164,3 +164,13 @@ def test_an_empty_archive_is_admitted(spark, tmp_path):
     members = A.explode_archives(A.read_archives(spark, str(tmp_path)))
     assert [r.reason for r in A.archive_verdicts(members).collect()] == [None]
     assert A.archive_files(members).count() == 0
+
+
+def test_profile_reads_contents_of_named_files_only(spark, tmp_path):
+    out = str(tmp_path / "packed")
+    spark.createDataFrame([("r", "a.py", 1, "x")], "repo_id string, path string, size long, content string").write.parquet(out)
+    plan = repo_profile(CO.read_corpus(spark, out))._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len(scans) == 2
+    assert [("content" in s.split("ReadSchema")[1], "In(path, [package.json,pyproject.toml,setup.cfg])" in s) for s in sorted(scans, key=lambda s: "content" in s)] == [
+        (False, False), (True, True)]
