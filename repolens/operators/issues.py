@@ -22,15 +22,14 @@ def list_issues(
     return rows
 
 
-def list_issues_for(issues: DataFrame, requests: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def list_issues_for(issues: DataFrame, requests: DataFrame) -> DataFrame:
     """:func:`list_issues` for many requests ``(request_id, repo_id, severity, category, file_path)``.
 
     Null or empty fields of a request filter nothing.
     """
     fields = ("severity", "category", "file_path")
     side = requests.select("request_id", "repo_id", *[F.col(f).alias(f"_{f}") for f in fields])
-    limit = {} if hot_rows is None else {"hot_rows": hot_rows}
-    rows = skew_join(issues, side, ["repo_id"], "inner", spread_by=["issue_id"], **limit)
+    rows = skew_join(issues, side, ["repo_id"], "inner", spread_by=["issue_id"])
     for f in fields:
         rows = rows.where((F.coalesce(f"_{f}", F.lit("")) == "") | (F.col(f"_{f}") == F.col(f)))
     return rows.drop(*[f"_{f}" for f in fields])

@@ -15,25 +15,32 @@ from pyspark.sql import functions as F
 
 from repolens.session import ensure_checkpoint_dir
 
+# Rows from which a key is hot, and rows of a part or range it is cut into; the session setting of
+# this name takes precedence.
+HOT_ROWS_SETTING = "spark.repolens.hotRows"
 HOT_ROWS = 2_000_000
 SKETCH_KEYS = 1000
 SKETCH_SIZE = 65_536
 
 
+def _limit(df: DataFrame, hot_rows: int | None) -> int:
+    return hot_rows or int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
+
+
 def _hash(keys: list[str]) -> Column:
     return F.xxhash64(*keys)
 
 
-def hot_keys_of(df: DataFrame, *keys: list[str], hot_rows: int = HOT_ROWS) -> list[dict[int, int]]:
+def hot_keys_of(df: DataFrame, *keys: list[str], hot_rows: int | None = None) -> list[dict[int, int]]:
     """For each set of key columns: hash of each key with more than about ``hot_rows`` rows, and its
     number of rows. All sets are counted in one pass."""
     hashes = df.select(*[_hash(k).alias(f"h{i}") for i, k in enumerate(keys)])
     sketches = [F.expr(f"approx_top_k(h{i}, {SKETCH_KEYS}, {SKETCH_SIZE})") for i in range(len(keys))]
-    tops = hashes.agg(*sketches).first()
-    return [{r.item: r["count"] for r in top or [] if r["count"] > hot_rows} for top in tops]
+    tops, limit = hashes.agg(*sketches).first(), _limit(df, hot_rows)
+    return [{r.item: r["count"] for r in top or [] if r["count"] > limit} for top in tops]
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> dict[int, int]:
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> dict[int, int]:
     return hot_keys_of(df, keys, hot_rows=hot_rows)[0]
 
 
@@ -48,10 +55,10 @@ def _cuts(keys: list[str], hot: dict[int, int], hot_rows: int) -> Column:
     return choice
 
 
-def spread(df: DataFrame, keys: list[str], spread_by: list[str], hot_rows: int = HOT_ROWS) -> Column:
+def spread(df: DataFrame, keys: list[str], spread_by: list[str], hot_rows: int | None = None) -> Column:
     """A number that cuts the rows of each hot key into parts of about ``hot_rows`` rows, else 0."""
     hot = hot_keys(df, keys, hot_rows)
-    return F.pmod(F.xxhash64(*spread_by), _cuts(keys, hot, hot_rows)).cast("int")
+    return F.pmod(F.xxhash64(*spread_by), _cuts(keys, hot, _limit(df, hot_rows))).cast("int")
 
 
 def skew_join(
@@ -60,7 +67,7 @@ def skew_join(
     on: list[str],
     how: str,
     spread_by: list[str],
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     hot: dict[int, int] | None = None,
 ) -> DataFrame:
     """Equi join in which the rows of a hot key of ``big`` are cut over many tasks.
@@ -75,7 +82,7 @@ def skew_join(
     hot = hot_keys(big, on, hot_rows) if hot is None else hot
     if not hot:
         return big.join(small, on, how)
-    cuts, row = _cuts(on, hot, hot_rows), F.xxhash64(*spread_by)
+    cuts, row = _cuts(on, hot, _limit(big, hot_rows)), F.xxhash64(*spread_by)
     no_key = reduce(or_, [F.col(k).isNull() for k in on])
     salt = F.when(no_key, F.pmod(row, F.lit(1 << 16))).otherwise(F.pmod(row, cuts))
     left = big.withColumn("_salt", salt.cast("int"))
@@ -84,7 +91,7 @@ def skew_join(
 
 
 def _split_hot(
-    df: DataFrame, keys: list[str], hot_rows: int, hot: dict[int, int] | None = None
+    df: DataFrame, keys: list[str], hot_rows: int | None, hot: dict[int, int] | None = None
 ) -> tuple[DataFrame, DataFrame | None, int]:
     """Rows of ordinary keys, rows of hot keys (None if there are none), and the number of ranges of
     about ``hot_rows`` rows the latter make."""
@@ -92,7 +99,7 @@ def _split_hot(
     if not hot:
         return df, None, 0
     is_hot = _hash(keys).isin(list(hot))
-    ranges = max(-(-sum(hot.values()) // hot_rows), df.sparkSession.sparkContext.defaultParallelism)
+    ranges = max(-(-sum(hot.values()) // _limit(df, hot_rows)), df.sparkSession.sparkContext.defaultParallelism)
     return df.where(~is_hot), df.where(is_hot), ranges
 
 
@@ -123,7 +130,7 @@ def ordinal(
     keys: list[str],
     order: list,
     out: str = "ordinal",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     hot: dict[int, int] | None = None,
 ) -> DataFrame:
     """1-based position of each row within its key; ``order`` must be total, keys not null.
@@ -139,7 +146,7 @@ def ordinal(
 
 
 def previous(
-    df: DataFrame, keys: list[str], order: list, value: str, out: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], order: list, value: str, out: str, hot_rows: int | None = None
 ) -> DataFrame:
     """``value`` of the row before, within the key; null on the first row.
 
@@ -157,13 +164,13 @@ def previous(
 
 
 def first_rows(
-    df: DataFrame, keys: list[str], order: list, n: int, spread_by: list[str], hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], order: list, n: int, spread_by: list[str], hot_rows: int | None = None
 ) -> DataFrame:
     """The first ``n`` rows of each key; those of a hot key are taken within its parts first."""
     order = _columns(order)
     hot = hot_keys(df, keys, hot_rows)
     place = lambda *by: F.row_number().over(Window.partitionBy(*keys, *by).orderBy(*order))
     if hot:
-        part = F.pmod(F.xxhash64(*spread_by), _cuts(keys, hot, hot_rows))
+        part = F.pmod(F.xxhash64(*spread_by), _cuts(keys, hot, _limit(df, hot_rows)))
         df = df.withColumn("_part", part).withColumn("_at", place("_part")).where(F.col("_at") <= n).drop("_part")
     return df.withColumn("_at", place()).where(F.col("_at") <= n).drop("_at")

@@ -250,7 +250,10 @@ def diff_preview(t: Tables) -> DataFrame:
     return R.diff_preview(t.jobs)
 
 
-@query("SELECT job_id, CAST(0 AS bigint) AS part, string_agg(message, chr(10) ORDER BY seq) AS output FROM {EVENTS} e WHERE event = 'output' GROUP BY job_id")
+@query("""
+SELECT job_id, part, string_agg(message, chr(10) ORDER BY seq) AS output FROM (SELECT job_id, seq, message,
+  CAST(floor((row_number() OVER (PARTITION BY job_id ORDER BY seq) - 1) / 10000) AS bigint) AS part FROM {EVENTS} e WHERE event = 'output') l GROUP BY job_id, part
+""")
 def job_output(t: Tables) -> DataFrame:
     return R.job_output(t.events)
 
@@ -360,11 +363,14 @@ def report_core(t: Tables) -> DataFrame:
 
 
 @query(f"""
-SELECT c.repo_id, CAST(0 AS bigint) AS page, c.after, c.total, c.total_jobs, c.tests_total, coalesce(p.diff_preview, '-') AS diff_preview,
-  CAST(coalesce(x.critical, 0) AS bigint) AS critical, coalesce(x.open_ids, '') AS open_ids, coalesce(x.fixed_ids, '') AS fixed_ids FROM {_CORE} c
-LEFT JOIN {_PREVIEW} p ON p.repo_id = c.repo_id LEFT JOIN (SELECT repo_id, count(*) FILTER (WHERE severity = 'critical') AS critical,
-  string_agg(issue_id, ' ' ORDER BY detected_at, issue_id) FILTER (WHERE status = 'open') AS open_ids,
-  string_agg(issue_id, ' ' ORDER BY detected_at, issue_id) FILTER (WHERE status = 'fixed') AS fixed_ids FROM {{ISSUES}} i GROUP BY repo_id) x ON x.repo_id = c.repo_id
+SELECT c.repo_id, coalesce(x.page, CAST(0 AS bigint)) AS page, c.after, c.total, c.total_jobs, c.tests_total, coalesce(p.diff_preview, '-') AS diff_preview,
+  CAST(coalesce(s.critical, 0) AS bigint) AS critical, coalesce(x.open_ids, '') AS open_ids, coalesce(x.fixed_ids, '') AS fixed_ids FROM {_CORE} c
+LEFT JOIN {_PREVIEW} p ON p.repo_id = c.repo_id
+LEFT JOIN (SELECT repo_id, count(*) FILTER (WHERE severity = 'critical') AS critical FROM {{ISSUES}} i GROUP BY repo_id) s ON s.repo_id = c.repo_id
+LEFT JOIN (SELECT repo_id, page, string_agg(issue_id, ' ' ORDER BY detected_at, issue_id) FILTER (WHERE status = 'open') AS open_ids,
+  string_agg(issue_id, ' ' ORDER BY detected_at, issue_id) FILTER (WHERE status = 'fixed') AS fixed_ids FROM
+  (SELECT *, CAST(floor((row_number() OVER (PARTITION BY repo_id, status ORDER BY detected_at, issue_id) - 1) / 1000) AS bigint) AS page
+   FROM {{ISSUES}} i WHERE status IN ('open', 'fixed')) i GROUP BY repo_id, page) x ON x.repo_id = c.repo_id
 """)
 def repo_report(t: Tables) -> DataFrame:
     rows = RP.repo_report(t.repos, t.issues, t.jobs, t.runs)

@@ -9,6 +9,13 @@ from repolens.operators import lifecycle as LC
 from repolens.operators import skew as S
 
 
+@pytest.fixture
+def hot_rows(spark):
+    """Sets the number of rows from which a key is hot."""
+    yield lambda n: spark.conf.set(S.HOT_ROWS_SETTING, str(n))
+    spark.conf.unset(S.HOT_ROWS_SETTING)
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
     """5,000 rows, a third of them of one key, and some without a key."""
@@ -64,31 +71,32 @@ def test_first_rows(rows):
     assert as_set(got.select("id")) == as_set(plain.select("id"))
 
 
-def test_requests_meet_hot_repositories(spark):
+def test_requests_meet_hot_repositories(spark, hot_rows):
+    hot_rows(10)
     issues = spark.range(300).select(
         F.concat(F.lit("i"), "id").alias("issue_id"), F.when(F.col("id") % 3 > 0, "r").otherwise(F.concat(F.lit("r"), "id")).alias("repo_id"),
         F.when(F.col("id") % 2 == 0, "high").alias("severity"), F.lit("bug").alias("category"), F.lit("f").alias("file_path"))
     requests = spark.createDataFrame([("q1", "r", "high", None, ""), ("q2", "r", "", "", None), ("q3", "r", "low", None, None)],
                                      "request_id string, repo_id string, severity string, category string, file_path string")
-    got = I.list_issues_for(issues, requests, hot_rows=10).groupBy("request_id").count().collect()
+    got = I.list_issues_for(issues, requests).groupBy("request_id").count().collect()
     assert {r[0]: r[1] for r in got} == {"q1": 100, "q2": 200}
     one = I.list_issues(issues, "r", severity="high", category="", file_path=None)
     assert one.count() == 100
 
 
-def test_moves_of_a_hot_entity(spark, monkeypatch):
+def test_moves_of_a_hot_entity(spark, hot_rows):
     log = spark.range(400).select(
         F.when(F.col("id") < 200, "j").otherwise(F.concat(F.lit("j"), F.col("id") % 10)).alias("job_id"),
         F.timestamp_seconds("id").alias("ts"), F.col("id").alias("seq"),
         F.element_at(F.array(*map(F.lit, ["pending", "running", "failed", "succeeded"])), (F.pmod(F.xxhash64("id"), F.lit(4)) + 1).cast("int")).alias("status"))
     plain = as_set(LC.illegal_transitions(log, "job_id"))
-    monkeypatch.setattr(S.previous, "__defaults__", (20,))
+    hot_rows(20)
     assert as_set(LC.illegal_transitions(log, "job_id")) == plain and plain
     assert sorted(r.seq for r in LC.latest_state(log, "job_id").collect()) == [199] + list(range(390, 400))
 
 
-def test_targets_of_a_hot_line(spark, monkeypatch):
-    monkeypatch.setattr(S.skew_join, "__defaults__", (5, None))
+def test_targets_of_a_hot_line(spark, hot_rows):
+    hot_rows(5)
     files = spark.createDataFrame([("r", "a", "one\ntwo\n"), ("r", "b", "x")], "repo_id string, path string, content string")
     issues = spark.range(40).select(
         F.concat(F.lit("i"), "id").alias("issue_id"), F.lit("r").alias("repo_id"),
