@@ -170,6 +170,12 @@ SELECT concat('job', user_id) AS job_id, event_id AS seq, CAST(ts AS timestamp)
   cast(floor(value % 100) AS int) AS pct, concat('line ', event_id) AS message FROM $events
 """
 
+# The same events as messages; errors come as plain text.
+MESSAGES = f"""
+SELECT seq, CASE WHEN event = 'error' THEN concat('plain {{"seq":', seq, '}}') WHEN event = 'done' THEN concat('{{"event":"done"}} rest ', seq)
+  ELSE concat('{{"event":"', event, '","job_id":"', job_id, '","seq":', seq, ',"pct":', pct, ',"message":"', message, '"}}') END AS value FROM ({EVENTS}) e
+"""
+
 # Events of fix jobs, and of short jobs: one job per 20 events.
 FIX_EVENTS = """
 SELECT concat('fix', cast(floor(event_id / 20) AS bigint)) AS job_id, event_id AS seq, CAST(ts AS timestamp) AS ts,

@@ -44,6 +44,13 @@ def corpus_scan(t: Tables) -> DataFrame:
     return t.corpus.select("repo_id", "path", F.octet_length("content").cast("bigint").alias("bytes"), F.md5("content").alias("hash"))
 
 
+@query("SELECT repo_id, path, md5(content) AS hash FROM {CORPUS} c")
+def decode_source(t: Tables) -> DataFrame:
+    """The corpus as bytes with Windows newlines, read back as text."""
+    raw = F.replace("content", F.lit("\n"), F.lit("\r\n")).cast("binary")
+    return t.corpus.select("repo_id", "path", F.md5(X.decode_source(raw)).alias("hash"))
+
+
 @query("""
 SELECT archive, CASE WHEN max(archive_bytes) > 104857600 THEN 'too large' WHEN bool_or(NOT crc_ok) THEN 'corrupt'
   WHEN bool_or(starts_with(member, '/') OR contains(member, '..')) THEN 'unsafe path' ELSE 'admitted' END AS verdict
@@ -205,6 +212,15 @@ _STACK = f"""(SELECT f.repo_id, coalesce(CASE WHEN s = 'javascript' AND ts THEN
   LEFT JOIN {_MAIN % (_EXACT_LANGUAGE, 'MARKERS')} m ON m.repo_id = f.repo_id)"""
 
 
+@query(f"""
+SELECT repo_id, path, CASE path {" ".join(f"WHEN {literal(n)} THEN {literal(s)}" for n, s in K.STACK_MARKERS)} END AS stack,
+  CAST(CASE path {" ".join(f"WHEN {literal(n)} THEN {i}" for i, (n, _) in enumerate(K.STACK_MARKERS))} END AS int) AS priority
+FROM {{MARKERS}} m WHERE path IN ({_names(n for n, _ in K.STACK_MARKERS)})
+""")
+def root_markers(t: Tables) -> DataFrame:
+    return PR.root_markers(t.markers)
+
+
 @query(f"SELECT repo_id, tech_stack FROM {_STACK} s")
 def detect_stack(t: Tables) -> DataFrame:
     return PR.detect_stack(t.markers)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,8 @@ from repolens.operators import runs as R
 from repolens.plans import report as RP
 from repolens.plans.registry import Tables, choose, literal, query
 from repolens.session import ensure_checkpoint_dir
-from repolens.sources.tables import append_table, read_table
+from repolens.sources.events import parse_events
+from repolens.sources.tables import append_table, read_table, write_report
 from repolens.streaming import folds
 
 _PENALTY = "CASE severity WHEN 'critical' THEN 20 WHEN 'high' THEN 15 WHEN 'medium' THEN 8 WHEN 'low' THEN 3 ELSE 0 END"
@@ -383,6 +386,18 @@ def repo_report(t: Tables) -> DataFrame:
     )
 
 
+@query(f"SELECT repo_id, name, after, total, total_jobs, coalesce(before, -1) AS before FROM {_CORE} c")
+def report_documents(t: Tables) -> DataFrame:
+    """The first pages of the reports as stored documents."""
+    path = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/reports-{uuid4().hex}"
+    report = RP.repo_report(t.repos, t.issues, t.jobs, t.runs)
+    write_report(report, path)
+    return t.spark.read.schema(report.schema).json(path).where("page = 0").select(
+        "repo_id", F.col("repo_name").alias("name"), "health.after", "issues.total", "fixes.total_jobs",
+        F.coalesce("health.before", F.lit(-1)).alias("before"),
+    )
+
+
 @query("SELECT job_id, seq, status FROM {STATUS_LOG} l QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) = 1")
 def latest_state(t: Tables) -> DataFrame:
     return LC.latest_state(t.status_log, "job_id").select("job_id", "seq", "status")
@@ -422,6 +437,19 @@ def progress_fold(t: Tables) -> DataFrame:
     return folds.progress_fold(t.events).fillna("-", ["error"])
 
 
+@query("""
+SELECT m.seq AS sent, CASE WHEN event IN ('error', 'done') THEN 'raw' ELSE event END AS event, CASE WHEN event IN ('error', 'done') THEN '-' ELSE job_id END AS job_id,
+  CASE WHEN event IN ('error', 'done') THEN -1 ELSE pct END AS pct, CASE WHEN event IN ('error', 'done') THEN value ELSE message END AS text
+FROM {MESSAGES} m JOIN {EVENTS} e ON e.seq = m.seq
+""")
+def parse_messages(t: Tables) -> DataFrame:
+    sent = t.messages.select(F.col("seq").alias("sent"), "value")
+    return parse_events(sent).select(
+        "sent", "event", F.coalesce("job_id", F.lit("-")).alias("job_id"), F.coalesce("pct", F.lit(-1)).alias("pct"),
+        F.coalesce("line", "message").alias("text"),
+    )
+
+
 @query("""
 WITH e AS (SELECT * FROM {FIX_EVENTS} e), x AS (SELECT job_id, min(seq) AS seq FROM e WHERE event <> 'output' GROUP BY job_id),
   t AS (SELECT e.* FROM e JOIN x ON x.seq = e.seq), n AS (SELECT e.job_id, CAST(count(*) FILTER (WHERE event = 'output' AND (x.seq IS NULL OR e.seq < x.seq)) AS bigint) AS lines
@@ -448,8 +476,6 @@ def live_counts(t: Tables) -> DataFrame:
 
 @query("SELECT issue_id, repo_id, severity, status, title, '-' AS description FROM {ISSUES} i")
 def workflow_tables(t: Tables) -> DataFrame:
-    from uuid import uuid4
-
     path = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/issues-{uuid4().hex}"
     append_table(t.issues, path, schemas.ISSUES, buckets=8)
     rows = read_table(t.spark, path, schemas.ISSUES)

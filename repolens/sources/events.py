@@ -11,10 +11,14 @@ from repolens.functions.jsontext import parse_json
 
 
 def parse_events(messages: DataFrame) -> DataFrame:
-    """Events from text messages in ``value``; text that is no JSON becomes a ``raw`` event."""
+    """Events from text messages in ``value``; text that is no JSON becomes a ``raw`` event.
+
+    Other columns are kept.
+    """
     is_json = parse_json(F.col("value")).isNotNull()
-    rows = messages.select(F.from_json("value", schemas.EVENTS).alias("e"), is_json.alias("ok"), "value").select(
-        "e.*", "ok", "value"
+    others = [c for c in messages.columns if c != "value"]
+    rows = messages.select(*others, F.from_json("value", schemas.EVENTS).alias("e"), is_json.alias("ok"), "value").select(
+        *others, "e.*", "ok", "value"
     )
     return rows.withColumns({
         "event": F.when(F.col("ok"), F.col("event")).otherwise(F.lit("raw")),
