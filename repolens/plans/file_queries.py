@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from repolens import constants as K
 from repolens import schemas
@@ -15,6 +20,7 @@ from repolens.functions import text as X
 from repolens.operators import lines as LN
 from repolens.operators import profile as PR
 from repolens.plans.registry import Tables, literal, query
+from repolens.session import materialize
 from repolens.sources import archives as A
 
 
@@ -51,6 +57,31 @@ def decode_source(t: Tables) -> DataFrame:
     return t.corpus.select("repo_id", "path", F.md5(X.decode_source(raw)).alias("hash"))
 
 
+@F.pandas_udf(T.BinaryType())
+def _zipped(path: pd.Series, content: pd.Series) -> pd.Series:
+    """One archive per file, with the file below the folder ``proj``."""
+
+    def one(name, text):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(f"proj/{name}", text)
+        return buffer.getvalue()
+
+    return pd.Series([one(p, c) for p, c in zip(path, content)])
+
+
+@query("SELECT concat(repo_id, '-', doc_id, '.zip') AS archive, path, md5(content) AS hash FROM {CORPUS} c")
+def explode_archives(t: Tables) -> DataFrame:
+    """The corpus packed into one archive per file, and unpacked again."""
+    packed = t.corpus.select(
+        F.concat("repo_id", F.lit("-"), "doc_id", F.lit(".zip")).alias("path"), _zipped("path", "content").alias("content")
+    )
+    members = materialize(A.explode_archives(packed.withColumn("length", F.octet_length("content").cast("bigint"))), "members")
+    return A.archive_files(members).select(
+        F.col("repo_id").alias("archive"), "path", F.md5(F.col("content")).alias("hash")
+    )
+
+
 @query("""
 SELECT archive, CASE WHEN max(archive_bytes) > 104857600 THEN 'too large' WHEN bool_or(NOT crc_ok) THEN 'corrupt'
   WHEN bool_or(starts_with(member, '/') OR contains(member, '..')) THEN 'unsafe path' ELSE 'admitted' END AS verdict
