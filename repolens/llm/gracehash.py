@@ -139,41 +139,25 @@ def _bucketed(parts: DataFrame, sizes: DataFrame, table_bytes: int) -> DataFrame
         deeper = F.col(mark).isNotNull()
         depth = F.when(deeper, F.lit(bits)).otherwise(depth)
         prefix = F.when(deeper, _prefix(bits)).otherwise(prefix)
-    return parts.select("rid", "least_id", "least_rid", "n", "hash", "content", depth.alias("depth"), prefix.alias("prefix"))
+    return parts.select("rid", "hash", "content", depth.alias("depth"), prefix.alias("prefix"))
 
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets in order, one table each: the row that stays and the size, for each folded row."""
-    bucket, table, rows = None, ContentTable(), []
-
-    def done() -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[int, int]] = {}
-        size: dict[int, int] = {}
-        for entry, _, key, n in rows:
-            best[entry] = min(best.get(entry, key), key)
-            size[entry] = size.get(entry, 0) + n
-        if rows:
-            keep = [best[entry] for entry, *_ in rows]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "of": pa.array([r[1] for r in rows], pa.int64()),
-                    "keep_id": pa.array([None if k[0] else k[1] for k in keep], pa.int64()),
-                    "keep_rid": pa.array([k[2] for k in keep], pa.int64()),
-                    "group_size": pa.array([size[entry] for entry, *_ in rows], pa.int64()),
-                }
-            )
-
+    """Buckets in order, one table each: for each folded row, the first folded row of the same content."""
+    bucket, table, first = None, ContentTable(), []
     for batch in batches:
-        names = ("depth", "prefix", "rid", "least_id", "least_rid", "n", "hash")
-        for depth, prefix, rid, least, least_rid, n, hash_, content in zip(
+        leads = []
+        names = ("depth", "prefix", "rid", "hash")
+        for depth, prefix, rid, hash_, content in zip(
             *(batch.column(c).to_pylist() for c in names), batch.column("content"), strict=True
         ):
             if (depth, prefix) != bucket:
-                yield from done()
-                bucket, table, rows = (depth, prefix), ContentTable(), []
+                bucket, table, first = (depth, prefix), ContentTable(), []
             entry = table.add(hash_ & ((1 << 64) - 1), content.as_py())
-            rows.append((entry, rid, (least is None, least or 0, least_rid), n))
-    yield from done()
+            if entry == len(first):
+                first.append(rid)
+            leads.append(first[entry])
+        yield pa.RecordBatch.from_arrays([batch.column("rid").cast(pa.int64()), pa.array(leads, pa.int64())], ["of", "lead"])
 
 
 def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", table_bytes: int = TABLE_BYTES) -> DataFrame:
@@ -186,18 +170,18 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ta
     """
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     folded = stored(named.mapInArrow(_fold(table_bytes), _FOLDED_SQL), "folded")
-    # Nulls last, then the smallest id, then the first row.
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("rid").alias("row"))
-    members = folded.groupBy("of").agg(F.min(order).alias("least"), F.count("*").alias("n"))
-    members = members.select(
-        F.col("of").alias("rid"), F.when(~F.col("least.none"), F.col("least.id")).alias("least_id"),
-        F.col("least.row").alias("least_rid"), "n",
-    )
-    heads = folded.where("rid = of").select("rid", "hash", "bytes", "content")
+    heads = folded.where("rid = of")
     sizes = heads.groupBy("hash").agg(F.max("bytes").alias("bytes"))
-    parts = _bucketed(heads.drop("bytes").join(members, "rid"), sizes, table_bytes)
+    parts = _bucketed(heads.select("rid", "hash", "content"), sizes, table_bytes)
     dealt = parts.repartition("depth", "prefix").sortWithinPartitions("depth", "prefix")
-    solved = dealt.mapInArrow(_solve, "of long, keep_id long, keep_rid long, group_size long")
-    return folded.select("rid", "doc_id", "of", "sha").join(solved, "of").select(
+    leads = stored(dealt.mapInArrow(_solve, "of long, lead long"), "leads")
+    # Nulls last, then the smallest id, then the first row.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("rid").alias("row"))
+    members = folded.groupBy("of").agg(F.min(order).alias("least"), F.count("*").alias("n")).join(leads, "of")
+    groups = members.groupBy("lead").agg(F.min("least").alias("least"), F.sum("n").alias("group_size"))
+    groups = leads.join(groups, "lead").select(
+        "of", F.when(~F.col("least.none"), F.col("least.id")).alias("keep_id"), F.col("least.row").alias("keep_rid"), "group_size"
+    )
+    return folded.select("rid", "doc_id", "of", "sha").join(groups, "of").select(
         "doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.col("sha").alias("text_sha256")
     )
