@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.llm import gracehash, linespread, mixing, packing, ppm, simhash
+from repolens.llm import gracehash, licenses, linespread, milquality, mixing, packing, ppm, simhash, toxicity, voronoi
 from repolens.llm.common import held_out, table
+from repolens.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,29 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), held_out("doc_id", 5, 0)
+    model = milquality.learn(docs, table(spark, sf_dir, "labels").where(~held))
+    scored = milquality.with_quality(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(~held))
+    scored = toxicity.with_toxicity(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan_licenses(docs).drop("text")
+
+
+def op5_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.knn_join(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -43,6 +67,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op6_mix_sources, op7_pack_sequences, op8_language_id, op9_exact_dedup, op10_line_dedup,
+    op1_simhash_near_dedup, op2_quality_classifier, op3_compression_toxicity, op4_license_scan, op5_voronoi_knn, op6_mix_sources, op7_pack_sequences, op8_language_id, op9_exact_dedup, op10_line_dedup,
 )}
-ORACLES: dict[str, str] = {}
