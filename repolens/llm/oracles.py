@@ -75,10 +75,10 @@ WITH p AS (
                  THEN regexp_replace(line, '^{SPACE_CLASS}+|{SPACE_CLASS}+$', '', 'g') END AS key
   FROM l
 ), spread AS (
-  SELECT key, min((doc_id, at)) AS first FROM k WHERE key IS NOT NULL
+  SELECT key, min({{'d': doc_id, 'at': at}}) AS first FROM k WHERE key IS NOT NULL
   GROUP BY key HAVING count(DISTINCT coalesce('1' || source, '0')) >= {linespread.MIN_SITES}
 ), marked AS (
-  SELECT k.*, first IS NOT NULL AND (doc_id, at) <> first AS gone FROM k LEFT JOIN spread USING (key)
+  SELECT k.*, first IS NOT NULL AND {{'d': doc_id, 'at': at}} <> first AS gone FROM k LEFT JOIN spread USING (key)
 ), kept AS (
   SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '') AS text,
          count(*) AS n_lines, count(*) FILTER (gone) AS n_removed

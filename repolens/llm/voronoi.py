@@ -109,7 +109,8 @@ def knn_join(
     wide = rows.agg(F.max(F.size("v"))).first()[0] or 0
     rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(wide) - F.size("v"))))
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(4 * pivots).collect()
-    centers = np.array(list(dict.fromkeys(tuple(r.v) for r in drawn))[:pivots], np.float64).reshape(-1, wide)
+    different = list(dict.fromkeys(tuple(r.v) for r in drawn))[:pivots]
+    centers = np.array(different, np.float64).reshape(len(different), wide)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

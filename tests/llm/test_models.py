@@ -129,7 +129,7 @@ def check(spark, docs, module, name, texts, labels, label):
     scored = getattr(module, name)(df.withColumn("h", held), model, name="s").collect()
     assert len(scored) == len(rows) and all(0 <= r.s <= 1 for r in scored)
     truth = {r.doc_id: r[label] for r in labels.where(f"{label} in (0, 1)").collect()}
-    tested = [(r.s >= 0.3, truth[r.doc_id] == 1) for r in scored if r.h and r.doc_id in truth and r.doc_id > 20]
+    tested = [(r.s >= 0.3, truth[r.doc_id] == 1) for r in scored if r.h and r.doc_id in truth and (r.doc_id or 0) > 20]
     assert len(tested) > 40 and np.mean([a == b for a, b in tested]) >= 0.97
     # One kind of labels, and none.
     only = module.learn(df, labels.where(f"{label} = 1"))
@@ -175,7 +175,8 @@ def test_toxic_words_are_not_those_of_copies(rng):
     copied = prose(rng, 30) + " passageword " + prose(rng, 30)
     toxic = [f"{prose(rng, 20)} nitwit {prose(rng, 20)}" for _ in range(60)]
     ordinary = [prose(rng, 40) for _ in range(200)]
-    assert set(toxicity.toxic_words([*toxic, *[f"{i} {copied}" for i in range(40)]], ordinary)) == {b"nitwit"}
+    texts = [x.encode() for x in [*toxic, *[f"{i} {copied}" for i in range(40)]]]
+    assert set(toxicity.toxic_words(texts, [x.encode() for x in ordinary])) == {b"nitwit"}
 
 
 def test_candidates_are_whole_words():
