@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from repolens import constants as K
 from repolens.functions import paths as P
-from repolens.operators.skew import skew_join
 
 
 def _parsed(facts: DataFrame) -> DataFrame:
@@ -50,6 +49,15 @@ def syntax_errors(facts: DataFrame) -> DataFrame:
     )
 
 
+def unparsed_files(facts: DataFrame) -> DataFrame:
+    """Files the parser gave up on. They may be valid, so their line findings stay."""
+    bad = facts.where(F.col("error.kind") == "parse_error")
+    return _findings(
+        bad, 1, 0, K.UNPARSED_FILE, line=F.col("error.line"), pos=F.lit(0),
+        description=_say("The parser gave up on this file: ", F.col("error.message")), evidence=F.col("error.text"),
+    )
+
+
 def unused_imports(facts: DataFrame) -> DataFrame:
     """Imported names no expression of the module mentions."""
     unused = F.filter("imports", lambda b: ~F.array_contains(F.col("used"), b["name"]) & P.is_public(b["name"]))
@@ -141,7 +149,7 @@ def untested_functions(facts: DataFrame, skip_vendored: bool = False) -> DataFra
         defs.where("is_test").select("repo_id", F.explode(spellings).alias("name"))
         .where(F.col("name") != "").distinct()
     )
-    rows = skew_join(public, tested, ["repo_id", "name"], "left_anti", spread_by=["path"])
+    rows = public.join(tested, ["repo_id", "name"], "left_anti")
     name = F.col("name")
     return _findings(
         rows, 2, 0, K.MISSING_TEST, line=F.col("line"), pos=F.col("idx"),
@@ -152,4 +160,4 @@ def untested_functions(facts: DataFrame, skip_vendored: bool = False) -> DataFra
     )
 
 
-FILE_RULES = [syntax_errors, unused_imports, broad_except, eval_exec_calls, shell_true_calls, unused_variables]
+FILE_RULES = [syntax_errors, unparsed_files, unused_imports, broad_except, eval_exec_calls, shell_true_calls, unused_variables]

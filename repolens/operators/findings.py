@@ -13,8 +13,7 @@ from repolens.operators import factrules
 from repolens.operators.enrich import root_cause
 from repolens.operators.facts import extract_facts
 from repolens.operators.lines import LINE_RULES, LineRule, apply_line_rules
-from repolens.operators.skew import skew_join
-from repolens.session import broadcast_if_small, materialize
+from repolens.session import materialize
 
 KEY = ["repo_id", "file_path", "line_number", "title"]
 
@@ -29,16 +28,12 @@ def stack_allows(path: Column, stack: Column) -> Column:
 def dispatch(rows: DataFrame, stacks: DataFrame, path: str = "path") -> DataFrame:
     """Rows whose language is analysed in repositories of their stack; no stack counts as unknown.
 
-    ``stacks(repo_id, tech_stack)`` is one row per repository. It is broadcast up to a checked size,
-    so that a corpus with contents can be filtered without moving it. Beyond that size use it on
-    findings, which are narrow: the outcome is the same.
+    ``stacks(repo_id, tech_stack)`` is one row per repository. It is written first, once, so that Spark
+    knows its bytes and broadcasts it below its own threshold. Beyond that, use this on findings, which
+    are narrow: the outcome is the same.
     """
-    side = stacks.select("repo_id", F.coalesce("tech_stack", F.lit("unknown")).alias("_stack"))
-    small = broadcast_if_small(side)
-    if small is not None:
-        joined = rows.join(small, "repo_id", "left")
-    else:
-        joined = skew_join(rows, side, ["repo_id"], "left", spread_by=[path])
+    side = materialize(stacks.select("repo_id", F.coalesce("tech_stack", F.lit("unknown")).alias("_stack")), "stacks")
+    joined = rows.join(side, "repo_id", "left")
     return joined.where(stack_allows(F.col(path), F.coalesce("_stack", F.lit("unknown")))).drop("_stack")
 
 
@@ -59,8 +54,9 @@ def line_findings(files: DataFrame, rules: list[LineRule] = LINE_RULES, content:
 
 
 def drop_unparsed(findings: DataFrame, facts: DataFrame) -> DataFrame:
-    """Leave out line findings of Python files that do not parse."""
-    broken = facts.where(F.col("error").isNotNull()).select("repo_id", F.col("path").alias("file_path")).distinct()
+    """Leave out line findings of files that are no valid Python. A file the parser only gave up on, for
+    its depth or size, keeps its findings."""
+    broken = facts.where(F.col("error.kind") == "syntax_error").select("repo_id", F.col("path").alias("file_path")).distinct()
     return findings.join(broken, ["repo_id", "file_path"], "left_anti")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from repolens import constants as K
 from repolens.functions import jsontext as J
 from repolens.functions import labels as L
-from repolens.operators.skew import hot_keys, ordinal, skew_join
+from repolens.operators.skew import hot_keys, ordinal
 
 
 def list_issues(
@@ -25,14 +25,24 @@ def list_issues(
 def list_issues_for(issues: DataFrame, requests: DataFrame) -> DataFrame:
     """:func:`list_issues` for many requests ``(request_id, repo_id, severity, category, file_path)``.
 
-    Null or empty fields of a request filter nothing.
+    Null or empty fields of a request filter nothing. A request is one key: its repository, which fields
+    it asks for, and their values. An issue has the eight keys it can be asked by, so the join pairs no
+    request with an issue it does not want.
     """
     fields = ("severity", "category", "file_path")
-    side = requests.select("request_id", "repo_id", *[F.col(f).alias(f"_{f}") for f in fields])
-    rows = skew_join(issues, side, ["repo_id"], "inner", spread_by=["issue_id"])
-    for f in fields:
-        rows = rows.where((F.coalesce(f"_{f}", F.lit("")) == "") | (F.col(f"_{f}") == F.col(f)))
-    return rows.drop(*[f"_{f}" for f in fields])
+    asks = [F.coalesce(f, F.lit("")) != "" for f in fields]
+    mask = sum((F.when(a, 1 << i).otherwise(0) for i, a in enumerate(asks)), F.lit(0))
+    side = requests.select(
+        "request_id", F.col("repo_id").alias("_repo"), mask.alias("_asked"),
+        *[F.when(a, F.col(f)).alias(f"_{f}") for f, a in zip(fields, asks)],
+    )
+    keys = F.explode(F.array(*[
+        F.struct(F.lit(m).alias("m"), *[(F.col(f) if m >> i & 1 else F.lit(None).cast("string")).alias(f) for i, f in enumerate(fields)])
+        for m in range(8)
+    ]))
+    same = [F.col("_key.m") == F.col("_asked"), *[F.col(f"_key.{f}").eqNullSafe(F.col(f"_{f}")) for f in fields]]
+    rows = issues.withColumn("_key", keys).join(side, [F.col("repo_id") == F.col("_repo"), *same])
+    return rows.select("request_id", *issues.columns)
 
 
 def get(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -74,7 +84,7 @@ def issue_progress(issues: DataFrame, order: list | None = None) -> DataFrame:
     hot = hot_keys(issues, ["repo_id"])
     placed = ordinal(issues, ["repo_id"], order or ["detected_at", "issue_id"], "position", hot=hot)
     totals = issues.groupBy("repo_id").agg(F.count("*").alias("total"))
-    rows = skew_join(placed, totals, ["repo_id"], "inner", spread_by=["issue_id"], hot=hot)
+    rows = placed.join(totals, "repo_id")
     return rows.withColumn("pct", (60 + F.floor((F.col("position") - 1) / F.col("total") * 30)).cast("int"))
 
 

@@ -13,8 +13,6 @@ from repolens import constants as K
 from repolens.functions import paths as P
 from repolens.functions import text as X
 
-MAX_RULES = 1000
-
 
 @dataclass(frozen=True)
 class LineRule:
@@ -73,11 +71,9 @@ LINE_RULES = [
 
 
 def rules_from_table(rules: DataFrame) -> list[LineRule]:
-    """Rules kept as rows with the fields of :class:`LineRule`; a rule table is small by nature."""
-    rows = rules.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} line rules")
-    return [LineRule(**r.asDict()) for r in rows]
+    """Rules kept as rows with the fields of :class:`LineRule`. Rules are code: each becomes a part of one
+    projection, so the driver needs them all."""
+    return [LineRule(**r.asDict()) for r in rules.collect()]
 
 
 def source_lines(files: DataFrame, content: str = "content") -> DataFrame:
@@ -124,7 +120,6 @@ def apply_line_rules(files: DataFrame, rules: list[LineRule] = LINE_RULES, conte
     lines = candidates.select(
         "repo_id", "path", "language", F.posexplode(X.split_lines(text)).alias("at", "line")
     ).where((language == "py") | X.is_js_code(line))
-    lines = lines.where(reduce(or_, [(language == r.language) & line.rlike(r.java) for r in rules]))
     hits = F.filter(F.array(*[_hit(r, n, line) for n, r in enumerate(rules, 1)]), lambda h: h.isNotNull())
     found = lines.select("repo_id", "path", "language", (F.col("at") + 1).alias("line_number"), F.explode(hits).alias("h"))
     is_py, number, rule = language == "py", F.col("line_number"), F.col("h.rule")

@@ -1,15 +1,13 @@
-"""Row numbers, previous rows and joins that hold when one key has a large share of all rows.
+"""Row numbers and previous rows that hold when one key has a large share of all rows.
 
 Keys with many rows are found first by a frequent-items sketch: one pass over the key columns, no
-shuffle, at most a thousand entries on the driver whatever the size of the data. A key the sketch misses
-has less than a thousandth of all rows and is left to sorting with spill.
+shuffle, at most ten thousand entries on the driver whatever the size of the data. A key the sketch misses
+has less than a ten-thousandth of all rows and is left to sorting with spill. Joins are left to Spark, which
+splits skewed partitions of a join as it runs.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +17,9 @@ from repolens.session import ensure_checkpoint_dir
 # this name takes precedence.
 HOT_ROWS_SETTING = "spark.repolens.hotRows"
 HOT_ROWS = 2_000_000
-SKETCH_KEYS = 1000
+SKETCH_KEYS = 10_000
 SKETCH_SIZE = 65_536
+SKETCH_GROUPS = 256
 
 
 def _limit(df: DataFrame, hot_rows: int | None) -> int:
@@ -35,8 +34,12 @@ def hot_keys_of(df: DataFrame, *keys: list[str], hot_rows: int | None = None) ->
     """For each set of key columns: hash of each key with more than about ``hot_rows`` rows, and its
     number of rows. All sets are counted in one pass."""
     hashes = df.select(*[_hash(k).alias(f"h{i}") for i, k in enumerate(keys)])
-    sketches = [F.expr(f"approx_top_k(h{i}, {SKETCH_KEYS}, {SKETCH_SIZE})") for i in range(len(keys))]
-    tops, limit = hashes.agg(*sketches).first(), _limit(df, hot_rows)
+    # Sketches of tasks meet in SKETCH_GROUPS tasks first, so that the last one merges few.
+    names = [f"h{i}" for i in range(len(keys))]
+    group = (F.spark_partition_id() % SKETCH_GROUPS).alias("_group")
+    parts = hashes.groupBy(group).agg(*[F.expr(f"approx_top_k_accumulate({n}, {SKETCH_SIZE}) AS {n}") for n in names])
+    whole = parts.agg(*[F.expr(f"approx_top_k_combine({n}, {SKETCH_SIZE}) AS {n}") for n in names])
+    tops, limit = whole.select(*[F.expr(f"approx_top_k_estimate({n}, {SKETCH_KEYS})") for n in names]).first(), _limit(df, hot_rows)
     return [{r.item: r["count"] for r in top or [] if r["count"] > limit} for top in tops]
 
 
@@ -61,35 +64,6 @@ def spread(df: DataFrame, keys: list[str], spread_by: list[str], hot_rows: int |
     return F.pmod(F.xxhash64(*spread_by), _cuts(keys, hot, _limit(df, hot_rows))).cast("int")
 
 
-def skew_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: list[str],
-    how: str,
-    spread_by: list[str],
-    hot_rows: int | None = None,
-    hot: dict[int, int] | None = None,
-) -> DataFrame:
-    """Equi join in which the rows of a hot key of ``big`` are cut over many tasks.
-
-    Only rows of hot keys get a salt, and only their partners in ``small`` (few rows per key) are
-    repeated. Rows without a key, which meet nobody, are spread too. ``how`` is inner, left,
-    left_semi or left_anti, so that no row of ``small`` can come out unmatched. ``hot`` are the hot
-    keys of ``big`` if they are known.
-    """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"not a join that can be salted: {how}")
-    hot = hot_keys(big, on, hot_rows) if hot is None else hot
-    if not hot:
-        return big.join(small, on, how)
-    cuts, row = _cuts(on, hot, _limit(big, hot_rows)), F.xxhash64(*spread_by)
-    no_key = reduce(or_, [F.col(k).isNull() for k in on])
-    salt = F.when(no_key, F.pmod(row, F.lit(1 << 16))).otherwise(F.pmod(row, cuts))
-    left = big.withColumn("_salt", salt.cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), cuts - 1)))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
-
-
 def _split_hot(
     df: DataFrame, keys: list[str], hot_rows: int | None, hot: dict[int, int] | None = None
 ) -> tuple[DataFrame, DataFrame | None, int]:

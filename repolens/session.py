@@ -1,4 +1,4 @@
-"""Session helpers: checkpoint folder, checked sizes, spreading of small inputs."""
+"""Session helpers: checkpoint folder, spreading of small inputs."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -26,16 +25,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return known
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame | None:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else None.
-
-    Counting stops after ``max_rows + 1`` rows. Use it for narrow rows only.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return None
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a result several branches read to the shared checkpoint folder, and read it back.
 

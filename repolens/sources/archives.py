@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import io
+import lzma
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens import constants as K
-from repolens.operators.skew import skew_join
 from repolens.session import materialize
 
 MEMBERS = (
@@ -19,6 +21,11 @@ MEMBERS = (
     "archive_bytes BIGINT, error STRING"
 )
 _BATCH_BYTES = 32 * 1024 * 1024
+# What reading a damaged, encrypted or unknown member raises; the decoders' errors share no base class.
+_DAMAGE = (
+    zipfile.BadZipFile, zlib.error, lzma.LZMAError, OSError, EOFError, NotImplementedError, RuntimeError, ValueError,
+    IndexError, struct.error, MemoryError,
+)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -61,9 +68,9 @@ def explode_archives(archives: DataFrame) -> DataFrame:
                     try:
                         data = z.read(info)
                         yield path, ord_, info.filename, len(data), data, True, length, None
-                    except (zipfile.BadZipFile, OSError, EOFError, NotImplementedError, RuntimeError, ValueError):
+                    except _DAMAGE:
                         yield path, ord_, info.filename, info.file_size, None, False, length, None
-        except zipfile.BadZipFile:
+        except _DAMAGE:
             yield path, 0, None, None, None, None, length, "not a zip archive"
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +148,7 @@ def _below_root(member, root):
 
 def unwrap_root(members: DataFrame) -> DataFrame:
     """Adds ``path``: the member name without the single top-level directory of its archive."""
-    joined = skew_join(members, _roots(members), ["archive"], "left", spread_by=["member"])
+    joined = members.join(_roots(members), "archive", "left")
     return joined.withColumn("path", _below_root(F.col("member"), F.col("root"))).drop("root")
 
 
@@ -155,6 +162,6 @@ def archive_files(members: DataFrame) -> DataFrame:
     outcome = archive_verdicts(members).where(F.col("reason").isNull()).join(_roots(members), "archive", "left")
     outcome = materialize(outcome, "archives")
     return (
-        skew_join(members.where(F.col("content").isNotNull()), outcome, ["archive"], "inner", spread_by=["member"])
+        members.where(F.col("content").isNotNull()).join(outcome, "archive")
         .select(F.col("archive").alias("repo_id"), _below_root(F.col("member"), F.col("root")).alias("path"), "size", "content")
     )

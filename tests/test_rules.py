@@ -87,6 +87,15 @@ def test_a_parser_crash_is_a_fact(corpus):
     assert [r.file_path for r in R.unused_imports(facts).collect()] == ["ok.py"]
 
 
+def test_no_file_vanishes(corpus):
+    """Valid code too deep for the parser has a row and keeps its line findings."""
+    deep = "x = " + "+".join(["1"] * 200_000) + "\npassword = \"abcdefgh\"\n"
+    assert file_facts(deep)["error"]["kind"] == "parse_error"
+    rows = FD.all_findings(corpus({"deep.py": deep, "bad.py": "def f(:\npassword = \"abcdefgh\"\n"})).collect()
+    assert sorted((r.file_path, r.title) for r in rows) == [
+        ("bad.py", "Syntax Error"), ("deep.py", "File Not Parsed"), ("deep.py", "Hardcoded Secret Detected")]
+
+
 def test_untested_functions(corpus):
     files = {
         "app.py": "def a(): pass\ndef b(): pass\nclass C:\n    def m(self):\n        def inner(): pass\ndef _p(): pass\ndef test_like(): pass\n"

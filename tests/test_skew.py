@@ -50,18 +50,11 @@ def test_previous(rows):
     assert as_set(plain.select("id", "before")) == as_set(cut.select("id", "before"))
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_join(rows, spark, how):
-    small = spark.createDataFrame([("hot", 1), ("k1", 2), ("k1", 3), ("zz", 4)], "k string, w int")
-    plain = rows.join(small, ["k"], how)
-    cut = S.skew_join(rows, small, ["k"], how, spread_by=["id"], hot_rows=50)
-    assert sorted(plain.columns) == sorted(cut.columns)
-    assert as_set(plain.select(sorted(plain.columns))) == as_set(cut.select(sorted(plain.columns)))
-
-
-def test_other_join_types_are_refused(rows):
-    with pytest.raises(ValueError):
-        S.skew_join(rows, rows, ["k"], "full_outer", spread_by=["id"])
+def test_many_hot_keys(rows):
+    """More hot keys than tasks, found through merged sketches."""
+    keyed = rows.where("k IS NOT NULL").repartition(300)
+    hot = S.hot_keys(keyed, ["k"], hot_rows=20)
+    assert sorted(hot.values()) == sorted(r["count"] for r in keyed.groupBy("k").count().where("count > 20").collect())
 
 
 def test_first_rows(rows):

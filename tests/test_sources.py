@@ -57,6 +57,22 @@ def zipped(members, compression=zipfile.ZIP_STORED):
     return buffer.getvalue()
 
 
+@pytest.mark.parametrize("method", [zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA])
+def test_damaged_archives_are_judged(spark, tmp_path, method):
+    """Whatever byte of a member is damaged, every archive gets a verdict and the good one is admitted."""
+    whole = zipped({"a.py": "".join(f"line {i} of text\n" for i in range(400))}, method)
+    (tmp_path / "good.zip").write_bytes(whole)
+    for at in range(30, len(whole) - 60, max(1, len(whole) // 25)):
+        damaged = bytearray(whole)
+        damaged[at] ^= 0x5A
+        (tmp_path / f"bad{at}.zip").write_bytes(bytes(damaged))
+    (tmp_path / "cut.zip").write_bytes(whole[: len(whole) // 2])
+    verdicts = {r.archive.rsplit("/", 1)[1]: r.reason for r in A.archive_verdicts(A.explode_archives(A.read_archives(spark, str(tmp_path)))).collect()}
+    assert len(verdicts) == len(list(tmp_path.iterdir()))
+    assert verdicts["good.zip"] is None and verdicts["cut.zip"] is not None
+    assert sum(v == "corrupt" for v in verdicts.values()) > 5
+
+
 def test_archives(spark, tmp_path):
     broken = bytearray(zipped({"a.py": "unique-content"}))
     at = broken.find(b"unique-content")
