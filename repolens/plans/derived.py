@@ -185,8 +185,8 @@ SELECT concat('fix', cast(floor(event_id / 20) AS bigint)) AS job_id, event_id A
 
 STATUS_LOG = """
 SELECT concat('job', user_id) AS job_id, event_id AS seq, CAST(ts AS timestamp) AS ts,
-  CASE event_type WHEN 'signup' THEN 'running' WHEN 'purchase' THEN 'succeeded' ELSE 'failed' END AS status
-FROM $events WHERE event_type IN ('signup', 'purchase', 'error')
+  CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'click' THEN 'cancelled' WHEN 'purchase' THEN 'succeeded' ELSE 'failed' END AS status
+FROM $events
 """
 
 URLS = """

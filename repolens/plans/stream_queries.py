@@ -11,16 +11,26 @@ from pyspark.sql import functions as F
 from repolens.plans import derived
 from repolens.plans.registry import ORACLES, Tables, query
 from repolens.streaming import folds, incremental
-from repolens.streaming.run import last_update, new_folder, rocksdb, run_available, to_files
+from repolens.streaming.run import last_update, new_folder, run_available, to_files
 
 
-def _stream(t: Tables, statement: str, table: str) -> DataFrame:
-    """A derived table as a stream of the files of the one table it comes from."""
+ARRIVALS = 5
+
+
+def _stream(t: Tables, statement: str, table: str, arrivals: int = 0) -> DataFrame:
+    """A derived table as a stream of the files of the one table it comes from; with ``arrivals``, of so
+    many files over which its rows are dealt by hash, one per micro-batch, so in no order of time."""
     path = f"{t.sf_dir.rstrip('/')}/{table}.parquet"
-    schema = t.spark.read.parquet(path).schema
+    rows = t.spark.read.parquet(path)
     view = f"{table}_stream"
-    # A stream takes a folder or a pattern, not the path of one file.
-    t.spark.readStream.schema(schema).parquet(f"{path[:-1]}[t]").createOrReplaceTempView(view)
+    if arrivals:
+        folder = new_folder(t.spark, "dealt")
+        rows.repartition(arrivals, F.xxhash64(*rows.columns)).write.parquet(folder)
+        stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    else:
+        # A stream takes a folder or a pattern, not the path of one file.
+        stream = t.spark.readStream.schema(rows.schema).parquet(f"{path[:-1]}[t]")
+    stream.createOrReplaceTempView(view)
     return t.spark.sql(statement.replace(f"${table}", view))
 
 
@@ -43,21 +53,18 @@ def stream_progress_fold(t: Tables) -> DataFrame:
 
 @_as("fix_fold")
 def stream_fix_fold(t: Tables) -> DataFrame:
-    with rocksdb(t.spark):
-        rows = to_files(folds.fix_fold_stream(_stream(t, derived.FIX_EVENTS, "events")), "update", "fixes")
+    rows = folds.fix_fold_stream(_stream(t, derived.FIX_EVENTS, "events", ARRIVALS))
     return last_update(rows, "job_id").fillna("-", ["diff", "error"])
 
 
 @query("""
 WITH s AS (SELECT job_id, min(ts) AS started, min(ts) FILTER (WHERE event IN ('done', 'error')) AS ended FROM {EVENTS} e GROUP BY job_id)
-SELECT job_id FROM s WHERE (ended IS NULL OR ended > started + INTERVAL 122 SECOND)
-  AND started + INTERVAL 122 SECOND < (SELECT max(ts) FROM {EVENTS} e) - INTERVAL 10 MINUTE
+SELECT job_id FROM s WHERE ended IS NULL OR ended > started + INTERVAL 122 SECOND
 """)
 def stream_job_timeouts(t: Tables) -> DataFrame:
-    """Jobs whose deadline the watermark has passed."""
-    with rocksdb(t.spark):
-        rows = to_files(folds.job_timeouts_stream(_stream(t, derived.EVENTS, "events")), "append", "timeouts")
-    return rows.select("job_id")
+    """All jobs that did not end within the budget."""
+    rows = last_update(folds.job_timeouts_stream(_stream(t, derived.EVENTS, "events", ARRIVALS)), "job_id")
+    return rows.where("timed_out").select("job_id")
 
 
 @_as("live_counts")
@@ -68,11 +75,10 @@ def stream_live_counts(t: Tables) -> DataFrame:
 
 @query("SELECT DISTINCT 'run' AS run_id, repo_id, file_path, line_number, title FROM {FINDINGS} f")
 def stream_dedup(t: Tables) -> DataFrame:
-    """Every finding arrives twice within the watermark."""
-    found = _stream(t, derived.ISSUES, "orders").withColumn("run_id", F.lit("run"))
-    twice = found.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("ts", F.col("detected_at"))
-    rows = to_files(folds.dedup_stream(twice), "append", "dedup")
-    return rows.select("run_id", "repo_id", "file_path", "line_number", "title")
+    """Every finding arrives twice, in any order and any distance."""
+    found = _stream(t, derived.ISSUES, "orders", ARRIVALS).withColumn("run_id", F.lit("run"))
+    twice = found.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return folds.dedup_stream(twice).select("run_id", "repo_id", "file_path", "line_number", "title")
 
 
 @_as("all_findings")

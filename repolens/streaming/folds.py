@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from repolens import constants as K
-from repolens.operators.skew import skew_join
-from repolens.schemas import LONG, STRING, TIMESTAMP, struct
-
-WATERMARK = "10 minutes"
+from repolens.streaming.run import first_of_each, refold
 
 # State before the first event, and after the last.
 START_PCT, START_MESSAGE = 5, "Starting analysis\u2026"
@@ -60,7 +52,7 @@ def fix_fold(events: DataFrame) -> DataFrame:
     """
     ends = events.where(F.col("event").isin("fix_complete", "fix_failed"))
     first = ends.groupBy("job_id").agg(F.min(F.struct("ts", "seq", "event", "diff", "message")).alias("end"))
-    rows = skew_join(events.select("job_id", "ts", "seq", "event"), first, ["job_id"], "left", spread_by=["seq"])
+    rows = events.select("job_id", "ts", "seq", "event").join(first, "job_id", "left")
     counted = (F.col("event") == "output") & (
         F.col("end").isNull() | (F.struct("ts", "seq") < F.struct("end.ts", "end.seq"))
     )
@@ -87,97 +79,18 @@ def job_timeouts(events: DataFrame, budget_seconds: int = K.JOB_BUDGET_SECONDS)
     return jobs.select("job_id", "started", (F.col("ended").isNull() | (F.col("ended") > deadline)).alias("timed_out"))
 
 
-class FixFold(StatefulProcessor):
-    """Stream form of :func:`fix_fold`; the state is a count and the ending, never the lines.
-
-    Of the lines in a micro-batch only their places in time are held, two numbers each.
-    """
-
-    OUTPUT = struct(job_id=STRING, status=STRING, lines=LONG, diff=STRING, error=STRING)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("fix", struct(status=STRING, lines=LONG, diff=STRING, error=STRING))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, lines, diff, error = self.state.get() if self.state.exists() else ("pending", 0, None, None)
-        if status in ("succeeded", "failed"):
-            return
-        places, end = [], None
-        for pdf in rows:
-            at = np.stack([pdf["ts"].astype("datetime64[us]").astype("int64"), pdf["seq"].astype("int64")])
-            places.append(at[:, (pdf["event"] == "output").to_numpy()])
-            for i in np.flatnonzero(pdf["event"].isin(["fix_complete", "fix_failed"])):
-                found = (*at[:, i], pdf["event"].iloc[i], pdf["diff"].iloc[i], pdf["message"].iloc[i])
-                end = found if end is None or found[:2] < end[:2] else end
-        ts, seq = np.concatenate(places, axis=1)
-        counted = len(ts) if end is None else ((ts < end[0]) | ((ts == end[0]) & (seq < end[1]))).sum()
-        lines += int(counted)
-        if end is not None:
-            status = "succeeded" if end[2] == "fix_complete" else "failed"
-            diff, error = (end[3], None) if status == "succeeded" else (None, end[4])
-        elif lines:
-            status = "running"
-        self.state.update((status, lines, diff, error))
-        yield pd.DataFrame([(key[0], status, lines, diff, error)], columns=self.OUTPUT.names)
-
-    def close(self) -> None:
-        pass
-
-
-class JobTimeout(StatefulProcessor):
-    """Emits a job once its deadline has passed without a done or error event."""
-
-    OUTPUT = struct(job_id=STRING, started=TIMESTAMP)
-    FIELDS = struct(started_ms=LONG, ended_ms=LONG)
-
-    def __init__(self, budget_seconds: int):
-        self.budget_ms = budget_seconds * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("job", self.FIELDS)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        started, ended = self.state.get() if self.state.exists() else (None, None)
-        for pdf in rows:
-            ms = pdf["ts"].astype("datetime64[us]").astype("int64") // 1000
-            first = int(ms.min())
-            if started is None or first < started:
-                if started is not None:
-                    self.handle.deleteTimer(started + self.budget_ms)
-                started = first
-                self.handle.registerTimer(started + self.budget_ms)
-            over = ms[pdf["event"].isin(["done", "error"])]
-            if len(over):
-                ended = int(over.min()) if ended is None else min(ended, int(over.min()))
-        self.state.update((started, ended))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
-            return
-        started, ended = self.state.get()
-        if ended is None or ended > started + self.budget_ms:
-            yield pd.DataFrame({"job_id": [key[0]], "started": [pd.Timestamp(started, unit="ms")]})
-
-    def close(self) -> None:
-        pass
-
-
-def fix_fold_stream(events: DataFrame) -> DataFrame:
-    """Needs the RocksDB state store; one row per job and micro-batch, in update mode."""
+def fix_fold_stream(events: DataFrame, name: str = "fixes") -> DataFrame:
+    """:func:`fix_fold` of a stream after each micro-batch: the jobs it touches, over all their events so
+    far. The outcome does not depend on the order of arrival, and no event is late."""
     rows = events.select("job_id", "ts", "seq", "event", "diff", "message")
-    return rows.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=FixFold(), outputStructType=FixFold.OUTPUT, outputMode="Update", timeMode="None"
-    )
+    return refold(rows, "job_id", fix_fold, name)
 
 
-def job_timeouts_stream(events: DataFrame, budget_seconds: int = K.JOB_BUDGET_SECONDS) -> DataFrame:
-    """Timed-out jobs as the watermark passes their deadlines. Needs the RocksDB state store."""
-    rows = events.select("job_id", "ts", "event").withWatermark("ts", WATERMARK)
-    return rows.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=JobTimeout(budget_seconds), outputStructType=JobTimeout.OUTPUT, outputMode="Append", timeMode="EventTime"
-    )
+def job_timeouts_stream(events: DataFrame, budget_seconds: int = K.JOB_BUDGET_SECONDS, name: str = "timeouts") -> DataFrame:
+    """:func:`job_timeouts` of a stream after each micro-batch; a job that ends in time after all, by an
+    event that came late, has a later row that says so."""
+    rows = events.select("job_id", "ts", "event")
+    return refold(rows, "job_id", lambda stored: job_timeouts(stored, budget_seconds), name)
 
 
 def live_counts(issues: DataFrame) -> DataFrame:
@@ -185,11 +98,10 @@ def live_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("repo_id", "severity").agg(F.count("*").alias("issues"))
 
 
-def dedup_stream(findings: DataFrame, time: str = "ts") -> DataFrame:
-    """Findings of a stream, each key once within the watermark."""
-    return findings.withWatermark(time, WATERMARK).dropDuplicatesWithinWatermark(
-        ["run_id", "repo_id", "file_path", "line_number", "title"]
-    )
+def dedup_stream(findings: DataFrame, name: str = "dedup") -> DataFrame:
+    """Findings of a stream, each key once however far apart its copies arrive: the first one of the first
+    micro-batch that has it."""
+    return first_of_each(findings, ["run_id", "repo_id", "file_path", "line_number", "title"], name)
 
 
 def test_results(events: DataFrame) -> DataFrame:

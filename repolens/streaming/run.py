@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,25 +12,10 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from repolens.session import ensure_checkpoint_dir
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@contextmanager
-def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Streams started inside keep their state in RocksDB, as the stateful processors ask for."""
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, ROCKSDB)
-    try:
-        yield
-    finally:
-        spark.conf.set(_PROVIDER, before)
-
-
 def run_available(writer: DataStreamWriter) -> None:
     """Process all data that is there, then stop."""
     query = writer.trigger(availableNow=True).start()
@@ -49,7 +33,50 @@ def to_files(rows: DataFrame, mode: str, name: str) -> DataFrame:
 
     writer = rows.writeStream.outputMode(mode).foreachBatch(store)
     run_available(writer.option("checkpointLocation", f"{folder}/state"))
-    return spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/out")
+    return spark.read.schema(_with_batch(rows.schema)).parquet(f"{folder}/out")
+
+
+def _with_batch(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+
+
+def refold(rows: DataFrame, key: str, fold: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """What ``fold`` gives for the keys of each micro-batch over all their rows so far, with ``batch``.
+
+    Rows are stored as they come, and a key that gets more of them is folded anew: an event is never too
+    late, and the last row of a key is what the fold over the whole table gives. A repeated micro-batch
+    replaces its own folders. The stored rows of touched keys are read again; join and fold are shuffles
+    that Spark can split, no state is held in memory.
+    """
+    folder, schema = new_folder(rows.sparkSession, name), rows.schema
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+        stored = spark.read.schema(_with_batch(schema)).parquet(f"{folder}/rows").where(F.col("batch") <= batch_id)
+        touched = stored.where(F.col("batch") == batch_id).select(key).distinct()
+        fold(stored.drop("batch").join(touched, key, "left_semi")).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    run_available(rows.writeStream.foreachBatch(store).option("checkpointLocation", f"{folder}/state"))
+    spark = rows.sparkSession
+    return spark.read.schema(_with_batch(fold(spark.createDataFrame([], schema)).schema)).parquet(f"{folder}/out")
+
+
+def first_of_each(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The rows of a stream whose keys no earlier micro-batch had, one for each; nulls are equal."""
+    folder, schema = new_folder(rows.sparkSession, name), rows.schema
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark, fresh = batch.sparkSession, batch.dropDuplicates(keys)
+        if batch_id:
+            seen = spark.read.schema(_with_batch(schema)).parquet(f"{folder}/out").where(F.col("batch") < batch_id)
+            seen = seen.select(*[F.col(k).alias(f"_{k}") for k in keys])
+            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+            fresh = fresh.join(seen, same, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    run_available(rows.writeStream.foreachBatch(store).option("checkpointLocation", f"{folder}/state"))
+    return rows.sparkSession.read.schema(schema).parquet(f"{folder}/out")
 
 
 def last_update(rows: DataFrame, key: str) -> DataFrame:
