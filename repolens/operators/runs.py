@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repolens import constants as K
 from repolens.functions.logs import parse_test_log
 from repolens.functions.text import not_blank
-from repolens.operators.skew import first_rows, hot_keys_of, ordinal, skew_join
+from repolens.operators.enrich import with_fix_prompt
+from repolens.operators.issues import gate_approve
+from repolens.operators.skew import first_rows, ordinal
+
+
+# Stands for a missing time: earlier than all others.
+_NO_TIME = datetime.datetime(1, 1, 1)
 
 
 def parse_runs(logs: DataFrame) -> DataFrame:
@@ -27,29 +35,41 @@ def parse_runs(logs: DataFrame) -> DataFrame:
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
-    """The newest run of each repository with all its columns; equal times go by id.
+    """The newest run of each repository with all its columns; equal times go by id, a run without a time
+    comes before all others.
 
-    Works on raw logs too: picking the run first saves parsing the logs of all others.
+    The run is picked on narrow columns, so no task sorts logs; the logs of the runs that were picked are
+    fetched by id afterwards.
     """
-    rest = [c for c in runs.columns if c not in ("repo_id", "ran_at", "run_id")]
-    newest = F.max(F.struct("ran_at", "run_id", *rest))
-    return runs.groupBy("repo_id").agg(newest.alias("r")).select("repo_id", "r.*")
+    return _fetch(runs, _end(runs, F.max))
+
+
+def _end(runs: DataFrame, pick) -> DataFrame:
+    """``(_repo, _at, _run)``: the first or last run by time, then by id."""
+    at = runs.groupBy("repo_id").agg(pick(F.coalesce("ran_at", F.lit(_NO_TIME))).alias("_at"))
+    ties = runs.select(F.col("repo_id").alias("_repo"), F.coalesce("ran_at", F.lit(_NO_TIME)).alias("_when"), "run_id")
+    ties = ties.join(at, F.col("_repo").eqNullSafe(F.col("repo_id")) & (F.col("_when") == F.col("_at")))
+    return ties.groupBy("_repo", "_at").agg(pick("run_id").alias("_run"))
+
+
+def _fetch(runs: DataFrame, ends: DataFrame) -> DataFrame:
+    same = F.col("repo_id").eqNullSafe(F.col("_repo")) & F.col("run_id").eqNullSafe(F.col("_run"))
+    return runs.join(ends, same & (F.coalesce("ran_at", F.lit(_NO_TIME)) == F.col("_at")), "left_semi")
 
 
 def first_vs_latest_run(runs: DataFrame) -> DataFrame:
     """Oldest and newest run; the oldest is null if there is only one run. Takes raw logs."""
-    at = F.struct("ran_at", "run_id", "output")
-    ends = runs.groupBy("repo_id").agg(F.min(at).alias("f"), F.max(at).alias("l"), F.count("*").alias("runs"))
-    several = F.col("runs") > 1
-    ends = ends.withColumn("first", parse_test_log(F.col("f.output"))).withColumn("last", parse_test_log(F.col("l.output")))
-    return ends.select(
-        "repo_id", "runs",
-        F.when(several, F.col("f.run_id")).alias("first_run_id"),
-        F.when(several, F.col("first.passed")).alias("first_tests_passed"),
-        F.when(several, F.col("first.failed")).alias("first_tests_failed"),
-        F.col("l.run_id").alias("latest_run_id"),
-        F.col("last.passed").alias("latest_tests_passed"),
-        F.col("last.failed").alias("latest_tests_failed"),
+    def parsed(pick, name: str) -> DataFrame:
+        end = _fetch(runs, _end(runs, pick)).withColumn("log", parse_test_log(F.col("output")))
+        counts = [F.col(f"log.{c}").alias(f"{name}_tests_{c}") for c in ("passed", "failed")]
+        return end.select(F.col("repo_id").alias(f"_{name}"), F.col("run_id").alias(f"{name}_run_id"), *counts)
+
+    counts = runs.groupBy("repo_id").agg(F.count("*").alias("runs"))
+    several = counts.where("runs > 1").select("repo_id")
+    first = parsed(F.min, "first").join(several, F.col("_first").eqNullSafe(F.col("repo_id")), "left_semi")
+    rows = counts.join(parsed(F.max, "latest"), F.col("repo_id").eqNullSafe(F.col("_latest")))
+    return rows.join(first, F.col("repo_id").eqNullSafe(F.col("_first")), "left").select(
+        "repo_id", "runs", *[f"{e}_{c}" for e in ("first", "latest") for c in ("run_id", "tests_passed", "tests_failed")]
     )
 
 
@@ -61,16 +81,14 @@ def runs_newest_first(runs: DataFrame) -> DataFrame:
 def runs_with_jobs(runs: DataFrame, jobs: DataFrame) -> DataFrame:
     """Every run, with issue and status of its job if it has one."""
     side = jobs.select("job_id", "issue_id", F.col("status").alias("job_status"))
-    return skew_join(runs, side, ["job_id"], "left", spread_by=["run_id"])
+    return runs.join(side, "job_id", "left")
 
 
 def job_context(jobs: DataFrame, issues: DataFrame, repos: DataFrame) -> DataFrame:
     """Jobs with their issue and repository; a job that lacks either is left out."""
     issue = issues.select("issue_id", "title", "severity", "file_path", "line_number")
     repo = repos.select("repo_id", F.col("name").alias("repo_name"))
-    hot_issues, hot_repos = hot_keys_of(jobs, ["issue_id"], ["repo_id"])
-    with_issue = skew_join(jobs, issue, ["issue_id"], "inner", spread_by=["job_id"], hot=hot_issues)
-    return skew_join(with_issue, repo, ["repo_id"], "inner", spread_by=["job_id"], hot=hot_repos)
+    return jobs.join(issue, "issue_id").join(repo, "repo_id")
 
 
 def job_outcome(diff: Column) -> Column:
@@ -85,17 +103,37 @@ def issue_status_after_jobs(issues: DataFrame, jobs: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("_done"), F.lit("fixed")).otherwise(F.col("status"))).drop("_done")
 
 
-def job_output(events: DataFrame, lines_per_part: int = 10_000) -> DataFrame:
-    """``(job_id, part, output)``: output lines in order, joined by newlines.
+def job_output(events: DataFrame) -> DataFrame:
+    """``(job_id, position, line)``: the output of each job, a row per line, in order of ``seq`` from 1.
 
-    A job with more lines than ``lines_per_part`` has several parts, in order, so that no row grows
-    without bound; its whole output is the parts joined by newlines.
+    One row per line holds for a job of any length; its text is the lines joined by newlines.
     """
-    lines = events.where(F.col("event") == "output").select("job_id", "seq", "message")
-    placed = ordinal(lines, ["job_id"], ["seq"], "at")
-    part = F.floor((F.col("at") - 1) / lines_per_part).cast("bigint")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "message"))), lambda x: x.message), "\n")
-    return placed.groupBy("job_id", part.alias("part")).agg(text.alias("output"))
+    lines = events.where(F.col("event") == "output").select("job_id", "seq", F.col("message").alias("line"))
+    return ordinal(lines, ["job_id"], ["seq"], "position").drop("seq")
+
+
+def diffs_in_order(jobs: DataFrame) -> DataFrame:
+    """``(repo_id, position, job_id, completed_at, diff)``: all diffs of succeeded jobs, whole, in order of
+    completion. :func:`diff_preview` shows the start of them."""
+    done = jobs.where((F.col("status") == "succeeded") & (F.coalesce("diff", F.lit("")) != ""))
+    rows = done.select("repo_id", "job_id", "completed_at", "diff")
+    return ordinal(rows, ["repo_id"], ["completed_at", "job_id"], "position")
+
+
+def to_fix_jobs(issues: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What approving these issues stores: new rows of fix jobs, and the issues' new status rows.
+
+    Issues that are fixed already get neither. ``issues`` has the columns of the fix request. The id is a
+    hash of the issue, so a repeated task writes the same rows.
+    """
+    asked = with_fix_prompt(gate_approve(issues).where("allowed"))
+    jobs = asked.select(
+        F.sha2(F.concat_ws("\u0001", F.lit("fix"), "issue_id", F.lit("1")), 256).alias("job_id"), "issue_id", "repo_id",
+        "prompt", F.lit(None).cast("string").alias("output"), F.lit(None).cast("string").alias("diff"),
+        F.lit("pending").alias("status"), F.lit(1).alias("attempt_number"),
+        *[F.lit(None).cast("timestamp").alias(c) for c in ("started_at", "completed_at")],
+    )
+    return jobs, asked.select("issue_id", "repo_id", F.lit("approved").alias("status"))
 
 
 def diff_preview(jobs: DataFrame, chars: int = K.DIFF_PREVIEW_CHARS) -> DataFrame:

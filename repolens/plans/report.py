@@ -11,7 +11,6 @@ from repolens.operators import health as H
 from repolens.operators import runs as R
 from repolens.operators.skew import ordinal
 
-PAGE = 1000
 _REF = ["issue_id", "title", "severity", "category", "file_path", "line_number"]
 
 
@@ -43,32 +42,30 @@ def report_core(repos: DataFrame, issues: DataFrame, jobs: DataFrame, runs: Data
 
 
 def issue_refs(issues: DataFrame) -> DataFrame:
-    """The fixed and open issues as short references, one row each."""
+    """The fixed and open issues as short references, one row each, with their ``position`` in their list."""
     listed = issues.where(F.col("status").isin("fixed", "open"))
-    return listed.select("repo_id", F.col("status").alias("list"), *_REF)
+    placed = ordinal(listed, ["repo_id", "status"], ["detected_at", "issue_id"], "position")
+    return placed.select("repo_id", F.col("status").alias("list"), "position", *_REF)
 
 
-def issue_pages(issues: DataFrame, page_size: int = PAGE) -> DataFrame:
-    """``(repo_id, page, fixed_issue_list, open_issue_list)`` with at most ``page_size`` each."""
-    listed = issues.where(F.col("status").isin("fixed", "open"))
-    placed = ordinal(listed, ["repo_id", "status"], ["detected_at", "issue_id"], "at")
-    ref = F.struct("at", F.struct(F.col("issue_id").alias("id"), *_REF[1:]).alias("ref"))
-    refs = lambda status: F.transform(
-        F.sort_array(F.collect_list(F.when(F.col("status") == status, ref))), lambda x: x.ref
-    )
-    page = F.floor((F.col("at") - 1) / page_size).cast("bigint")
-    return placed.groupBy("repo_id", page.alias("page")).agg(
-        refs("fixed").alias("fixed_issue_list"), refs("open").alias("open_issue_list")
-    )
+def with_issue_lists(reports: DataFrame, refs: DataFrame) -> DataFrame:
+    """Whole documents: reports with their issue lists nested. For the repositories asked for, as a
+    document holds all its issues in one row."""
+    ref = F.struct("position", F.struct(F.col("issue_id").alias("id"), *_REF[1:]).alias("ref"))
+    nested = lambda name: F.transform(
+        F.sort_array(F.collect_list(F.when(F.col("list") == name, ref))), lambda x: x.ref
+    ).alias(f"{name}_issue_list")
+    lists = refs.join(reports.select("repo_id"), "repo_id", "left_semi").groupBy("repo_id").agg(nested("fixed"), nested("open"))
+    none = F.array().cast("array<struct<id:string,title:string,severity:string,category:string,file_path:string,line_number:int>>")
+    empty = {c: F.coalesce(c, none) for c in ("fixed_issue_list", "open_issue_list")}
+    return reports.join(lists, "repo_id", "left").withColumns(empty)
 
 
-def repo_report(
-    repos: DataFrame, issues: DataFrame, jobs: DataFrame, runs: DataFrame, page_size: int = PAGE
-) -> DataFrame:
-    """Nested reports, one row per repository and page of its issue lists.
+def repo_report(repos: DataFrame, issues: DataFrame, jobs: DataFrame, runs: DataFrame) -> DataFrame:
+    """Nested reports, one row per repository.
 
-    A repository with at most ``page_size`` fixed and open issues has the one page 0. Larger lists go
-    on over further pages with the same head, so that no row grows without bound.
+    Their issue lists are rows of their own, :func:`issue_refs`, so that no row grows with a repository;
+    :func:`with_issue_lists` puts them in.
     """
     levels = H.severity_breakdown(issues)
     by_level = levels.groupBy("repo_id").agg(
@@ -84,13 +81,11 @@ def repo_report(
         for x in (F.lit(s), F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("fixed")))
     ])
     no_categories = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
-    none = F.array().cast("array<struct<id:string,title:string,severity:string,category:string,file_path:string,line_number:int>>")
     rows = (
         report_core(repos, issues, jobs, runs)
         .join(by_level, "repo_id", "left")
         .join(by_category, "repo_id", "left")
         .join(R.diff_preview(jobs), "repo_id", "left")
-        .join(issue_pages(issues, page_size), "repo_id", "left")
     )
     tests = F.when(
         F.col("tests_total").isNotNull(),
@@ -101,7 +96,6 @@ def repo_report(
     )
     return rows.select(
         "repo_id",
-        F.coalesce("page", F.lit(0)).alias("page"),
         F.col("name").alias("repo_name"),
         iso_utc(F.current_timestamp()).alias("generated_at"),
         F.struct("before", "after", "improvement").alias("health"),
@@ -112,6 +106,4 @@ def repo_report(
         ).alias("issues"),
         F.struct("total_jobs", "succeeded", "failed", "diff_preview").alias("fixes"),
         tests.alias("tests"),
-        F.coalesce("fixed_issue_list", none).alias("fixed_issue_list"),
-        F.coalesce("open_issue_list", none).alias("open_issue_list"),
     )

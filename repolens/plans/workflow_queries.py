@@ -253,15 +253,23 @@ def diff_preview(t: Tables) -> DataFrame:
     return R.diff_preview(t.jobs)
 
 
-@query("""
-SELECT job_id, part, string_agg(message, chr(10) ORDER BY seq) AS output FROM (SELECT job_id, seq, message,
-  CAST(floor((row_number() OVER (PARTITION BY job_id ORDER BY seq) - 1) / 10000) AS bigint) AS part FROM {EVENTS} e WHERE event = 'output') l GROUP BY job_id, part
-""")
+@query("SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS position, message AS line FROM {EVENTS} e WHERE event = 'output'")
 def job_output(t: Tables) -> DataFrame:
     return R.job_output(t.events)
 
 
-@query("SELECT repo_id, status AS list, issue_id, title, severity, category, file_path, line_number FROM {ISSUES} i WHERE status IN ('fixed', 'open')")
+@query("""
+SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY completed_at, job_id) AS position, job_id, diff FROM {JOBS} j
+WHERE status = 'succeeded' AND coalesce(diff, '') <> ''
+""")
+def diffs_in_order(t: Tables) -> DataFrame:
+    return R.diffs_in_order(t.jobs).drop("completed_at")
+
+
+@query("""
+SELECT repo_id, status AS list, row_number() OVER (PARTITION BY repo_id, status ORDER BY detected_at, issue_id) AS position, issue_id, title, severity, category, file_path, line_number
+FROM {ISSUES} i WHERE status IN ('fixed', 'open')
+""")
 def issue_refs(t: Tables) -> DataFrame:
     return RP.issue_refs(t.issues)
 
@@ -365,39 +373,74 @@ def report_core(t: Tables) -> DataFrame:
     return rows.fillna(-1, ["tests_total", "tests_passed", "tests_failed"]).fillna("-", ["tests_ran_at"])
 
 
-@query(f"""
-SELECT c.repo_id, coalesce(x.page, CAST(0 AS bigint)) AS page, c.after, c.total, c.total_jobs, c.tests_total, coalesce(p.diff_preview, '-') AS diff_preview,
-  CAST(coalesce(s.critical, 0) AS bigint) AS critical, coalesce(x.open_ids, '') AS open_ids, coalesce(x.fixed_ids, '') AS fixed_ids FROM {_CORE} c
+_REPORT = f"""(SELECT c.repo_id, c.name, c.before, c.after, c.total, c.fixed, c.remaining, c.approved, c.fix_rate_pct, c.total_jobs, c.succeeded, c.failed, c.tests_total,
+  coalesce(p.diff_preview, '-') AS diff_preview, CAST(coalesce(s.critical, 0) AS bigint) AS critical FROM {_CORE} c
 LEFT JOIN {_PREVIEW} p ON p.repo_id = c.repo_id
-LEFT JOIN (SELECT repo_id, count(*) FILTER (WHERE severity = 'critical') AS critical FROM {{ISSUES}} i GROUP BY repo_id) s ON s.repo_id = c.repo_id
-LEFT JOIN (SELECT repo_id, page, string_agg(issue_id, ' ' ORDER BY detected_at, issue_id) FILTER (WHERE status = 'open') AS open_ids,
-  string_agg(issue_id, ' ' ORDER BY detected_at, issue_id) FILTER (WHERE status = 'fixed') AS fixed_ids FROM
-  (SELECT *, CAST(floor((row_number() OVER (PARTITION BY repo_id, status ORDER BY detected_at, issue_id) - 1) / 1000) AS bigint) AS page
-   FROM {{ISSUES}} i WHERE status IN ('open', 'fixed')) i GROUP BY repo_id, page) x ON x.repo_id = c.repo_id
-""")
-def repo_report(t: Tables) -> DataFrame:
-    rows = RP.repo_report(t.repos, t.issues, t.jobs, t.runs)
-    ids = lambda name: F.array_join(F.transform(f"{name}_issue_list", lambda x: x["id"]), " ").alias(f"{name}_ids")
-    return rows.select(
-        "repo_id", "page", "health.after", "issues.total", "fixes.total_jobs",
+LEFT JOIN (SELECT repo_id, count(*) FILTER (WHERE severity = 'critical') AS critical FROM {{ISSUES}} i GROUP BY repo_id) s ON s.repo_id = c.repo_id)"""
+
+
+def _flat(report: DataFrame) -> list:
+    return [
+        "repo_id", F.col("repo_name").alias("name"), F.coalesce("health.before", F.lit(-1)).alias("before"), "health.after",
+        *[f"issues.{c}" for c in ("total", "fixed", "remaining", "approved", "fix_rate_pct")],
+        *[f"fixes.{c}" for c in ("total_jobs", "succeeded", "failed")],
         F.coalesce("tests.tests_total", F.lit(-1)).alias("tests_total"),
         F.coalesce("fixes.diff_preview", F.lit("-")).alias("diff_preview"),
-        F.col("issues.severity_breakdown")["critical"]["total"].alias("critical"), ids("open"), ids("fixed"),
-    )
+        F.col("issues.severity_breakdown")["critical"]["total"].alias("critical"),
+    ]
+
+
+@query(f"SELECT r.* REPLACE (coalesce(before, -1) AS before) FROM {_REPORT} r")
+def repo_report(t: Tables) -> DataFrame:
+    report = RP.repo_report(t.repos, t.issues, t.jobs, t.runs)
+    return report.select(*_flat(report))
 
 
-@query(f"SELECT repo_id, name, after, total, total_jobs, coalesce(before, -1) AS before FROM {_CORE} c")
+@query(f"""
+SELECT r.* REPLACE (coalesce(before, -1) AS before), coalesce(open_ids, '') AS open_ids, coalesce(fixed_ids, '') AS fixed_ids FROM {_REPORT} r
+LEFT JOIN (SELECT repo_id, string_agg(issue_id, ' ' ORDER BY detected_at, issue_id) FILTER (WHERE status = 'open') AS open_ids,
+  string_agg(issue_id, ' ' ORDER BY detected_at, issue_id) FILTER (WHERE status = 'fixed') AS fixed_ids
+  FROM {{ISSUES}} i WHERE status IN ('open', 'fixed') GROUP BY repo_id) x ON x.repo_id = r.repo_id
+""")
 def report_documents(t: Tables) -> DataFrame:
-    """The first pages of the reports as stored documents."""
+    """Reports stored as whole documents and read back, issue lists included."""
     path = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/reports-{uuid4().hex}"
-    report = RP.repo_report(t.repos, t.issues, t.jobs, t.runs)
+    report = RP.with_issue_lists(RP.repo_report(t.repos, t.issues, t.jobs, t.runs), RP.issue_refs(t.issues))
     write_report(report, path)
-    return t.spark.read.schema(report.schema).json(path).where("page = 0").select(
-        "repo_id", F.col("repo_name").alias("name"), "health.after", "issues.total", "fixes.total_jobs",
-        F.coalesce("health.before", F.lit(-1)).alias("before"),
+    ids = lambda name: F.array_join(F.transform(f"{name}_issue_list", lambda x: x["id"]), " ").alias(f"{name}_ids")
+    return t.spark.read.schema(report.schema).json(path).select(*_flat(report), ids("open"), ids("fixed"))
+
+
+@query(f"""
+SELECT p.issue_id, i.repo_id, p.prompt, 'pending' AS status, 1 AS attempt_number, 'approved' AS issue_status
+FROM {_PROMPT} p JOIN {{ISSUES}} i ON i.issue_id = p.issue_id WHERE i.status <> 'fixed'
+""")
+def approved_jobs(t: Tables) -> DataFrame:
+    """Approving all issues: fix jobs with their prompts, and the issues' new status."""
+    issues = t.full_issues.join(t.issues.select("issue_id", "repo_id", "status"), "issue_id")
+    jobs, approved = R.to_fix_jobs(issues)
+    return jobs.join(approved.select("issue_id", F.col("status").alias("issue_status")), "issue_id").select(
+        "issue_id", "repo_id", "prompt", "status", "attempt_number", "issue_status"
     )
 
 
+@query("""
+SELECT job_id, issue_id, repo_id, status, coalesce(diff, '-') AS diff, strftime(completed_at, '%Y-%m-%dT%H:%M:%S') AS completed_at FROM {JOBS} j
+""")
+def job_view(t: Tables) -> DataFrame:
+    none = {c: F.lit(None) for c in ("attempt_number", "output", "started_at")}
+    rows = I.job_view(t.jobs.withColumns(none).withColumn("started_at", F.col("started_at").cast("timestamp")))
+    return rows.select("job_id", "issue_id", "repo_id", "status", "diff", "completed_at").fillna("-", ["diff"])
+
+
+@query(f"""
+SELECT run_id, repo_id, coalesce(job_id, '-') AS job_id, p + f > 0 AND f = 0 AS passed, p + f AS tests_total, p AS tests_passed, f AS tests_failed,
+  strftime(ran_at, '%Y-%m-%dT%H:%M:%S') AS ran_at FROM {_LOG} l
+""")
+def run_view(t: Tables) -> DataFrame:
+    return I.run_view(R.parse_runs(t.runs)).drop("output").fillna("-", ["job_id"])
+
+
 @query("SELECT job_id, seq, status FROM {STATUS_LOG} l QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) = 1")
 def latest_state(t: Tables) -> DataFrame:
     return LC.latest_state(t.status_log, "job_id").select("job_id", "seq", "status")

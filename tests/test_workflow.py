@@ -12,6 +12,7 @@ from repolens.operators import health as H
 from repolens.operators import issues as I
 from repolens.operators import runs as R
 from repolens.plans import report as RP
+from repolens.schemas import FIX_JOBS
 from repolens.sources.tables import write_report
 
 ISSUES = "issue_id string, repo_id string, severity string, category string, status string, title string, file_path string, line_number int, detected_at timestamp"
@@ -92,17 +93,23 @@ def test_report(repos, issues, jobs, runs):
     assert tuple(r.fixes) == (4, 3, 1, "diff two\ndiff one") and s.fixes.diff_preview is None
     assert (r.tests.passed, r.tests.tests_total, r.tests.tests_failed, r.tests.ran_at) == (False, 3, 1, "2024-01-02T00:00:00")
     assert t.tests is None and t.issues.total == 0 and t.issues.severity_breakdown["low"].total == 0
+    whole = RP.with_issue_lists(RP.repo_report(repos, issues, jobs, runs), RP.issue_refs(issues)).collect()
+    r, t = (next(x for x in whole if x.repo_id == i) for i in "rt")
     assert [x.id for x in r.fixed_issue_list] == ["i2", "i4"] and [x.id for x in r.open_issue_list] == ["i1", "i5"]
     assert r.open_issue_list[0].title == "T1" and t.open_issue_list == []
 
 
-def test_long_lists_go_on_over_pages(spark, repos, jobs, runs):
-    rows = [issue(n, status="open" if n % 3 else "fixed") for n in range(1, 26)]
-    pages = RP.repo_report(repos, spark.createDataFrame(rows, ISSUES), jobs, runs, page_size=5).where("repo_id = 'r'").orderBy("page").collect()
-    assert [p.page for p in pages] == [0, 1, 2, 3]
-    assert all(len(p.open_issue_list) <= 5 and len(p.fixed_issue_list) <= 5 and p.issues.total == 25 for p in pages)
-    assert [x.id for p in pages for x in p.open_issue_list] == [f"i{n}" for n in range(1, 26) if n % 3]
-    assert [x.id for p in pages for x in p.fixed_issue_list] == [f"i{n}" for n in range(1, 26) if n % 3 == 0]
+def test_long_lists_are_rows(spark, repos, jobs, runs):
+    """A repository with thousands of issues has one report and a row per issue."""
+    many = spark.createDataFrame([issue(n, status="open" if n % 3 else "fixed") for n in range(1, 2501)], ISSUES)
+    report = RP.repo_report(repos, many, jobs, runs).where("repo_id = 'r'").collect()
+    assert len(report) == 1 and report[0].issues.total == 2500
+    refs = RP.issue_refs(many).orderBy("list", "position").collect()
+    by_time = sorted(many.collect(), key=lambda i: (i.detected_at, i.issue_id))
+    for name in ("fixed", "open"):
+        mine = [r for r in refs if r["list"] == name]
+        assert [r.position for r in mine] == list(range(1, len(mine) + 1))
+        assert [r.issue_id for r in mine] == [i.issue_id for i in by_time if i.status == name]
 
 
 def test_report_documents(repos, issues, jobs, runs, tmp_path):
@@ -123,13 +130,38 @@ def test_diff_preview_is_cut_like_the_whole_text(spark):
     assert short == whole[:11]
 
 
-def test_job_output_in_parts(spark):
+def test_job_output_is_a_row_a_line(spark):
     rows = [("a", n, "output", f"line {n}") for n in range(25)] + [("a", 99, "done", "end"), ("b", 1, "output", "only")]
-    events = spark.createDataFrame(rows, "job_id string, seq long, event string, message string")
-    whole = R.job_output(events).where("job_id = 'a'").collect()
-    assert len(whole) == 1 and whole[0].output == "\n".join(f"line {n}" for n in range(25))
-    parts = R.job_output(events, lines_per_part=10).where("job_id = 'a'").orderBy("part").collect()
-    assert [p.part for p in parts] == [0, 1, 2] and "\n".join(p.output for p in parts) == whole[0].output
+    events = spark.createDataFrame(rows, "job_id string, seq long, event string, message string").repartition(4)
+    got = R.job_output(events).orderBy("job_id", "position").collect()
+    assert [tuple(r) for r in got] == [("a", "line " + str(n), n + 1) for n in range(25)] + [("b", "only", 1)]
+
+
+def test_whole_diffs_in_order(jobs):
+    got = R.diffs_in_order(jobs).where("repo_id = 'r'").orderBy("position").collect()
+    assert "\n".join(r["diff"] for r in got) == "diff two\ndiff one"
+
+
+def test_approval_makes_jobs(spark):
+    rows = [issue(n, status=s) for n, s in enumerate(("open", "fixed", "approved"), 1)]
+    issues = spark.createDataFrame(rows, ISSUES).selectExpr("*", "'d' AS description", "'' AS evidence", "'' AS suggested_fix", "'' AS fix_plan")
+    new, approved = R.to_fix_jobs(issues)
+    got = sorted(new.collect(), key=lambda r: r.issue_id)
+    assert [(r.issue_id, r.status, r.attempt_number, r.diff) for r in got] == [("i1", "pending", 1, None), ("i3", "pending", 1, None)]
+    assert new.columns == [f.name for f in FIX_JOBS.fields]
+    assert {tuple(r) for r in approved.collect()} == {("i1", "r", "approved"), ("i3", "r", "approved")}
+    assert [r.job_id for r in R.to_fix_jobs(issues)[0].orderBy("issue_id").collect()] == [r.job_id for r in got]
+
+
+def test_newest_run_without_times_and_with_ties(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [("r", "t1", None, "1 passed"), ("r", "t2", None, "2 passed"), ("s", "a", at, "3 passed"), ("s", "b", at, "4 passed"), ("s", "c", None, "x"), (None, "n", at, "5 passed")]
+    runs = spark.createDataFrame(rows, "repo_id string, run_id string, ran_at timestamp, output string")
+    assert {(r.repo_id, r.run_id, r.output) for r in R.latest_run(runs).collect()} == {("r", "t2", "2 passed"), ("s", "b", "4 passed"), (None, "n", "5 passed")}
+    ends = {r.repo_id: (r.first_run_id, r.latest_run_id, r.runs, r.latest_tests_passed) for r in R.first_vs_latest_run(runs).collect()}
+    assert ends == {"r": ("t1", "t2", 2, 2), "s": ("c", "b", 3, 4), None: (None, "n", 1, 5)}
+    plan = R.latest_run(runs)._jdf.queryExecution().executedPlan().toString()
+    assert "max(struct(ran_at" not in plan
 
 
 def test_runs(runs, jobs):
