@@ -183,6 +183,17 @@ SELECT concat('fix', cast(floor(event_id / 20) AS bigint)) AS job_id, event_id A
   concat('diff ', event_id) AS diff, concat('line ', event_id) AS message FROM $events
 """
 
+# Results of test runs among the output of jobs, and the fix jobs that FIX_EVENTS speak of.
+TEST_EVENTS = """
+SELECT CASE event_type WHEN 'purchase' THEN 'test_result' ELSE 'output' END AS event, concat('t', event_id) AS run_id, concat('r', user_id) AS repo_id,
+  concat('job', user_id) AS fix_job_id, value > 50 AS passed, CAST(floor(value) AS int) + 2 AS tests_total, CAST(floor(value) AS int) AS tests_passed,
+  2 AS tests_failed, CAST(ts AS timestamp) AS ts FROM $events
+"""
+
+FIXING = """
+SELECT DISTINCT concat('fix', cast(floor(event_id / 20) AS bigint)) AS job_id, concat('i', cast(floor(event_id / 20) AS bigint)) AS issue_id FROM $events
+"""
+
 STATUS_LOG = """
 SELECT concat('job', user_id) AS job_id, event_id AS seq, CAST(ts AS timestamp) AS ts,
   CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'click' THEN 'cancelled' WHEN 'purchase' THEN 'succeeded' ELSE 'failed' END AS status

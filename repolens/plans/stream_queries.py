@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from repolens.plans import derived
 from repolens.plans.registry import ORACLES, Tables, query
+from repolens.sources.events import write_events
 from repolens.streaming import folds, incremental
 from repolens.streaming.run import last_update, new_folder, run_available, to_files
 
@@ -67,6 +68,31 @@ def stream_job_timeouts(t: Tables) -> DataFrame:
     return rows.where("timed_out").select("job_id")
 
 
+@query("SELECT job_id, seq, event, message FROM {EVENTS} e")
+def stream_job_events(t: Tables) -> DataFrame:
+    """Events stored by job as they arrive, and read back."""
+    events = _stream(t, derived.EVENTS, "events", ARRIVALS)
+    folder = new_folder(t.spark, "jobs")
+    run_available(write_events(events, folder, f"{folder}-state", buckets=16))
+    return t.spark.read.parquet(folder).select("job_id", "seq", "event", "message")
+
+
+@query("""
+SELECT run_id, repo_id, fix_job_id AS job_id, passed, tests_total, tests_passed, tests_failed FROM {TEST_EVENTS} e WHERE event = 'test_result'
+""")
+def stream_test_results(t: Tables) -> DataFrame:
+    return to_files(folds.test_results(_stream(t, derived.TEST_EVENTS, "events", ARRIVALS)), "append", "results").drop("ran_at", "batch")
+
+
+@query("""
+SELECT j.issue_id, e.seq, 'fixed' AS status FROM {FIX_EVENTS} e JOIN {FIXING} j ON j.job_id = e.job_id WHERE e.event = 'fix_complete'
+""")
+def stream_issue_updates(t: Tables) -> DataFrame:
+    """Status rows of issues as their fixes complete."""
+    updates = folds.issue_updates(_stream(t, derived.FIX_EVENTS, "events", ARRIVALS), t.fixing)
+    return to_files(updates, "append", "updates").drop("ts", "batch")
+
+
 @_as("live_counts")
 def stream_live_counts(t: Tables) -> DataFrame:
     rows = to_files(folds.live_counts(_stream(t, derived.ISSUES, "orders")), "complete", "counts")

@@ -31,13 +31,18 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1000) -
     return parse_events(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path))
 
 
-def write_events(events: DataFrame, path: str, checkpoint: str, buckets: int = 256) -> DataStreamWriter:
+def write_events(
+    events: DataFrame, path: str, checkpoint: str, buckets: int = 256, files_per_bucket: int = 1
+) -> DataStreamWriter:
     """Writer that stores the events of a job in one of ``buckets`` folders.
 
     Folders per job would be as many as there are jobs. A reader of one job prunes by bucket; unlike
-    a push to whoever listens, late readers find everything.
+    a push to whoever listens, late readers find everything. A micro-batch writes at most
+    ``files_per_bucket`` files to a folder; more of them spread jobs with very many events over tasks.
     """
-    bucketed = events.withColumn("job_bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))
+    bucket = F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")
+    slice_ = F.pmod(F.xxhash64(*events.columns), F.lit(files_per_bucket))
+    bucketed = events.withColumns({"job_bucket": bucket, "_slice": slice_}).repartition("job_bucket", "_slice").drop("_slice")
     return (
         bucketed.writeStream.format("parquet").partitionBy("job_bucket")
         .option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
