@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from repolens import constants as K
 
@@ -121,11 +122,12 @@ def file_facts(source: str) -> dict:
     }
 
 
-def extract_facts(files: DataFrame, content: str = "content") -> DataFrame:
-    """One row of facts per file of ``files(repo_id, path, <content>)``.
+def extract_facts(files: DataFrame, content: str = "content", keep: str | None = None) -> DataFrame:
+    """One row of facts per file of ``files(repo_id, path, <content>)``; a null content has no facts.
 
     Files are parsed where they are read: nothing is shuffled. Names are kept only where they can
-    meet a binding, so a row of facts is much smaller than its file.
+    meet a binding, so a row of facts is much smaller than its file. The column ``keep`` goes along, so
+    that what else is found in a content comes from the same scan.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,12 +136,15 @@ def extract_facts(files: DataFrame, content: str = "content") -> DataFrame:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 rows = [
-                    {"repo_id": repo, "path": path, **file_facts(source or "")}
+                    {"repo_id": repo, "path": path, **({} if source is None else file_facts(source))}
                     for repo, path, source in zip(*(part.column(i).to_pylist() for i in range(3)))
                 ]
-                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                facts = pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                yield facts if keep is None else facts.append_column(keep, part.column(3))
 
-    return files.select("repo_id", "path", content).mapInArrow(parse, FILE_FACTS)
+    kept = [] if keep is None else [files.schema[keep]]
+    schema = T.StructType([*T.StructType.fromDDL(FILE_FACTS).fields, *kept])
+    return files.select("repo_id", "path", content, *[f.name for f in kept]).mapInArrow(parse, schema)
 
 
 def fact_rows(facts: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from repolens.functions import text as X
 from repolens.operators import factrules
 from repolens.operators.enrich import root_cause
 from repolens.operators.facts import extract_facts
-from repolens.operators.lines import LINE_RULES, LineRule, apply_line_rules
+from repolens.operators.lines import LINE_RULES, LineRule, apply_line_rules, hit_findings, line_hits, rule_language
 from repolens.session import materialize
 
 KEY = ["repo_id", "file_path", "line_number", "title"]
@@ -53,11 +53,19 @@ def line_findings(files: DataFrame, rules: list[LineRule] = LINE_RULES, content:
     return apply_line_rules(files.where(P.keep_for_analysis(F.col("path"))), rules, content)
 
 
-def drop_unparsed(findings: DataFrame, facts: DataFrame) -> DataFrame:
-    """Leave out line findings of files that are no valid Python. A file the parser only gave up on, for
-    its depth or size, keeps its findings."""
-    broken = facts.where(F.col("error.kind") == "syntax_error").select("repo_id", F.col("path").alias("file_path")).distinct()
-    return findings.join(broken, ["repo_id", "file_path"], "left_anti")
+def scan_files(files: DataFrame, rules: list[LineRule] = LINE_RULES, content: str = "content") -> DataFrame:
+    """Facts of Python files and hits of the line rules, a row per file, from one scan of the contents."""
+    path = F.col("path")
+    named = with_text(files, content).withColumn("language", F.when(P.keep_for_analysis(path), rule_language(path)))
+    source = F.when(is_python(path), F.col(content)).alias(content)
+    return extract_facts(named.select("repo_id", "path", source, line_hits(rules, content).alias("hits")), content, "hits")
+
+
+def scanned_findings(scanned: DataFrame, scan_unparsed: bool = False) -> DataFrame:
+    """Findings of single files from :func:`scan_files`. Files that are no valid Python have no line
+    findings unless ``scan_unparsed``; one the parser only gave up on, for its depth or size, keeps them."""
+    lines = scanned if scan_unparsed else scanned.where(F.coalesce(F.col("error.kind"), F.lit("")) != "syntax_error")
+    return file_findings(scanned).unionByName(hit_findings(lines))
 
 
 def with_text(files: DataFrame, content: str = "content") -> DataFrame:
@@ -67,9 +75,12 @@ def with_text(files: DataFrame, content: str = "content") -> DataFrame:
     return files
 
 
+def is_python(path: Column) -> Column:
+    return P.has_ext(path, K.PYTHON_SUFFIXES) | path.endswith(".py")
+
+
 def python_files(files: DataFrame) -> DataFrame:
-    path = F.col("path")
-    return files.where(P.has_ext(path, K.PYTHON_SUFFIXES) | path.endswith(".py"))
+    return files.where(is_python(F.col("path")))
 
 
 def all_findings(
@@ -81,18 +92,14 @@ def all_findings(
 ) -> DataFrame:
     """Every finding of every rule, before deduplication.
 
-    ``files`` should be a stored corpus (see :func:`repolens.session.spread_small_input` for one small
-    file). Contents are read twice, once for the patterns and once for the syntax trees, and never
-    shuffled; what is joined afterwards are facts and findings. ``seq`` orders findings as they are
-    produced: Python file checks, missing tests, scripts. With ``stacks`` only findings of languages
-    analysed in their repository's stack are kept. Contents may be text or bytes.
+    Contents are read once, for patterns and syntax trees together, and never shuffled; what is written and
+    joined afterwards are facts and hits. ``seq`` orders findings as they are produced: Python file
+    checks, missing tests, scripts. With ``stacks`` only findings of languages analysed in their
+    repository's stack are kept. Contents may be text or bytes.
     """
-    files = with_text(files, content)
-    facts = materialize(extract_facts(python_files(files), content), "facts")
-    lines = line_findings(files, rules, content)
-    if not scan_unparsed:
-        lines = drop_unparsed(lines, facts)
-    found = file_findings(facts).unionByName(lines).unionByName(factrules.untested_functions(facts))
+    scanned = materialize(scan_files(files, rules, content), "scanned")
+    tests = factrules.untested_functions(python_files(scanned))
+    found = scanned_findings(scanned, scan_unparsed).unionByName(tests)
     return found if stacks is None else dispatch(found, stacks, "file_path")
 
 

@@ -108,21 +108,25 @@ def rule_language(path: Column) -> Column:
     )
 
 
-def apply_line_rules(files: DataFrame, rules: list[LineRule] = LINE_RULES, content: str = "content") -> DataFrame:
-    """Findings of the rules over ``files(repo_id, path, <content>)``, each for its own language.
+def line_hits(rules: list[LineRule] = LINE_RULES, content: str = "content") -> Column:
+    """``array<struct<line_number, h>>``: what the rules of ``language`` find in a content; null if none of
+    them matches anywhere in it, which is known before it is cut into lines."""
+    text, language = F.col(content), F.col("language")
+    candidate = reduce(or_, [(language == r.language) & text.rlike(r.java) for r in rules])
+    lines = F.transform(X.split_lines(text), lambda line, at: F.struct((at + 1).alias("line_number"), line.alias("line")))
+    code = F.filter(lines, lambda x: (language == "py") | X.is_js_code(x["line"]))
 
-    The rules become one projection, so there is one scan and no join of lines and rules. A file in
-    which no rule of its language matches anywhere is left out before it is cut into lines.
-    """
-    text, line, language = F.col(content), F.col("line"), F.col("language")
-    matches = [(language == r.language) & text.rlike(r.java) for r in rules]
-    candidates = files.withColumn("language", rule_language(F.col("path"))).where(reduce(or_, matches))
-    lines = candidates.select(
-        "repo_id", "path", "language", F.posexplode(X.split_lines(text)).alias("at", "line")
-    ).where((language == "py") | X.is_js_code(line))
-    hits = F.filter(F.array(*[_hit(r, n, line) for n, r in enumerate(rules, 1)]), lambda h: h.isNotNull())
-    found = lines.select("repo_id", "path", "language", (F.col("at") + 1).alias("line_number"), F.explode(hits).alias("h"))
-    is_py, number, rule = language == "py", F.col("line_number"), F.col("h.rule")
+    def of_line(x: Column) -> Column:
+        hits = F.filter(F.array(*[_hit(r, n, x["line"]) for n, r in enumerate(rules, 1)]), lambda h: h.isNotNull())
+        return F.transform(hits, lambda h: F.struct(x["line_number"].alias("line_number"), h.alias("h")))
+
+    return F.when(candidate, F.flatten(F.transform(code, of_line)))
+
+
+def hit_findings(rows: DataFrame) -> DataFrame:
+    """Findings from rows with ``repo_id``, ``path`` and the ``hits`` of :func:`line_hits`."""
+    found = rows.select("repo_id", "path", rule_language(F.col("path")).alias("language"), F.inline("hits"))
+    is_py, number, rule = F.col("language") == "py", F.col("line_number"), F.col("h.rule")
     seq = F.struct(
         F.when(is_py, 1).otherwise(3).alias("stage"),
         F.col("path").alias("path"),
@@ -135,3 +139,12 @@ def apply_line_rules(files: DataFrame, rules: list[LineRule] = LINE_RULES, conte
         "h.category", "h.severity", "h.title", "h.description", "h.evidence", "h.suggested_fix", "h.confidence",
         seq.alias("seq"),
     )
+
+
+def apply_line_rules(files: DataFrame, rules: list[LineRule] = LINE_RULES, content: str = "content") -> DataFrame:
+    """Findings of the rules over ``files(repo_id, path, <content>)``, each for its own language.
+
+    The rules become one projection, so there is one scan and no join of lines and rules.
+    """
+    named = files.withColumn("language", rule_language(F.col("path")))
+    return hit_findings(named.select("repo_id", "path", line_hits(rules, content).alias("hits")))

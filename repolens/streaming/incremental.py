@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from repolens.operators import factrules
-from repolens.operators.facts import FILE_FACTS, extract_facts
-from repolens.operators.findings import dedup_findings, drop_unparsed, file_findings, line_findings, python_files, with_text
+from repolens.operators.facts import FILE_FACTS
+from repolens.operators.findings import dedup_findings, python_files, scan_files, scanned_findings
 from repolens.schemas import FINDINGS, STRING, struct
 
 KEY = struct(repo_id=STRING, path=STRING)
@@ -25,13 +25,13 @@ def analyze_stream(files: DataFrame, out: str, checkpoint: str) -> DataStreamWri
     own folders, so a repeated batch leaves no rows twice."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        spark, batch = batch.sparkSession, with_text(batch)
-        folder = lambda table: f"{out}/{table}/batch={batch_id}"
-        batch.select("repo_id", "path").write.mode("overwrite").parquet(folder("arrivals"))
-        extract_facts(python_files(batch)).write.mode("overwrite").parquet(folder("facts"))
-        facts = spark.read.schema(FILE_FACTS).parquet(folder("facts"))
-        found = file_findings(facts).unionByName(drop_unparsed(line_findings(batch), facts))
-        found.write.mode("overwrite").parquet(folder("findings"))
+        spark, folder = batch.sparkSession, lambda table: f"{out}/{table}/batch={batch_id}"
+        # The batch is read once; arrivals are the files of its facts.
+        scanned = scan_files(batch)
+        scanned.write.mode("overwrite").parquet(folder("facts"))
+        stored = spark.read.schema(scanned.schema).parquet(folder("facts"))
+        stored.select("repo_id", "path").write.mode("overwrite").parquet(folder("arrivals"))
+        scanned_findings(stored).write.mode("overwrite").parquet(folder("findings"))
 
     return files.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
 
@@ -52,4 +52,4 @@ def stored_facts(spark: SparkSession, out: str) -> DataFrame:
 def stored_findings(spark: SparkSession, out: str) -> DataFrame:
     """All findings of the files that arrived so far, deduplicated."""
     local = _stored(spark, out, "findings", FINDINGS, "file_path")
-    return dedup_findings(local.unionByName(factrules.untested_functions(stored_facts(spark, out))))
+    return dedup_findings(local.unionByName(factrules.untested_functions(python_files(stored_facts(spark, out)))))
