@@ -4,6 +4,7 @@ import difflib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from repolens.operators import codemod as C
 from repolens.operators import diffs as D
@@ -124,3 +125,10 @@ def test_snapshots(corpus):
     after = corpus({"a": "1", "b": "x", "d": "4"})
     assert {r.path: r.change for r in D.changed_files(before, after).collect()} == {"b": "modified", "c": "removed", "d": "added"}
     assert {r.path for r in D.snapshot_diff(before, after).collect()} == {"b", "c", "d"}
+
+
+@pytest.mark.parametrize("numbers", [[], [1], [3], [1, 2, 3], [2, 2, 0, 9, -1], [3, 1]])
+def test_edits_at_lines(spark, numbers):
+    row = spark.createDataFrame([(["a", "b", "c"], numbers)], "lines array<string>, n array<int>")
+    got = row.select(C.edit_lines(F.col("lines"), F.col("n"), F.upper)).first()[0]
+    assert got == [x.upper() if i in numbers else x for i, x in enumerate("abc", 1)]
