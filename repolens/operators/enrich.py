@@ -52,6 +52,11 @@ def with_fix_plan(issues: DataFrame) -> DataFrame:
     return issues.withColumn("fix_plan", fix_plan(F.col("category"), F.col("file_path")))
 
 
+def with_stored_plan(issues: DataFrame) -> DataFrame:
+    """The plan kept on the issue: ``fix_plan`` as JSON text, which :func:`with_fix_prompt` reads back."""
+    return issues.withColumn("fix_plan", F.to_json(fix_plan(F.col("category"), F.col("file_path"))))
+
+
 def with_fix_prompt(issues: DataFrame) -> DataFrame:
     """Adds ``prompt``; ``fix_plan`` is the JSON text of a plan, or null."""
     return issues.withColumn(

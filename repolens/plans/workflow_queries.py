@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from repolens import constants as K
 from repolens import schemas
+from repolens.functions import jsontext as J
 from repolens.functions import labels as L
 from repolens.functions import logs
 from repolens.functions import prompts as PR
@@ -107,6 +108,30 @@ def fix_plan_lookup(t: Tables) -> DataFrame:
     )
 
 
+@query(f"""
+SELECT issue_id, {choose('category', {c: '|'.join(v[0]) for c, v in K.FIX_PLANS.items()}, '-')} AS steps,
+  {choose('category', {c: v[1] for c, v in K.FIX_PLANS.items()}, '-')} AS risk_level FROM {{ISSUES}} i
+""")
+def stored_fix_plan(t: Tables) -> DataFrame:
+    """Plans stored on issues as text, and read back as fix requests read them."""
+    plan = F.col("fix_plan")
+    return E.with_stored_plan(t.issues).select(
+        "issue_id", F.array_join(J.plan_steps(plan), "|").alias("steps"), F.get_json_object(plan, "$.risk_level").alias("risk_level")
+    )
+
+
+@query("""
+SELECT issue_id, concat('{"root_cause":"why ', title, '"}') AS root_cause, CASE WHEN line_number % 2 = 1 THEN '{"steps":["a"]}' ELSE '-' END AS fix_plan,
+  strftime(detected_at, '%Y-%m-%dT%H:%M:%S') AS detected_at, status FROM {ISSUES} i
+""")
+def issue_view(t: Tables) -> DataFrame:
+    kept = t.issues.withColumns({
+        "root_cause": F.concat(F.lit("why "), "title"),
+        "fix_plan": F.when(F.col("line_number") % 2 == 1, '{"steps": ["a"]}').otherwise("no plan"),
+    })
+    return I.issue_view(kept).select("issue_id", "root_cause", "fix_plan", "detected_at", "status").fillna("-", ["fix_plan"])
+
+
 _PROMPT = """(SELECT issue_id, file_path, line_number, title, concat('Fix the following issue in the repository:', chr(10), chr(10), 'File: ', file_path, chr(10),
   'Line: ', CASE WHEN line_number = 0 THEN 'unknown' ELSE CAST(line_number AS varchar) END, chr(10), 'Issue: ', title, chr(10), 'Description: ', description, chr(10),
   'Evidence: ', CASE WHEN evidence = '' THEN 'none' ELSE evidence END, chr(10), 'Suggested fix: ', coalesce(suggested_fix, 'none'), chr(10),
