@@ -69,18 +69,18 @@ LINES = f"""
 WITH p AS (
   SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents
 ), l AS (
-  SELECT doc_id, source, unnest(range(len(parts))) AS at, unnest(parts) AS line FROM p
+  SELECT doc_id, source, unnest(range(len(parts))) AS pos, unnest(parts) AS line FROM p
 ), k AS (
   SELECT *, CASE WHEN len(regexp_extract_all(line, '{WORD_PATTERN}')) >= {linespread.MIN_WORDS}
                  THEN regexp_replace(line, '^{SPACE_CLASS}+|{SPACE_CLASS}+$', '', 'g') END AS key
   FROM l
 ), spread AS (
-  SELECT key, min({{'d': doc_id, 'at': at}}) AS first FROM k WHERE key IS NOT NULL
+  SELECT key, min({{'d': doc_id, 'pos': pos}}) AS first FROM k WHERE key IS NOT NULL
   GROUP BY key HAVING count(DISTINCT coalesce('1' || source, '0')) >= {linespread.MIN_SITES}
 ), marked AS (
-  SELECT k.*, first IS NOT NULL AND {{'d': doc_id, 'at': at}} <> first AS gone FROM k LEFT JOIN spread USING (key)
+  SELECT k.*, first IS NOT NULL AND {{'d': doc_id, 'pos': pos}} <> first AS gone FROM k LEFT JOIN spread USING (key)
 ), kept AS (
-  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '') AS text,
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text,
          count(*) AS n_lines, count(*) FILTER (gone) AS n_removed
   FROM marked GROUP BY doc_id
 )
