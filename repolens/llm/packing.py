@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,27 +27,48 @@ GROUP_TOKENS = 1 << 20
 LINEAR, QUADRATIC = 2048.0, 1.0
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a task remembers; beyond, it starts anew.
-KNOWN_WORDS = 400_000
+#: Words, and parts of words, whose ids a task remembers; beyond, it starts anew.
+KNOWN_WORDS, KNOWN_PARTS = 300_000, 400_000
+
+
+# A word that ends in a letter and then marks: the pre-tokenizer always parts them there. The apostrophe is
+# no such mark, as it starts contractions. Two-byte letters are those from U+00C0 to U+00FF.
+_MARKS = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer whose words never span white space, so that words can be remembered."""
+    """Ids of texts by a tokenizer that lower-cases and whose words never span white space, so that words,
+    and their parts before and after the last letter, can be remembered."""
 
-    def __init__(self, path: str, known: int = KNOWN_WORDS):
+    def __init__(self, path: str, words: int = KNOWN_WORDS, parts: int = KNOWN_PARTS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._known: dict[bytes, bytes] = {}
-        self._most = known
+        self._parts: dict[bytes, bytes] = {}
+        self._most = words, parts
+
+    @staticmethod
+    def _split(word: bytes) -> tuple[bytes, ...]:
+        """Parts with the ids of the word. Special tokens are matched before anything else, and case changes
+        what combining marks (lead bytes CC and CD) compose to: such words stay as they are."""
+        if b"<|" in word or b"\xcc" in word or b"\xcd" in word:
+            return (word,)
+        low = word.lower()
+        parted = _MARKS.fullmatch(low)
+        return parted.groups() if parted else (low,)
 
     def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            encoded = self._tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+        split = [self._split(w) for w in words]
+        new = list({p for parts in split for p in parts if p not in self._parts})
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            encoded = self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
             for word, e in zip(part, encoded, strict=True):
-                self._known[word] = np.array(e.ids, "<u4").tobytes()
+                self._parts[word] = np.array(e.ids, "<u4").tobytes()
+        for word, parts in zip(words, split, strict=True):
+            self._known[word] = b"".join(map(self._parts.__getitem__, parts))
 
     def ids(self, text: bytes) -> np.ndarray:
         out = []
@@ -56,8 +78,9 @@ class WordTokenizer:
                 out.append(b"".join(map(self._known.__getitem__, words)))
                 continue
             except KeyError:
-                if len(self._known) > self._most:
-                    self._known.clear()
+                for known, most in zip((self._known, self._parts), self._most, strict=True):
+                    if len(known) > most:
+                        known.clear()
             self._learn([w for w in set(words) if w not in self._known])
             out.append(b"".join(map(self._known.__getitem__, words)))
         return np.frombuffer(b"".join(out), "<u4")

@@ -105,10 +105,15 @@ def test_costs_are_balanced(rng):
 
 def test_words_can_be_remembered(rng):
     path = public_tokenizers.path(packing.TOKENIZER)
-    plain, own = Tokenizer.from_file(path), packing.WordTokenizer(path, known=50)
-    texts = ["", "A b", "it's  HE'LL\n\n12a ++x é́ é  x y \x1c ẞ", "<|endoftext|> a<|startoftext|>b", "日本 語ab", prose(rng, 300), "a ́b"]
+    plain, own = Tokenizer.from_file(path), packing.WordTokenizer(path, words=50, parts=40)
+    texts = ["", "A b", "it's  HE'LL\n\n12a ++x é́ é  x y \x1c ẞ", "<|endoftext|> a<|startoftext|>b", "日本 語ab", prose(rng, 300), "a ́b",
+             "T̈. İ! İ, Ǆ? É. é.. ÷. ×! x<|endoftext|>. <|ENDOFTEXT|> a'. it's. 'S, don't! a1. _b_ `c` ǰ J̌, ﬁ. ™. a™. ª."]
     for text in texts:
         assert own.ids(text.encode()).tolist() == plain.encode(text, add_special_tokens=False).ids
+    alphabet = "aBz é É ñ ̈ 1 . , ' ! - % <| |> s t ll T İ ß ™ 日 \n \u00a0 × re".split(" ")
+    for _ in range(3000):
+        text = "".join(rng.choice([*alphabet, " "]) for _ in range(rng.randint(1, 12)))
+        assert own.ids(text.encode()).tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
 @pytest.mark.parametrize("group_tokens", [1 << 20, 3000])
