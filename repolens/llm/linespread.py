@@ -42,19 +42,20 @@ def _without(parts: Column, gone: Column) -> Column:
 
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR) -> DataFrame:
-    """``k1, k2`` of the lines that stand on at least ``min_sites`` sites, from rows ``k1, k2, site``.
+    """``k1, k2, first`` of the lines that stand on at least ``min_sites`` sites, from rows ``k1, k2, site,
+    place``; ``first`` is the smallest place.
 
     A null site is a site of its own.
     """
     marked = lines.withColumn("site", F.concat(F.when(F.col("site").isNull(), "0").otherwise("1"), F.coalesce("site", F.lit(""))))
     sketched = marked.groupBy("k1", "k2").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_BITS)).alias("sites")
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_BITS)).alias("sites"), F.min("place").alias("first")
     )
     found = stored(sketched.where(F.col("sites") >= min_sites * (1 - near)), "sites")
-    sure = found.where(F.col("sites") > min_sites * (1 + near)).select("k1", "k2")
-    close = found.where(F.col("sites") <= min_sites * (1 + near)).select("k1", "k2")
-    exact = marked.join(close, ["k1", "k2"], "left_semi").distinct().groupBy("k1", "k2").agg(F.count("*").alias("n"))
-    return sure.unionByName(exact.where(F.col("n") >= min_sites).select("k1", "k2"))
+    sure, close = (found.where(c).drop("sites") for c in (F.col("sites") > min_sites * (1 + near), F.col("sites") <= min_sites * (1 + near)))
+    pairs = marked.select("k1", "k2", "site").join(close, ["k1", "k2"], "left_semi").distinct()
+    enough = pairs.groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
+    return sure.unionByName(close.join(enough, ["k1", "k2"], "left_semi"))
 
 
 def dedup_lines(
@@ -75,11 +76,9 @@ def dedup_lines(
     lines = lines.where(F.regexp_count("line", F.lit(WORD_PATTERN)) >= min_words).withColumn("line", _trimmed(F.col("line")))
     lines = lines.select("id", "th", "site", "at", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), F.col("line")).alias("k2"))
     lines = stored(lines, "lines")
-    spread = stored(spread_lines(lines.select("k1", "k2", "site"), min_sites, near), "spread")
-    places = lines.select("id", "th", "at", "k1", "k2").join(spread, ["k1", "k2"])
     place = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "th", "at")
-    first = places.groupBy("k1", "k2").agg(F.min(place).alias("first"))
-    gone = places.join(first, ["k1", "k2"]).where(place != F.col("first"))
+    spread = stored(spread_lines(lines.select("k1", "k2", "site", place.alias("place")), min_sites, near), "spread")
+    gone = lines.select("id", "th", "at", "k1", "k2").join(spread, ["k1", "k2"]).where(place != F.col("first"))
     gone = stored(gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("at")).alias("gone")), "gone")
     g_id, g_th, g_at, n, removed = fresh(docs, "gone_id", "gone_hash", "gone_at", "n_lines", "n_removed")
     gone = gone.select(F.col("id").alias(g_id), F.col("th").alias(g_th), F.col("gone").alias(g_at))

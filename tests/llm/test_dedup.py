@@ -164,7 +164,7 @@ def test_spread_lines_leave_but_once(docs):
 def test_sites_are_exact_near_the_threshold(spark, rng):
     """Thousands of sites: the sketch errs, the counts near the threshold do not."""
     rows = [(line, 0, f"site{s}") for line, n in enumerate(range(1900, 2101, 10)) for s in range(n) for _ in range(1 + s % 2)]
-    lines = spark.createDataFrame(rows, "k1 long, k2 long, site string")
+    lines = spark.createDataFrame(rows, "k1 long, k2 long, site string").withColumn("place", F.lit(1))
     got = {r.k1 for r in linespread.spread_lines(lines, min_sites=2000).collect()}
     assert got == {line for line, n in enumerate(range(1900, 2101, 10)) if n >= 2000}
 
