@@ -186,3 +186,17 @@ def test_candidates_are_whole_words():
     assert d.features(b"").tolist() == [0.0] * len(d.features(b""))
 
 
+def test_toxic_dictionary_has_every_word(rng, monkeypatch):
+    """Of thousands of toxic words, each is shorter under the toxic dictionary."""
+    words = sorted({"".join(rng.choice("bcdfgjkmpqvwxz") for _ in range(rng.randint(6, 9))) for _ in range(4000)})
+    toxic = [f"{prose(rng, 50)} {' '.join(words[(7 * i + j) % len(words)] for j in range(8))}".encode() for i in range(3000)]
+    ordinary = [prose(rng, 60).encode() + b" %d" % i for i in range(1500)]
+    known = {w.encode() for w in words}
+    monkeypatch.setattr(toxicity, "toxic_words", lambda toxic, _: [w for text in toxic for w in text.split() if w in known])
+    model = toxicity.fit(toxic, ordinary)
+    assert all(w.encode() in model.toxic for w in words)
+    distances = toxicity.Distances(model.toxic, model.ordinary)
+    gains = [ordinary - toxic for ordinary, toxic in map(distances.of, (w.encode() for w in words))]
+    assert np.mean([g >= 1 for g in gains]) > 0.99
+    scored = [distances.features(f"{prose(rng, 50)} {' '.join(words[i : i + 8])}".encode()) for i in range(0, len(words), 80)]
+    assert min(x @ model.weights + model.bias for x in scored) > 0
