@@ -86,6 +86,41 @@ def test_counts_are_of_all_rows(docs, rng):
     assert np.allclose(model.bits[0], ppm.code_lengths(counts.reshape(n, n, n)), atol=1e-5)
 
 
+def test_sparse_code_lengths():
+    """Also with a context that has all symbols, and one of a single symbol."""
+    rng = np.random.default_rng(2)
+    for n, share in ((6, 0.4), (6, 0.05), (3, 1.0), (1, 1.0)):
+        counts = rng.integers(1, 5, (n, n, n)) * (rng.random((n, n, n)) < share)
+        at = np.flatnonzero(counts)
+        bits, escapes = ppm.sparse_code_lengths(at, counts.ravel()[at], n)
+        every = escapes.of(np.arange(n**3))
+        every[at] = bits
+        assert every == pytest.approx(ppm.code_lengths(counts).ravel(), rel=1e-5, abs=1e-5)
+
+
+def test_minority_languages_of_one_script(docs, rng):
+    """Two languages of Cyrillic letters that differ in their letters only, under a Latin majority of many bytes."""
+    latin = "aäàáâbcçdeéèêëfghiîïjklmnñoöôõpqrsštuüûvwxyzž0123456789.,;:!?()'-"
+    one, two = "абвгдежзийклмноп", "абвгдежзрстуфхцч"
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 7)))
+    text = lambda letters: " ".join(word(letters) for _ in range(25))
+    rows = [(i, " ".join(word(latin) for _ in range(200)), "la") for i in range(200)]
+    rows += [(200 + i, text(one if i % 2 else two), "c1" if i % 2 else "c2") for i in range(80)]
+    df = docs(rows).repartition(3)
+    model = ppm.learn(df.where("doc_id < 240"))
+    assert len(set(model.symbol_of[list(set((one + two).encode()))])) == len(set((one + two).encode()))
+    got = {r.doc_id: r.lang_pred for r in ppm.with_language(df, model).collect()}
+    assert all(got[r[0]] == r[2] for r in rows)
+
+
+def test_counts_added_up_in_parts(docs, rng, monkeypatch):
+    df = docs([(i, invented(rng, "xx", 20) + " ж", "xx") for i in range(40)])
+    whole = ppm.learn(df)
+    monkeypatch.setattr(ppm, "_PENDING", 50)
+    parts = ppm.learn(df)
+    assert (parts.at == whole.at).all() and (parts.seen == whole.seen).all()
+
+
 def test_gradients():
     rng = np.random.default_rng(3)
     params = milquality._start(rng)
