@@ -235,3 +235,19 @@ def test_toxic_dictionary_has_every_word(rng, monkeypatch):
     assert np.mean([g >= 1 for g in gains]) > 0.99
     scored = [distances.features(f"{prose(rng, 50)} {' '.join(words[i : i + 8])}".encode()) for i in range(0, len(words), 80)]
     assert min(x @ model.weights + model.bias for x in scored) > 0
+
+
+def test_toxic_words_of_fixed_phrases_and_few_letters(rng):
+    """A toxic word after always the same word, and one of three letters; a short word of copies is none."""
+    copied = prose(rng, 30) + " jig " + prose(rng, 30)
+    insults = ["you absolute nitwit", "oaf"]
+    toxic = [f"{prose(rng, 20)} {insults[i % 2]} {prose(rng, 20)}".encode() for i in range(120)]
+    toxic += [f"{prose(rng, 3)} {copied} {prose(rng, 3)}".encode() for _ in range(60)]
+    ordinary = [f"{prose(rng, 40)} you absolute {prose(rng, 5)}".encode() for _ in range(400)]
+    assert set(toxicity.toxic_words(toxic, ordinary)) == {b"nitwit", b"oaf"}
+    model = toxicity.fit(toxic, ordinary)
+    distances = toxicity.Distances(model.toxic, model.ordinary, model.short)
+    assert list(distances.candidates(b"An OAF, oafs loaf")) == [b"oaf"]
+    for insult in ("nitwit", "oaf"):
+        assert distances.features(f"{prose(rng, 20)} {insult} {prose(rng, 20)}".encode()) @ model.weights + model.bias > 0
+    assert distances.features(prose(rng, 40).encode()) @ model.weights + model.bias < 0
