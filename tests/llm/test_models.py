@@ -251,3 +251,14 @@ def test_toxic_words_of_fixed_phrases_and_few_letters(rng):
     for insult in ("nitwit", "oaf"):
         assert distances.features(f"{prose(rng, 20)} {insult} {prose(rng, 20)}".encode()) @ model.weights + model.bias > 0
     assert distances.features(prose(rng, 40).encode()) @ model.weights + model.bias < 0
+
+
+def test_ordinary_words_are_of_all_texts(rng, monkeypatch):
+    """More words than the bound: those of the last text in byte order train the dictionary as well."""
+    texts = sorted([f"{prose(rng, 500)}".encode() for _ in range(60)] + [("éclair " * 300 + "ünique").encode()])
+    got = toxicity.ordinary_words(texts, most=3000)
+    assert abs(len(got) - 3000) < 200 and 15 < got.count("éclair".encode()) < 45
+    assert sorted(toxicity.ordinary_words(texts)) == sorted(w for t in texts for w in t.split())
+    monkeypatch.setattr(toxicity, "ORDINARY_WORDS", 3000)
+    model = toxicity.fit([b"nitwit " * 5], texts)
+    assert "éclair".encode() in model.ordinary
