@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from repolens import constants as K
 from repolens.functions.labels import iso_utc
 from repolens.operators import health as H
 from repolens.operators import runs as R
 from repolens.operators.skew import ordinal
+from repolens.sources.tables import append_table, read_table, write_report
 
 _REF = ["issue_id", "title", "severity", "category", "file_path", "line_number"]
 
@@ -48,6 +50,22 @@ def issue_refs(issues: DataFrame) -> DataFrame:
     return placed.select("repo_id", F.col("status").alias("list"), "position", *_REF)
 
 
+def store_reports(reports: DataFrame, refs: DataFrame, path: str) -> None:
+    """Reports as one document per repository, and beside them their issue lists as one row per issue, in
+    buckets of repositories. Files of a large repository are as many as its issues ask for."""
+    write_report(reports, f"{path}/reports")
+    # Rows of a large repository are dealt by the first two columns.
+    rows = refs.select("issue_id", "repo_id", *[c for c in refs.columns if c not in ("issue_id", "repo_id")])
+    append_table(rows, f"{path}/issue_refs", rows.schema)
+
+
+def read_reports(spark: SparkSession, path: str, report: T.StructType, refs: T.StructType, repo_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What :func:`store_reports` wrote, of the given schemas; with ``repo_id`` of that repository."""
+    reports = spark.read.schema(report).json(f"{path}/reports")
+    rows = read_table(spark, f"{path}/issue_refs", refs, repo_id)
+    return (reports if repo_id is None else reports.where(F.col("repo_id") == repo_id)), rows
+
+
 def with_issue_lists(reports: DataFrame, refs: DataFrame) -> DataFrame:
     """Whole documents: reports with their issue lists nested. For the repositories asked for, as a
     document holds all its issues in one row."""

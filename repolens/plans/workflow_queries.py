@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repolens import constants as K
@@ -23,7 +23,7 @@ from repolens.plans import report as RP
 from repolens.plans.registry import Tables, choose, literal, query
 from repolens.session import ensure_checkpoint_dir
 from repolens.sources.events import parse_events
-from repolens.sources.tables import append_table, read_table, write_report
+from repolens.sources.tables import append_table, read_table
 from repolens.streaming import folds
 
 _PENALTY = "CASE severity WHEN 'critical' THEN 20 WHEN 'high' THEN 15 WHEN 'medium' THEN 8 WHEN 'low' THEN 3 ELSE 0 END"
@@ -428,12 +428,19 @@ LEFT JOIN (SELECT repo_id, string_agg(issue_id, ' ' ORDER BY detected_at, issue_
   FROM {{ISSUES}} i WHERE status IN ('open', 'fixed') GROUP BY repo_id) x ON x.repo_id = r.repo_id
 """)
 def report_documents(t: Tables) -> DataFrame:
-    """Reports stored as whole documents and read back, issue lists included."""
+    """Reports and their issue lists stored as documents and rows and read back. Only the ids that the
+    result has in one row per repository are put together."""
     path = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/reports-{uuid4().hex}"
-    report = RP.with_issue_lists(RP.repo_report(t.repos, t.issues, t.jobs, t.runs), RP.issue_refs(t.issues))
-    write_report(report, path)
-    ids = lambda name: F.array_join(F.transform(f"{name}_issue_list", lambda x: x["id"]), " ").alias(f"{name}_ids")
-    return t.spark.read.schema(report.schema).json(path).select(*_flat(report), ids("open"), ids("fixed"))
+    report, refs = RP.repo_report(t.repos, t.issues, t.jobs, t.runs), RP.issue_refs(t.issues)
+    RP.store_reports(report, refs, path)
+    reports, rows = RP.read_reports(t.spark, path, report.schema, refs.schema)
+
+    def ids(name: str) -> Column:
+        placed = F.sort_array(F.collect_list(F.when(F.col("list") == name, F.struct("position", "issue_id"))))
+        return F.array_join(F.transform(placed, lambda x: x["issue_id"]), " ").alias(f"{name}_ids")
+
+    lists = rows.groupBy("repo_id").agg(ids("open"), ids("fixed"))
+    return reports.select(*_flat(report)).join(lists, "repo_id", "left").fillna("", ["open_ids", "fixed_ids"])
 
 
 @query(f"""

@@ -2,10 +2,12 @@
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from repolens import constants as K
 from repolens.operators import enrich as E
 from repolens.operators import health as H
@@ -119,6 +121,31 @@ def test_report_documents(repos, issues, jobs, runs, tmp_path):
     assert next(d for d in documents if d["repo_id"] == "r")["health"]["improvement"] == 20
 
 
+def test_stored_reports_have_lists_as_rows(spark, repos, jobs, runs, tmp_path):
+    """A repository with thousands of issues makes no long document."""
+    many = spark.createDataFrame([issue(n, status="open" if n % 3 else "fixed") for n in range(1, 2501)], ISSUES)
+    report, refs = RP.repo_report(repos, many, jobs, runs), RP.issue_refs(many)
+    path = str(tmp_path / "out")
+    RP.store_reports(report, refs, path)
+    assert max(len(line) for f in (tmp_path / "out" / "reports").glob("*.json") for line in f.read_text().splitlines()) < 2000
+    reports, rows = RP.read_reports(spark, path, report.schema, refs.schema)
+    assert {r.repo_id for r in reports.collect()} == {"r", "s", "t"}
+    columns = refs.columns
+    assert sorted(map(tuple, rows.select(*columns).collect())) == sorted(map(tuple, refs.collect()))
+    mine, own = RP.read_reports(spark, path, report.schema, refs.schema, "r")
+    assert [r.repo_id for r in mine.collect()] == ["r"] and own.count() == 2500
+
+
+def test_report_query_nests_no_lists(spark, monkeypatch):
+    """It stores documents without lists and gives what it gave with them."""
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    monkeypatch.setattr(RP, "with_issue_lists", None)
+    rows = __spark_entry__.queries()["report_documents"](spark, folder).collect()
+    assert rows and any(" " in r.open_ids for r in rows)
+
+
 def test_diff_preview_is_cut_like_the_whole_text(spark):
     rows = [(f"j{i:04}", "r", "succeeded", "x" * (i % 4) + str(i), T0 + dt.timedelta(seconds=i * 7 % 1000)) for i in range(4000)]
     rows += [("big", "s", "succeeded", "y" * 10_000, T0)]
