@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from repolens.llm import licenses, linespread, mixing
-from repolens.llm.common import SPACE_CLASS, WORD_PATTERN
+from repolens.llm.common import ASCII_UPPER, SPACE_CLASS, WORD_PATTERN
 
 KNN = """
 WITH v AS (
@@ -88,7 +88,75 @@ SELECT d.doc_id, kept.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed,
 FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
+def _codes() -> str:
+    """Product quantisation in rounds: each compares every part with every entry."""
+    start = """
+WITH q AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), size AS (
+  SELECT max(len(e)) // 16 AS w FROM q
+), x AS MATERIALIZED (
+  -- One row per component: p is the part, i the place in it.
+  SELECT vec_id, (pos // w)::INTEGER AS p, (pos % w)::INTEGER AS i, e[pos + 1] AS v
+  FROM (SELECT vec_id, e, w, unnest(range(16 * w)) AS pos FROM q, size)
+), c0 AS MATERIALIZED (
+  SELECT p, k, i, v FROM x
+  JOIN (SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1)::INTEGER AS k FROM q ORDER BY vec_id LIMIT 64) USING (vec_id)
+)"""
+    rounds = ""
+    for r in range(3):
+        rounds += f""", a{r} AS MATERIALIZED (
+  SELECT vec_id, p, k, d FROM (
+    SELECT vec_id, p, c.k, sum((x.v - c.v) * (x.v - c.v))::BIGINT AS d
+    FROM x JOIN c{r} AS c USING (p, i) GROUP BY vec_id, p, c.k
+  ) QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY d, k) = 1
+)"""
+        if r < 2:
+            rounds += f""", s{r} AS (
+  SELECT p, k, i, sum(v)::BIGINT AS s, count(*) AS n FROM x JOIN a{r} USING (vec_id, p) GROUP BY p, k, i
+), c{r + 1} AS MATERIALIZED (
+  SELECT p, k, i, CASE WHEN n IS NULL THEN v ELSE (s - ((s % n) + n) % n) // n END AS v FROM c{r} LEFT JOIN s{r} USING (p, k, i)
+)"""
+    return start + rounds + """, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, k, i)) FROM c2) AS codebooks_sha256
+FROM coded JOIN q USING (vec_id)
+"""
+
+
+FOREST = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_UPPER.lower()}'), '{WORD_PATTERN}') AS ws FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
+                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh
+  FROM w
+), keyed AS MATERIALIZED (
+  SELECT doc_id, sh, len(sh) AS n, sha256(array_to_string(list_sort(sh), chr(10))) AS key FROM s
+), k AS MATERIALIZED (
+  SELECT key, min(doc_id) AS node, any_value(sh) AS sh, any_value(n) AS n FROM keyed WHERE n > 0 GROUP BY key
+), u AS MATERIALIZED (
+  SELECT node, n, unnest(sh) AS g FROM k
+), e AS MATERIALIZED (
+  SELECT a.node AS a, b.node AS b FROM u AS a JOIN u AS b ON a.g = b.g AND a.node < b.node AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT node, node AS root FROM k
+  UNION
+  SELECT e2.b, r.root FROM reach AS r JOIN (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) AS e2 ON r.node = e2.a
+), roots AS (
+  SELECT node, min(root) AS root FROM reach GROUP BY node
+)
+SELECT doc_id, keyed.n::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept
+FROM keyed LEFT JOIN k USING (key) LEFT JOIN roots ON roots.node = k.node
+"""
+
 ORACLES = {
     "op4_license_scan": licenses.ORACLE_SQL, "op5_voronoi_knn": KNN, "op6_mix_sources": MIX,
     "op9_exact_dedup": EXACT, "op10_line_dedup": LINES,
+    "op11_ball_kmeans_codes": _codes(), "op12_lsh_forest": FOREST,
 }

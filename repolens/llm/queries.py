@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.llm import gracehash, licenses, linespread, milquality, mixing, packing, ppm, simhash, toxicity, voronoi
-from repolens.llm.common import held_out, table
+from repolens.llm import ballmeans, gracehash, licenses, linespread, lshforest, milquality, mixing, packing, ppm, simhash, spelling, toxicity, voronoi
+from repolens.llm.common import held_out, same, table
 from repolens.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -66,6 +66,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op11_ball_kmeans_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ballmeans.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = lshforest.similar_groups(table(spark, sf_dir, "documents"))
+    return groups.withColumn("kept", same(F.col("doc_id"), F.col("component_id")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.corpus_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_quality_classifier, op3_compression_toxicity, op4_license_scan, op5_voronoi_knn, op6_mix_sources, op7_pack_sequences, op8_language_id, op9_exact_dedup, op10_line_dedup,
+    op11_ball_kmeans_codes, op12_lsh_forest, op13_spelling_variants,
 )}
