@@ -190,8 +190,9 @@ def similar_groups(
     rows = stored(_sets(named, id_type, words, percent), "sets")
     owners = rows.where("key is not null").groupBy("key").agg(F.min(F.when(F.col("sketch").isNotNull(), F.col("row"))).alias("node"), F.min("doc_id").alias("least_id"))
     owners = stored(owners, "owners")
-    sets = rows.where("sketch is not null").join(owners.select("node"), F.col("row") == F.col("node"), "left_semi").withColumnRenamed("row", "node")
-    nodes = stored(sets.select("node", "n", "sketch", "regions"), "nodes")
+    # Several tasks may have the same set; only one of its rows is a node, and pairs are pairs of nodes.
+    sets = rows.where("sketch is not null").withColumnRenamed("row", "node")
+    nodes = stored(sets.select("node", "n", "sketch", "regions").join(owners.select("node"), "node", "left_semi"), "nodes")
     members = nodes.select(F.explode("regions").alias("region"), "node")
     links = None
     for depth in DEPTHS:
@@ -199,7 +200,7 @@ def similar_groups(
         near = stored(_possible(_first_neighbours(members), nodes, percent), "neighbours")
         # One neighbour each is enough to tell most of a group of near copies.
         first = near.groupBy("b").agg(F.min("a").alias("a"))
-        found = _confirmed(first, sets, percent)
+        found = _confirmed(stored(first, "first"), sets, percent)
         links = stored(found if links is None else links.unionByName(found), "links")
         roots = components(links)
         known = nodes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
