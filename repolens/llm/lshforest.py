@@ -124,19 +124,33 @@ def _deeper(sets: DataFrame, orders: int, depth: int) -> DataFrame:
     return cut_rows.select(F.explode("regions").alias("region"), "node")
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of ``a, b``, the pairs that sizes and sketches leave."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    apart = sum((F.bit_count(F.col("s_a")[i].bitwiseXOR(F.col("s_b")[i])) for i in range(SKETCH)), F.lit(0).cast("long"))
+def _near(percent: int) -> Column:
+    """Whether sizes ``n_a, n_b`` and sketches ``s_a, s_b`` leave a pair; exact bounds, both."""
     sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     # Of two sets at the threshold, (100 + t) |A xor B| is (100 - t) (|A| + |B|).
-    near = (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(sizes & near).select("a", "b")
+    return sizes & ((100 + percent) * _apart() <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+
+
+def _apart() -> Column:
+    bits = [F.bit_count(F.col("s_a")[i].bitwiseXOR(F.col("s_b")[i])) for i in range(SKETCH)]
+    return sum(bits, F.lit(0).cast("long"))
+
+
+def _side(nodes: DataFrame, x: str) -> DataFrame:
+    return nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+
+
+def _nearest(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of ``a, b``, one pair the bounds leave for each b: that of the most similar sketches."""
+    left = pairs.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b").where(_near(percent))
+    return left.groupBy("b").agg(F.min(F.struct(_apart().alias("apart"), "a"))["a"].alias("a"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``a, b``, the pairs whose full sets are similar enough."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("hashes").alias(f"h_{x}"))
+    """Of ``a, b``, the pairs whose full sets are similar enough. Only the sets in question are moved."""
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    needed = stored(sets.select("node", "n", "hashes").join(stored(ids, "ids"), "node", "left_semi"), "needed")
+    side = lambda x: needed.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("hashes").alias(f"h_{x}"))
     both = F.size(F.array_intersect("h_a", "h_b")).cast("long")
     link = 100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)
     return pairs.join(side("b"), "b").join(side("a"), "a").where(link).select("a", "b")
@@ -152,8 +166,9 @@ def _first_neighbours(members: DataFrame) -> DataFrame:
     return near.unionByName(heads.select(F.col("top").alias("a"), F.col("head").alias("b"))).where("a < b").distinct()
 
 
-def _crossing(members: DataFrame, known: DataFrame, crowd: int | None, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of a region's sets in different components, and ``node`` of those in regions too crowded for it.
+def _crossing(members: DataFrame, known: DataFrame, nodes: DataFrame, crowd: int | None, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of a region's sets in different components that the bounds leave, and ``node`` of those in regions
+    too crowded for it.
 
     Sets outside the region's largest component meet all others, so the comparisons are at most twice the
     pairs that cross components.
@@ -164,10 +179,11 @@ def _crossing(members: DataFrame, known: DataFrame, crowd: int | None, percent:
     crowded = F.lit(False) if crowd is None else (F.col("total") * F.col("total") - F.col("square")) > 2 * crowd * F.col("total")
     open_ = stored(placed.join(regions.select("region", F.col("main.root").alias("main"), crowded.alias("crowded")), "region"), "open")
     fit = open_.where("not crowded")
-    others = fit.where("root <> main").select("region", F.col("node").alias("x"), F.col("root").alias("r"), F.col("n").alias("m"))
-    sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    met = fit.join(others, "region").where((F.col("root") != F.col("r")) & sizes)
-    pairs = met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+    ends = stored(nodes.join(fit.select("node").distinct(), "node", "left_semi"), "ends")
+    others = fit.where("root <> main").select("region", F.col("node").alias("b"), F.col("root").alias("root_b")).join(_side(ends, "b"), "b")
+    every = fit.select("region", F.col("node").alias("a"), "root").join(_side(ends, "a"), "a")
+    met = every.join(others, "region").where((F.col("root") != F.col("root_b")) & _near(percent))
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs, open_.where("crowded").select("node").distinct()
 
 
@@ -197,15 +213,14 @@ def similar_groups(
     links = None
     for depth in DEPTHS:
         members = stored(members, "members")
-        near = stored(_possible(_first_neighbours(members), nodes, percent), "neighbours")
         # One neighbour each is enough to tell most of a group of near copies.
-        first = near.groupBy("b").agg(F.min("a").alias("a"))
-        found = _confirmed(stored(first, "first"), sets, percent)
+        first = stored(_nearest(_first_neighbours(members), nodes, percent), "neighbours")
+        found = _confirmed(first, sets, percent)
         links = stored(found if links is None else links.unionByName(found), "links")
         roots = components(links)
-        known = nodes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
-        crossing, crowded = _crossing(members, stored(known, "known"), None if depth == DEPTHS[-1] else crowd, percent)
-        links = stored(links.unionByName(_confirmed(stored(_possible(crossing, nodes, percent), "possible"), sets, percent)), "links")
+        known = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        crossing, crowded = _crossing(members, known, nodes, None if depth == DEPTHS[-1] else crowd, percent)
+        links = stored(links.unionByName(_confirmed(stored(crossing, "crossing"), sets, percent)), "links")
         crowded = stored(crowded, "crowded")
         if depth == DEPTHS[-1] or crowded.isEmpty():
             break
