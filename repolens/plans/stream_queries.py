@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repolens.operators.sessions import activity_sessions_stream
 from repolens.plans import derived
 from repolens.plans.registry import ORACLES, Tables, query
 from repolens.sources.events import write_events
-from repolens.streaming import folds, incremental
+from repolens.streaming import folds, incremental, late, timers
 from repolens.streaming.run import last_update, new_folder, run_available, to_files
 
 
@@ -58,14 +59,66 @@ def stream_fix_fold(t: Tables) -> DataFrame:
     return last_update(rows, "job_id").fillna("-", ["diff", "error"])
 
 
+def _in_arrivals(t: Tables, arriving: DataFrame, start, folder: str) -> None:
+    """Write the rows of each ``arrival`` in turn and run the stream that ``start`` makes of them up to there: a
+    micro-batch per arrival, of any number of files, with a restart between."""
+    rows = arriving.drop("arrival")
+    for k in range(ARRIVALS):
+        arriving.where(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(f"{folder}/in")
+        run_available(start(t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")))
+
+
+def _by_time(t: Tables) -> DataFrame:
+    """Events in arrivals of six days, none of them late."""
+    return t.events.withColumn("arrival", F.least(F.lit(4), F.floor((F.day("ts") - 1) / 6)).cast("int"))
+
+
+def _appended(t: Tables, work, name: str) -> DataFrame:
+    """Rows that a stream in append mode puts out over arrivals in order of time."""
+    folder, schema = new_folder(t.spark, name), []
+
+    def start(events: DataFrame):
+        out = work(events)
+        schema.append(out.schema)
+        return out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append")
+
+    _in_arrivals(t, _by_time(t), start, folder)
+    return t.spark.read.schema(schema[0]).parquet(f"{folder}/out")
+
+
 @query("""
-WITH s AS (SELECT job_id, min(ts) AS started, min(ts) FILTER (WHERE event IN ('done', 'error')) AS ended FROM {EVENTS} e GROUP BY job_id)
-SELECT job_id FROM s WHERE ended IS NULL OR ended > started + INTERVAL 122 SECOND
+WITH s AS (SELECT job_id, min(ts) AS started, min(ts) FILTER (WHERE event IN ('done', 'error')) AS ended FROM {EVENTS} e GROUP BY job_id),
+  n AS (SELECT max(ts) - INTERVAL 10 MINUTE AS now FROM {EVENTS} e)
+SELECT job_id, started FROM s, n WHERE (ended IS NULL OR ended > started + INTERVAL 122 SECOND) AND now > started + INTERVAL 122 SECOND
 """)
 def stream_job_timeouts(t: Tables) -> DataFrame:
-    """All jobs that did not end within the budget."""
-    rows = last_update(folds.job_timeouts_stream(_stream(t, derived.EVENTS, "events", ARRIVALS)), "job_id")
-    return rows.where("timed_out").select("job_id")
+    """Jobs whose timer fired; jobs of a month are remembered for longer than that."""
+    return _appended(t, lambda events: timers.job_timeouts_stream(events, remember_seconds=90 * 86_400), "timeouts")
+
+
+@query("""
+WITH g AS (SELECT job_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM {EVENTS} e WINDOW w AS (PARTITION BY job_id ORDER BY ts)),
+  s AS (SELECT job_id, ts, sum(fresh) OVER (PARTITION BY job_id ORDER BY ts) AS n FROM g),
+  o AS (SELECT job_id, min(ts) AS first, max(ts) AS last, CAST(count(*) AS bigint) AS events FROM s GROUP BY job_id, n)
+SELECT * FROM o WHERE last + INTERVAL 6 HOUR < (SELECT max(ts) - INTERVAL 10 MINUTE FROM {EVENTS} e)
+""")
+def stream_activity_sessions(t: Tables) -> DataFrame:
+    """Sessions that are over by the clock of the stream."""
+    return _appended(t, lambda events: activity_sessions_stream(events, gap_seconds=6 * 3600), "sessions")
+
+
+@query("""
+WITH a AS (SELECT * FROM {ARRIVING} a), m AS (SELECT arrival, max(ts) AS top FROM a GROUP BY arrival),
+  w AS (SELECT m.arrival, max(b.top) AS mark FROM m JOIN m AS b ON b.arrival < m.arrival GROUP BY m.arrival)
+SELECT job_id, seq, a.arrival, mark IS NOT NULL AND ts < mark - INTERVAL 10 MINUTE AS late FROM a LEFT JOIN w ON w.arrival = a.arrival
+""")
+def stream_late_events(t: Tables) -> DataFrame:
+    """All events, those that came late from their own table."""
+    folder, arriving = new_folder(t.spark, "late"), t.arriving
+    _in_arrivals(t, arriving, lambda events: late.split_late(events, folder, f"{folder}/state"), folder)
+    on_time, behind = late.read_split(t.spark, folder, arriving.drop("arrival").schema)
+    rows = on_time.withColumn("late", F.lit(False)).unionByName(behind.withColumn("late", F.lit(True)))
+    return rows.select("job_id", "seq", F.col("batch").cast("int").alias("arrival"), "late")
 
 
 @query("SELECT job_id, seq, event, message FROM {EVENTS} e")

@@ -19,6 +19,7 @@ from repolens.operators import health as H
 from repolens.operators import issues as I
 from repolens.operators import lifecycle as LC
 from repolens.operators import runs as R
+from repolens.operators import sessions as SS
 from repolens.plans import report as RP
 from repolens.plans.registry import Tables, choose, literal, query
 from repolens.session import ensure_checkpoint_dir
@@ -537,13 +538,24 @@ def fix_fold(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT job_id, min(ts) AS started, min(ts) FILTER (WHERE event IN ('done', 'error')) AS ended FROM {EVENTS} e GROUP BY job_id)
-SELECT job_id, ended IS NULL OR ended > started + INTERVAL 122 SECOND AS timed_out FROM s
+WITH s AS (SELECT job_id, min(ts) AS started, min(ts) FILTER (WHERE event IN ('done', 'error')) AS ended FROM {EVENTS} e GROUP BY job_id),
+  n AS (SELECT max(ts) AS now FROM {EVENTS} e)
+SELECT job_id, (ended IS NULL OR ended > started + INTERVAL 122 SECOND) AND now > started + INTERVAL 122 SECOND AS timed_out FROM s, n
 """)
 def job_timeouts(t: Tables) -> DataFrame:
     return folds.job_timeouts(t.events).select("job_id", "timed_out")
 
 
+@query("""
+WITH g AS (SELECT job_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM {EVENTS} e WINDOW w AS (PARTITION BY job_id ORDER BY ts)),
+  s AS (SELECT job_id, ts, sum(fresh) OVER (PARTITION BY job_id ORDER BY ts) AS n FROM g)
+SELECT job_id, min(ts) AS first, max(ts) AS last, CAST(count(*) AS bigint) AS events FROM s GROUP BY job_id, n
+""")
+def activity_sessions(t: Tables) -> DataFrame:
+    """Runs of a job's events without a pause of six hours."""
+    return SS.activity_sessions(t.events, gap_seconds=6 * 3600)
+
+
 @query(f"SELECT repo_id, severity, {_N} AS issues FROM {{ISSUES}} i GROUP BY repo_id, severity")
 def live_counts(t: Tables) -> DataFrame:
     return folds.live_counts(t.issues)

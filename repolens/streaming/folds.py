@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repolens import constants as K
@@ -71,12 +71,18 @@ def fix_fold(events: DataFrame) -> DataFrame:
     )
 
 
-def job_timeouts(events: DataFrame, budget_seconds: int = K.JOB_BUDGET_SECONDS) -> DataFrame:
-    """``(job_id, started, timed_out)``: jobs with no done or error event within the budget."""
+def job_timeouts(events: DataFrame, budget_seconds: int = K.JOB_BUDGET_SECONDS, now: Column | None = None) -> DataFrame:
+    """``(job_id, started, timed_out)``: jobs with no done or error event within the budget, once that is over.
+
+    ``now`` is the time to judge at; without it, that of the newest event. A job whose budget is not over yet
+    has not timed out.
+    """
+    now = events.agg(F.max("ts")).scalar() if now is None else now
     ended = F.min(F.when(F.col("event").isin("done", "error"), F.col("ts")))
     jobs = events.groupBy("job_id").agg(F.min("ts").alias("started"), ended.alias("ended"))
     deadline = F.timestamp_add("SECOND", F.lit(budget_seconds), F.col("started"))
-    return jobs.select("job_id", "started", (F.col("ended").isNull() | (F.col("ended") > deadline)).alias("timed_out"))
+    late = (F.col("ended").isNull() | (F.col("ended") > deadline)) & (deadline < now)
+    return jobs.select("job_id", "started", late.alias("timed_out"))
 
 
 def fix_fold_stream(events: DataFrame, name: str = "fixes") -> DataFrame:
@@ -86,13 +92,6 @@ def fix_fold_stream(events: DataFrame, name: str = "fixes") -> DataFrame:
     return refold(rows, "job_id", fix_fold, name)
 
 
-def job_timeouts_stream(events: DataFrame, budget_seconds: int = K.JOB_BUDGET_SECONDS, name: str = "timeouts") -> DataFrame:
-    """:func:`job_timeouts` of a stream after each micro-batch; a job that ends in time after all, by an
-    event that came late, has a later row that says so."""
-    rows = events.select("job_id", "ts", "event")
-    return refold(rows, "job_id", lambda stored: job_timeouts(stored, budget_seconds), name)
-
-
 def live_counts(issues: DataFrame) -> DataFrame:
     """Running issue counts by repository and severity; for tables and, in update mode, streams."""
     return issues.groupBy("repo_id", "severity").agg(F.count("*").alias("issues"))
