@@ -1,150 +1,97 @@
 """Row numbers and previous rows that hold when one key has a large share of all rows.
 
-Keys with many rows are found first by a frequent-items sketch: one pass over the key columns, no
-shuffle, at most ten thousand entries on the driver whatever the size of the data. A key the sketch misses
-has less than a ten-thousandth of all rows and is left to sorting with spill. Joins are left to Spark, which
-splits skewed partitions of a join as it runs.
+All rows are cut into sorted ranges by key and order, whatever the sizes of keys. A key that goes on in the
+next ranges leaves there a row with how many rows it has had, and its last value. So a position is the sum of
+what earlier ranges report plus the place in the range, and no task holds more than a range. It is one pass
+through two shuffles: nothing is counted beforehand, no job runs while a query is built, and no size changes the
+plan. Joins are left to Spark, which splits skewed partitions of a join as it runs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from repolens.session import ensure_checkpoint_dir
-
-# Rows from which a key is hot, and rows of a part or range it is cut into; the session setting of
-# this name takes precedence.
-HOT_ROWS_SETTING = "spark.repolens.hotRows"
-HOT_ROWS = 2_000_000
-SKETCH_KEYS = 10_000
-SKETCH_SIZE = 65_536
-SKETCH_GROUPS = 256
-
-
-def _limit(df: DataFrame, hot_rows: int | None) -> int:
-    return hot_rows or int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
-
-
-def _hash(keys: list[str]) -> Column:
-    return F.xxhash64(*keys)
-
-
-def hot_keys_of(df: DataFrame, *keys: list[str], hot_rows: int | None = None) -> list[dict[int, int]]:
-    """For each set of key columns: hash of each key with more than about ``hot_rows`` rows, and its
-    number of rows. All sets are counted in one pass."""
-    hashes = df.select(*[_hash(k).alias(f"h{i}") for i, k in enumerate(keys)])
-    # Sketches of tasks meet in SKETCH_GROUPS tasks first, so that the last one merges few.
-    names = [f"h{i}" for i in range(len(keys))]
-    group = (F.spark_partition_id() % SKETCH_GROUPS).alias("_group")
-    parts = hashes.groupBy(group).agg(*[F.expr(f"approx_top_k_accumulate({n}, {SKETCH_SIZE}) AS {n}") for n in names])
-    whole = parts.agg(*[F.expr(f"approx_top_k_combine({n}, {SKETCH_SIZE}) AS {n}") for n in names])
-    tops, limit = whole.select(*[F.expr(f"approx_top_k_estimate({n}, {SKETCH_KEYS})") for n in names]).first(), _limit(df, hot_rows)
-    return [{r.item: r["count"] for r in top or [] if r["count"] > limit} for top in tops]
-
-
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> dict[int, int]:
-    return hot_keys_of(df, keys, hot_rows=hot_rows)[0]
-
-
-def _cuts(keys: list[str], hot: dict[int, int], hot_rows: int) -> Column:
-    """Into how many parts the rows of a key are cut: a power of two, 1 for ordinary keys."""
-    by_cuts: dict[int, list[int]] = {}
-    for hash_, rows in hot.items():
-        by_cuts.setdefault(1 << (rows // hot_rows).bit_length(), []).append(hash_)
-    choice = F.lit(1)
-    for cuts, hashes in by_cuts.items():
-        choice = F.when(_hash(keys).isin(hashes), F.lit(cuts)).otherwise(choice)
-    return choice
-
-
-def spread(df: DataFrame, keys: list[str], spread_by: list[str], hot_rows: int | None = None) -> Column:
-    """A number that cuts the rows of each hot key into parts of about ``hot_rows`` rows, else 0."""
-    hot = hot_keys(df, keys, hot_rows)
-    return F.pmod(F.xxhash64(*spread_by), _cuts(keys, hot, _limit(df, hot_rows))).cast("int")
-
-
-def _split_hot(
-    df: DataFrame, keys: list[str], hot_rows: int | None, hot: dict[int, int] | None = None
-) -> tuple[DataFrame, DataFrame | None, int]:
-    """Rows of ordinary keys, rows of hot keys (None if there are none), and the number of ranges of
-    about ``hot_rows`` rows the latter make."""
-    hot = hot_keys(df, keys, hot_rows) if hot is None else hot
-    if not hot:
-        return df, None, 0
-    is_hot = _hash(keys).isin(list(hot))
-    ranges = max(-(-sum(hot.values()) // _limit(df, hot_rows)), df.sparkSession.sparkContext.defaultParallelism)
-    return df.where(~is_hot), df.where(is_hot), ranges
+#: Ranges at most; else as many as the session has shuffle partitions.
+RANGES = 1000
+#: Parts in which the first rows of a key are looked for, before those of the parts are compared.
+PARTS = 64
+_OWN = T.StructType([T.StructField("_range", T.IntegerType()), T.StructField("_target", T.IntegerType()), T.StructField("_weight", T.LongType())])
 
 
 def _columns(order: list) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def _ranged_ordinal(hot: DataFrame, ranges: int, keys: list[str], order: list[Column], out: str) -> DataFrame:
-    """Positions from sorted ranges: the rows of earlier ranges, plus the position in the range."""
-    ensure_checkpoint_dir(hot.sparkSession)
-    ranged = hot.repartitionByRange(ranges, *[F.col(k) for k in keys], *order)
-    ranged = ranged.withColumn("_range", F.spark_partition_id()).checkpoint()
-    sizes = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
-    in_range = Window.partitionBy(*keys, "_range").orderBy(*order)
-    return (
-        ranged.withColumn("_place", F.row_number().over(in_range))
-        .join(starts, [*keys, "_range"])
-        .withColumn(out, (F.col("_start") + F.col("_place")).cast("bigint"))
-        .drop("_range", "_start", "_place")
-        .select(*hot.columns, out)
-    )
-
-
-def ordinal(
-    df: DataFrame,
-    keys: list[str],
-    order: list,
-    out: str = "ordinal",
-    hot_rows: int | None = None,
-    hot: dict[int, int] | None = None,
-) -> DataFrame:
-    """1-based position of each row within its key; ``order`` must be total, keys not null.
-
-    Ordinary keys use a window. A hot key is cut into sorted ranges over many tasks. The ranges are
-    checkpointed, so counts and positions see the same cut even when an executor is lost.
-    """
+def _in_ranges(df: DataFrame, keys: list[str], order: list[Column], value: str | None, ranges: int | None) -> DataFrame:
+    """``df`` with ``_range`` and ``_target``, which are the number of a row's range, and ``_weight`` 1; and for the last
+    key of each range one row per later range as ``_target``, with the number of its rows as ``_weight``, in
+    which only the keys and ``value`` are set."""
+    ranges = ranges or max(1, min(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    kept, names = {*keys, value}, [*df.columns, *_OWN.names]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last, last_key, count, schema = TaskContext.get().partitionId(), None, None, 0, None
+
+        def numbered(columns: list, n: int, targets: pa.Array, weight: int) -> pa.RecordBatch:
+            numbers = [pa.array([own] * n, pa.int32()), targets, pa.array([weight] * n, pa.int64())]
+            return pa.RecordBatch.from_arrays([*columns, *numbers], names)
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            yield numbered(batch.columns, n, pa.array([own] * n, pa.int32()), 1)
+            schema, last = batch.schema, batch.slice(n - 1, 1)
+            key, run = [last.column(k)[0] for k in keys], None
+            for k, x in zip(keys, key, strict=True):
+                column = batch.column(k)
+                same = pc.fill_null(pc.equal(column, x), False) if x.is_valid else pc.is_null(column)
+                run = same if run is None else pc.and_(run, same)
+            here = pc.sum(run).as_py()
+            key = [x.as_py() for x in key]
+            count = here + (count if key == last_key else 0)
+            last_key = key
+        later = list(range(own + 1, ranges))
+        if last is not None and later:
+            first = pa.array([0] * len(later))
+            columns = [c.take(first) if f.name in kept else pa.nulls(len(later), f.type) for f, c in zip(schema, last.columns, strict=True)]
+            yield numbered(columns, len(later), pa.array(later, pa.int32()), count)
+
+    # The number of ranges is given, so Spark does not merge them as it runs.
+    by = [F.col(k) for k in keys]
+    cut = df.repartitionByRange(ranges, *by, *order).sortWithinPartitions(*by, *order)
+    nullable = [T.StructField(f.name, f.dataType) for f in df.schema]
+    return cut.mapInArrow(deal, T.StructType([*nullable, *_OWN.fields]))
+
+
+def ordinal(df: DataFrame, keys: list[str], order: list, out: str = "ordinal", ranges: int | None = None) -> DataFrame:
+    """1-based position of each row within its key; ``order`` must be total. No rows: no rows."""
     order = _columns(order)
-    plain, cut, ranges = _split_hot(df, keys, hot_rows, hot)
-    within = Window.partitionBy(*keys).orderBy(*order)
-    done = plain.withColumn(out, F.row_number().over(within).cast("bigint"))
-    return done if cut is None else done.unionByName(_ranged_ordinal(cut, ranges, keys, order, out))
-
+    within = Window.partitionBy("_target", *keys).orderBy("_range", *order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = _in_ranges(df, keys, order, None, ranges).withColumn(out, F.sum("_weight").over(within).cast("bigint"))
+    return placed.where("_range = _target").select(*[c for c in df.columns if c != out], out)
 
-def previous(
-    df: DataFrame, keys: list[str], order: list, value: str, out: str, hot_rows: int | None = None
-) -> DataFrame:
-    """``value`` of the row before, within the key; null on the first row.
 
-    Rows of a hot key get positions first and then meet the row one position ahead.
-    """
+def previous(df: DataFrame, keys: list[str], order: list, value: str, out: str, ranges: int | None = None) -> DataFrame:
+    """``value`` of the row before, within the key; null on the first row."""
     order = _columns(order)
-    plain, hot, ranges = _split_hot(df, keys, hot_rows)
-    within = Window.partitionBy(*keys).orderBy(*order)
-    done = plain.withColumn(out, F.lag(value).over(within))
-    if hot is None:
-        return done
-    placed = _ranged_ordinal(hot, ranges, keys, order, "_at")
-    ahead = placed.select(*keys, (F.col("_at") + 1).alias("_at"), F.col(value).alias(out))
-    return done.unionByName(placed.join(ahead, [*keys, "_at"], "left").select(*df.columns, out))
-
-
-def first_rows(
-    df: DataFrame, keys: list[str], order: list, n: int, spread_by: list[str], hot_rows: int | None = None
-) -> DataFrame:
-    """The first ``n`` rows of each key; those of a hot key are taken within its parts first."""
+    within = Window.partitionBy("_target", *keys).orderBy("_range", *order)
+    moved = _in_ranges(df, keys, order, value, ranges).withColumn(out, F.lag(value).over(within))
+    return moved.where("_range = _target").select(*df.columns, out)
+
+
+def first_rows(df: DataFrame, keys: list[str], order: list, n: int, spread_by: list[str], parts: int = PARTS) -> DataFrame:
+    """The first ``n`` rows of each key: those of each of its parts first, so that no task sorts a whole key, then
+    of these."""
     order = _columns(order)
-    hot = hot_keys(df, keys, hot_rows)
     place = lambda *by: F.row_number().over(Window.partitionBy(*keys, *by).orderBy(*order))
-    if hot:
-        part = F.pmod(F.xxhash64(*spread_by), _cuts(keys, hot, _limit(df, hot_rows)))
-        df = df.withColumn("_part", part).withColumn("_at", place("_part")).where(F.col("_at") <= n).drop("_part")
+    part = F.pmod(F.xxhash64(*spread_by), F.lit(parts))
+    df = df.withColumn("_part", part).withColumn("_at", place("_part")).where(F.col("_at") <= n).drop("_part")
     return df.withColumn("_at", place()).where(F.col("_at") <= n).drop("_at")

@@ -54,9 +54,7 @@ def store_reports(reports: DataFrame, refs: DataFrame, path: str) -> None:
     """Reports as one document per repository, and beside them their issue lists as one row per issue, in
     buckets of repositories. Files of a large repository are as many as its issues ask for."""
     write_report(reports, f"{path}/reports")
-    # Rows of a large repository are dealt by the first two columns.
-    rows = refs.select("issue_id", "repo_id", *[c for c in refs.columns if c not in ("issue_id", "repo_id")])
-    append_table(rows, f"{path}/issue_refs", rows.schema)
+    append_table(refs, f"{path}/issue_refs", refs.schema)
 
 
 def read_reports(spark: SparkSession, path: str, report: T.StructType, refs: T.StructType, repo_id: str | None = None) -> tuple[DataFrame, DataFrame]:

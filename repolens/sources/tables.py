@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repolens.operators.skew import spread
 from repolens.schemas import conform
 
 BUCKETS = 256
@@ -16,11 +15,11 @@ def append_table(df: DataFrame, path: str, schema: T.StructType, buckets: int =
     """Append rows below ``repo_bucket=…`` folders.
 
     Rows are never updated: a status change is one more row, see :mod:`repolens.operators.lifecycle`.
-    Rows of a bucket go to one file, those of a large repository to as many as their number asks for.
+    Rows of a bucket go to one file, or to as many of Spark's advisory size as a large repository asks for,
+    which Spark decides as it writes.
     """
     rows = conform(df, schema).withColumn("repo_bucket", F.pmod(F.xxhash64("repo_id"), F.lit(buckets)).cast("int"))
-    part = spread(rows, ["repo_id"], schema.names[:2])
-    rows.repartition("repo_bucket", part).write.mode("append").partitionBy("repo_bucket").parquet(path)
+    rows.hint("rebalance", "repo_bucket").write.mode("append").partitionBy("repo_bucket").parquet(path)
 
 
 def read_table(
