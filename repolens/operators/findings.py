@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,6 +119,25 @@ def finding_counts(findings: DataFrame) -> DataFrame:
     return per_key.groupBy("repo_id").agg(F.sum("n").alias("raw"), F.count("*").alias("deduplicated"))
 
 
+def store_findings(files: DataFrame, out: str, rules: list[LineRule] = LINE_RULES, stacks: DataFrame | None = None, content: str = "content") -> dict[str, int]:
+    """Writes the deduplicated findings of a corpus to ``out/findings`` and its facts to ``out/scanned``, and gives what the run
+    saw: ``files``, ``bytes``, ``unparsed`` files, ``findings`` with copies, and ``distinct`` ones.
+
+    The numbers are observed as the rows pass by on their way to the tables; nothing is read again for them.
+    """
+    read, parsed, raw, kept = (Observation(n) for n in ("read", "parsed", "raw", "kept"))
+    size = F.octet_length(F.col(content))
+    seen = files.observe(read, F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"))
+    scanned = scan_files(seen, rules, content).observe(parsed, F.count_if(F.col("error.kind").isNotNull()).alias("unparsed"))
+    scanned.write.mode("overwrite").parquet(f"{out}/scanned")
+    stored = files.sparkSession.read.schema(scanned.schema).parquet(f"{out}/scanned")
+    found = scanned_findings(stored).unionByName(factrules.untested_functions(python_files(stored)))
+    found = found if stacks is None else dispatch(found, stacks, "file_path")
+    unique = dedup_findings(found.observe(raw, F.count(F.lit(1)).alias("findings"))).observe(kept, F.count(F.lit(1)).alias("distinct"))
+    unique.write.mode("overwrite").parquet(f"{out}/findings")
+    return {**read.get, **parsed.get, **raw.get, **kept.get}
+
+
 def to_issues(findings: DataFrame, run_id: str, detected_at: Column | None = None) -> DataFrame:
     """Findings as open issues with their root cause.
 

@@ -49,6 +49,18 @@ def category_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("repo_id", "category").agg(F.count("*").alias("issues"))
 
 
+def issue_rollup(issues: DataFrame) -> DataFrame:
+    """``(repo_id, category, severity, level, issues, open)``: counts per repository, category and severity, and
+    their sums per repository and category, per repository, and of all, in one aggregation.
+
+    ``level`` has a bit for each column summed over, 0 to 7, so that a null that was there can be told from one
+    that stands for all.
+    """
+    return issues.rollup("repo_id", "category", "severity").agg(
+        F.grouping_id().cast("int").alias("level"), F.count("*").alias("issues"), F.count_if(F.col("status") == "open").alias("open")
+    )
+
+
 def severity_breakdown(issues: DataFrame) -> DataFrame:
     """``(repo_id, severity, total, fixed)`` for the four levels only."""
     per_repo = issues.groupBy("repo_id").agg(

@@ -1,4 +1,4 @@
-"""Sessions of activity: runs of events with no gap of a given length between them."""
+"""Sessions of activity: runs of events with no longer gap between them than a given one."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ SLICE_SECONDS = 86_400
 def activity_sessions(
     events: DataFrame, key: str = "job_id", time: str = "ts", gap_seconds: int = GAP_SECONDS, slice_seconds: int = SLICE_SECONDS
 ) -> DataFrame:
-    """``(key, first, last, events)``: an event belongs to a session if it is less than ``gap_seconds`` after the one
+    """``(key, first, last, events)``: an event belongs to a session if it is at most ``gap_seconds`` after the one
     before it. Events without a time are in none.
 
     Sessions are made within slices of time, which cut a key of any size, and those that touch across a
@@ -25,7 +25,7 @@ def activity_sessions(
     parts = dated.groupBy("_key", slice_.alias("_slice"), window).agg(F.min("_at").alias("first"), F.max("_at").alias("last"), F.count("*").alias("events"))
     in_order = Window.partitionBy("_key").orderBy("first")
     gap = F.unix_micros("first") - F.unix_micros(F.lag("last").over(in_order))
-    marked = parts.withColumn("_new", F.coalesce((gap >= gap_seconds * 1_000_000).cast("int"), F.lit(1)))
+    marked = parts.withColumn("_new", F.coalesce((gap > gap_seconds * 1_000_000).cast("int"), F.lit(1)))
     marked = marked.withColumn("_session", F.sum("_new").over(in_order))
     whole = marked.groupBy("_key", "_session").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("events").alias("events"))
     return whole.select(F.col("_key").alias(key), "first", "last", "events")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from repolens.operators.facts import extract_facts, fact_rows
 from repolens.operators.lines import LINE_RULES
 from repolens.plans import analysis
 from repolens.plans.registry import Tables, literal, query
-from repolens.session import materialize
+from repolens.session import ensure_checkpoint_dir, materialize
 
 COLUMNS = ["repo_id", "file_path", "line_number", "category", "severity", "title", "evidence"]
 _EXPECTED = "SELECT repo_id, file_path, CAST(line_number AS int) AS line_number, category, severity, title, evidence FROM {EXPECTED_FINDINGS} f"
@@ -97,6 +99,18 @@ def all_findings(t: Tables) -> DataFrame:
     return FD.all_findings(t.corpus).select(COLUMNS)
 
 
+@query(f"""
+WITH f AS ({_EXPECTED}), c AS (SELECT count(*) AS n, sum(strlen(content)) AS size FROM {{CORPUS}} c)
+SELECT CAST(c.n AS bigint) AS files, CAST(size AS bigint) AS bytes, CAST((SELECT count(*) FROM f WHERE title = 'Syntax Error') AS bigint) AS unparsed,
+  CAST((SELECT count(*) FROM f) AS bigint) AS findings, CAST((SELECT count(*) FROM (SELECT DISTINCT repo_id, file_path, line_number, title FROM f)) AS bigint) AS distinct_findings FROM c
+""")
+def run_metrics(t: Tables) -> DataFrame:
+    """What a run over the corpus saw, observed while its findings were written."""
+    seen = FD.store_findings(t.corpus, f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/run-{uuid4().hex}")
+    row = (seen["files"], seen["bytes"], seen["unparsed"], seen["findings"], seen["distinct"])
+    return t.spark.createDataFrame([row], "files long, bytes long, unparsed long, findings long, distinct_findings long")
+
+
 @query("""
 SELECT c.repo_id, c.path FROM {CORPUS} c JOIN {CORPUS_STACKS} s ON s.repo_id = c.repo_id
 WHERE (path LIKE '%.py' AND coalesce(tech_stack, 'unknown') IN ('python', 'unknown'))

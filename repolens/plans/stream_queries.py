@@ -55,7 +55,7 @@ def stream_progress_fold(t: Tables) -> DataFrame:
 
 @_as("fix_fold")
 def stream_fix_fold(t: Tables) -> DataFrame:
-    rows = folds.fix_fold_stream(_stream(t, derived.FIX_EVENTS, "events", ARRIVALS))
+    rows = folds.fix_fold_stream(_stream(t, derived.FIX_EVENTS, "events", ARRIVALS), buckets=8)
     return last_update(rows, "job_id").fillna("-", ["diff", "error"])
 
 
@@ -97,7 +97,7 @@ def stream_job_timeouts(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT job_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM {EVENTS} e WINDOW w AS (PARTITION BY job_id ORDER BY ts)),
+WITH g AS (SELECT job_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM {EVENTS} e WINDOW w AS (PARTITION BY job_id ORDER BY ts)),
   s AS (SELECT job_id, ts, sum(fresh) OVER (PARTITION BY job_id ORDER BY ts) AS n FROM g),
   o AS (SELECT job_id, min(ts) AS first, max(ts) AS last, CAST(count(*) AS bigint) AS events FROM s GROUP BY job_id, n)
 SELECT * FROM o WHERE last + INTERVAL 6 HOUR < (SELECT max(ts) - INTERVAL 10 MINUTE FROM {EVENTS} e)
@@ -148,8 +148,10 @@ def stream_issue_updates(t: Tables) -> DataFrame:
 
 @_as("live_counts")
 def stream_live_counts(t: Tables) -> DataFrame:
-    rows = to_files(folds.live_counts(_stream(t, derived.ISSUES, "orders")), "complete", "counts")
-    return rows.where(rows.batch == rows.agg({"batch": "max"}).first()[0]).drop("batch")
+    """Only counts that change are put out; the last of each holds."""
+    rows = to_files(folds.live_counts(_stream(t, derived.ISSUES, "orders", ARRIVALS)), "update", "counts")
+    last = rows.groupBy("repo_id", "severity").agg(F.max("issues").alias("issues"))
+    return last
 
 
 @query("SELECT DISTINCT 'run' AS run_id, repo_id, file_path, line_number, title FROM {FINDINGS} f")
@@ -157,7 +159,7 @@ def stream_dedup(t: Tables) -> DataFrame:
     """Every finding arrives twice, in any order and any distance."""
     found = _stream(t, derived.ISSUES, "orders", ARRIVALS).withColumn("run_id", F.lit("run"))
     twice = found.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    return folds.dedup_stream(twice).select("run_id", "repo_id", "file_path", "line_number", "title")
+    return folds.dedup_stream(twice, buckets=8).select("run_id", "repo_id", "file_path", "line_number", "title")
 
 
 @_as("all_findings")

@@ -207,6 +207,15 @@ def category_counts(t: Tables) -> DataFrame:
     return H.category_counts(t.issues)
 
 
+@query(f"""
+SELECT coalesce(repo_id, '*') AS repo_id, coalesce(category, '*') AS category, coalesce(severity, '*') AS severity,
+  CAST(grouping(repo_id, category, severity) AS int) AS level, {_N} AS issues, {_count_if("status = 'open'")} AS open
+FROM {{ISSUES}} i GROUP BY ROLLUP (repo_id, category, severity)
+""")
+def issue_rollup(t: Tables) -> DataFrame:
+    return H.issue_rollup(t.issues).fillna("*", ["repo_id", "category", "severity"])
+
+
 @query(f"""
 SELECT r.repo_id, l.severity, CAST(count(i.issue_id) AS bigint) AS total, {_count_if("i.status = 'fixed'")} AS fixed
 FROM (SELECT DISTINCT repo_id FROM {{ISSUES}} a) r CROSS JOIN (SELECT unnest([{', '.join(map(literal, K.SEVERITIES))}]) AS severity) l
@@ -547,7 +556,7 @@ def job_timeouts(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT job_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM {EVENTS} e WINDOW w AS (PARTITION BY job_id ORDER BY ts)),
+WITH g AS (SELECT job_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM {EVENTS} e WINDOW w AS (PARTITION BY job_id ORDER BY ts)),
   s AS (SELECT job_id, ts, sum(fresh) OVER (PARTITION BY job_id ORDER BY ts) AS n FROM g)
 SELECT job_id, min(ts) AS first, max(ts) AS last, CAST(count(*) AS bigint) AS events FROM s GROUP BY job_id, n
 """)

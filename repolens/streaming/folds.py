@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repolens import constants as K
-from repolens.streaming.run import first_of_each, refold
+from repolens.operators.lifecycle import moment
+from repolens.streaming.run import BUCKETS, first_of_each, refold
 
 # State before the first event, and after the last.
 START_PCT, START_MESSAGE = 5, "Starting analysis\u2026"
@@ -51,23 +52,24 @@ def fix_fold(events: DataFrame) -> DataFrame:
     comes after that does not count.
     """
     ends = events.where(F.col("event").isin("fix_complete", "fix_failed"))
-    first = ends.groupBy("job_id").agg(F.min(F.struct("ts", "seq", "event", "diff", "message")).alias("end"))
-    rows = events.select("job_id", "ts", "seq", "event").join(first, "job_id", "left")
-    counted = (F.col("event") == "output") & (
-        F.col("end").isNull() | (F.struct("ts", "seq") < F.struct("end.ts", "end.seq"))
-    )
+    # The end is found by its moment; diff and message are fetched for the events that are one.
+    first = ends.groupBy("job_id").agg(F.min(moment()).alias("end"))
+    ended = ends.withColumn("end", moment()).join(first, ["job_id", "end"], "left_semi")
+    ended = ended.select("job_id", F.col("event").alias("how"), "diff", "message").distinct()
+    rows = events.select("job_id", "event", moment().alias("at")).join(first, "job_id", "left")
+    counted = (F.col("event") == "output") & (F.col("end").isNull() | (F.col("at") < F.col("end")))
     lines = rows.groupBy("job_id").agg(F.count_if(counted).alias("lines"))
-    complete = F.col("end.event") == "fix_complete"
-    return lines.join(first, "job_id", "left").select(
+    complete = F.col("how") == "fix_complete"
+    return lines.join(ended, "job_id", "left").select(
         "job_id",
         F.when(complete, F.lit("succeeded"))
-        .when(F.col("end").isNotNull(), F.lit("failed"))
+        .when(F.col("how").isNotNull(), F.lit("failed"))
         .when(F.col("lines") > 0, F.lit("running"))
         .otherwise(F.lit("pending"))
         .alias("status"),
         "lines",
-        F.when(complete, F.col("end.diff")).alias("diff"),
-        F.when(~complete, F.col("end.message")).alias("error"),
+        F.when(complete, F.col("diff")).alias("diff"),
+        F.when(~complete, F.col("message")).alias("error"),
     )
 
 
@@ -85,11 +87,11 @@ def job_timeouts(events: DataFrame, budget_seconds: int = K.JOB_BUDGET_SECONDS,
     return jobs.select("job_id", "started", late.alias("timed_out"))
 
 
-def fix_fold_stream(events: DataFrame, name: str = "fixes") -> DataFrame:
+def fix_fold_stream(events: DataFrame, name: str = "fixes", buckets: int = BUCKETS) -> DataFrame:
     """:func:`fix_fold` of a stream after each micro-batch: the jobs it touches, over all their events so
     far. The outcome does not depend on the order of arrival, and no event is late."""
     rows = events.select("job_id", "ts", "seq", "event", "diff", "message")
-    return refold(rows, "job_id", fix_fold, name)
+    return refold(rows, "job_id", fix_fold, name, buckets)
 
 
 def live_counts(issues: DataFrame) -> DataFrame:
@@ -97,10 +99,10 @@ def live_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("repo_id", "severity").agg(F.count("*").alias("issues"))
 
 
-def dedup_stream(findings: DataFrame, name: str = "dedup") -> DataFrame:
+def dedup_stream(findings: DataFrame, name: str = "dedup", buckets: int = BUCKETS) -> DataFrame:
     """Findings of a stream, each key once however far apart its copies arrive: the first one of the first
     micro-batch that has it."""
-    return first_of_each(findings, ["run_id", "repo_id", "file_path", "line_number", "title"], name)
+    return first_of_each(findings, ["run_id", "repo_id", "file_path", "line_number", "title"], name, buckets)
 
 
 def test_results(events: DataFrame) -> DataFrame:

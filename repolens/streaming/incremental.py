@@ -16,18 +16,37 @@ from repolens.operators import factrules
 from repolens.operators.facts import FILE_FACTS
 from repolens.operators.findings import dedup_findings, python_files, scan_files, scanned_findings
 from repolens.schemas import FINDINGS, STRING, struct
+from repolens.session import materialize
 
 KEY = struct(repo_id=STRING, path=STRING)
 
 
-def analyze_stream(files: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
+def last_versions(files: DataFrame, order: str) -> DataFrame:
+    """``files`` without those of which a version of greater ``order`` is there; equal ones all stay.
+
+    Contents are not moved for it: what is superseded is found on narrow columns and written first, so Spark
+    knows how few rows they are.
+    """
+    versions = files.select(F.col("repo_id").alias("_repo"), F.col("path").alias("_path"), F.col(order).alias("_order"))
+    last = versions.groupBy("_repo", "_path").agg(F.max("_order").alias("_last"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    old = materialize(versions.join(last, ["_repo", "_path"]).where("_order < _last").drop("_last").distinct(), "superseded")
+    same = (F.col("repo_id") == F.col("_repo")) & (F.col("path") == F.col("_path")) & (F.col(order) == F.col("_order"))
+    return files.join(old, same, "left_anti")
+
+
+def analyze_stream(files: DataFrame, out: str, checkpoint: str, order: str | None = None) -> DataStreamWriter:
     """Writer of ``out/arrivals``, ``out/facts`` and ``out/findings``; every micro-batch replaces its
-    own folders, so a repeated batch leaves no rows twice."""
+    own folders, so a repeated batch leaves no rows twice.
+
+    Of versions of a file in different micro-batches the last one counts. Of those in one micro-batch that of
+    the greatest ``order`` counts, a column such as the time a version was sent; without it, a stream must
+    not send a file twice in one.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark, folder = batch.sparkSession, lambda table: f"{out}/{table}/batch={batch_id}"
-        # The batch is read once; arrivals are the files of its facts.
-        scanned = scan_files(batch)
+        # Contents are read once; arrivals are the files of the facts.
+        scanned = scan_files(batch if order is None else last_versions(batch, order))
         scanned.write.mode("overwrite").parquet(folder("facts"))
         stored = spark.read.schema(scanned.schema).parquet(folder("facts"))
         stored.select("repo_id", "path").write.mode("overwrite").parquet(folder("arrivals"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from repolens.operators.findings import all_findings, dedup_findings
 from repolens.sources import events as EV
-from repolens.streaming import folds, incremental
-from repolens.streaming.run import last_update
+from repolens.operators.sessions import activity_sessions, activity_sessions_stream
+from repolens.streaming import folds, incremental, late, timers
+from repolens.streaming.run import first_of_each, last_update, refold
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -90,10 +91,106 @@ def test_timeouts(spark, parts, tmp_path):
     rows = [(j, n, T0 + dt.timedelta(seconds=s), e) for j, es in times.items() for n, (s, e) in enumerate(es)]
     df = spark.createDataFrame(rows, "job_id string, seq long, ts timestamp, event string").withColumn("at", F.unix_timestamp("ts"))
     assert {r.job_id for r in folds.job_timeouts(df).where("timed_out").collect()} == {"late", "never"}
-    for order, name in (("at", "ordered"), ("back", "backwards")):
-        sdf = parts(df.withColumn("back", -F.col("at")), order, 5, name)
-        rows = last_update(folds.job_timeouts_stream(sdf), "job_id").where("timed_out")
-        assert {(r.job_id, r.started) for r in rows.collect()} == {("late", T0), ("never", T0 + dt.timedelta(seconds=5))}
+
+
+def test_timeout_waits(spark):
+    """A job is judged by the clock: one with a fresh event is still running."""
+    df = spark.createDataFrame([("new", T0, "progress"), ("old", T0 - dt.timedelta(seconds=123), "progress")], "job_id string, ts timestamp, event string")
+    assert {r.job_id: r.timed_out for r in folds.job_timeouts(df).collect()} == {"new": False, "old": True}
+    later = folds.job_timeouts(df, now=F.lit(T0 + dt.timedelta(seconds=123)))
+    assert later.where("timed_out").count() == 2
+    assert folds.job_timeouts(df.limit(0)).count() == 0
+
+
+def arrive(spark, tmp_path, arrivals, schema, start):
+    """Runs a stream up to each of several arrivals, each time from its checkpoint."""
+    for rows in arrivals:
+        spark.createDataFrame(rows, schema).repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
+        query = start(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).trigger(availableNow=True).start()
+        query.awaitTermination(300)
+        assert query.exception() is None
+    return query
+
+
+def test_timers(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    arrivals = [
+        [("ok", at(0), "progress"), ("late", at(0), "progress"), ("never", at(5), "progress"), (None, at(1), "progress"), ("dark", None, "progress")],
+        [("ok", at(100), "done"), ("late", at(130), "done"), ("early", at(60), "progress"), ("early", at(20), "progress")],
+        # No further event of the others: the clock is moved by this job alone.
+        [("clock", at(500), "progress")], [("clock", at(501), "done"), ("never", at(502), "output")],
+        [("end", at(10_000), "progress")],
+    ]
+
+    def start(events):
+        out = timers.job_timeouts_stream(events, delay="0 seconds", remember_seconds=600)
+        return out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck")
+
+    query = arrive(spark, tmp_path, arrivals, "job_id string, ts timestamp, event string", start)
+    got = sorted((r.job_id, r.started) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("early", at(20)), ("late", at(0)), ("never", at(5))]
+    # Settled jobs are forgotten after a while: what is left is the last one.
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+
+
+def test_late_rows(spark, tmp_path):
+    at = lambda m: None if m is None else T0 + dt.timedelta(minutes=m)
+    minutes = [[0, 5, 3], [20, 9, None], [9, 10, 11, 30], [], [19, 20, 100], [89, 91]]
+    arrivals = [[(i * 10 + j, at(m)) for j, m in enumerate(ms)] for i, ms in enumerate(minutes) if ms]
+    query = arrive(spark, tmp_path, arrivals, "id int, ts timestamp", lambda rows: late.split_late(rows, f"{tmp_path}/out", f"{tmp_path}/ck"))
+    assert query.lastProgress is not None
+    on_time, behind = late.read_split(spark, f"{tmp_path}/out", spark.createDataFrame([], "id int, ts timestamp").schema)
+    assert sorted(r.id for r in behind.collect()) == [20, 40, 50]
+    assert on_time.count() + behind.count() == sum(map(len, minutes))
+
+
+@pytest.mark.parametrize("slice_seconds", [7, 60, 10**6])
+def test_sessions(spark, slice_seconds):
+    times = {"a": [0, 5, 9, 19, 40, 41], "b": [100], "c": [0, 10, 20, 30.000001, 39.999999], "d": [3, 3, 3]}
+    rows = [(j, T0 + dt.timedelta(seconds=s)) for j, ss in times.items() for s in ss] + [("e", None), (None, T0)]
+    got = activity_sessions(spark.createDataFrame(rows, "job_id string, ts timestamp"), gap_seconds=10, slice_seconds=slice_seconds)
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    want = [("a", at(0), at(19), 4), ("a", at(40), at(41), 2), ("b", at(100), at(100), 1), ("d", at(3), at(3), 3), (None, T0, T0, 1)]
+    want += [("c", at(0), at(20), 3), ("c", at(30.000001), at(39.999999), 2)]
+    assert as_set(got) == sorted(want, key=repr)
+
+
+def test_sessions_as_they_close(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    arrivals = [[("a", at(0)), ("b", at(2))], [("a", at(9)), ("a", at(15))], [("b", at(40))], [("b", at(45)), ("c", at(60))]]
+
+    def start(events):
+        out = activity_sessions_stream(events, gap_seconds=10, delay="0 seconds")
+        return out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck")
+
+    arrive(spark, tmp_path, arrivals, "job_id string, ts timestamp", start)
+    assert as_set(spark.read.parquet(f"{tmp_path}/out")) == [("a", at(0), at(15), 3), ("b", at(2), at(2), 1), ("b", at(40), at(45), 2)]
+
+
+def test_reading_is_bounded_by_the_buckets_touched(spark, parts):
+    """Twenty micro-batches of one key each: none reads what other keys have stored."""
+    df = spark.range(200).selectExpr("id", "cast(floor(id / 10) as string) as k", "id as n")
+    read = []
+
+    def fold(stored):
+        read.append(len(stored.inputFiles()))
+        return stored.groupBy("k").agg(F.sum("n").alias("n"))
+
+    out = refold(parts(df, "id", 20), "k", fold, "bounded", buckets=64)
+    assert as_set(out.drop("batch")) == as_set(df.groupBy("k").agg(F.sum("n").alias("n")))
+    # A batch's own rows, and those of the few keys that share its bucket; not the 20 folders there are.
+    assert len(read) == 21 and max(read) <= 8
+    twice = df.unionByName(df.withColumn("id", F.col("id") + 200))
+    assert as_set(first_of_each(parts(twice, "id", 20, "twice"), ["k", "n"], "once").select("k", "n")) == as_set(df.select("k", "n"))
+
+
+def test_last_version_in_a_micro_batch(spark, parts, tmp_path):
+    """Of two versions that come together the last one counts, whatever order they are stored in."""
+    rows = [(2, "r", "a.js", "x\n"), (1, "r", "a.js", "eval(x);\n"), (1, "r", "b.js", "x\n"), (2, "r", "b.js", "eval(x);\n"), (1, "r", "c.js", "eval(x);\n")]
+    df = spark.createDataFrame(rows, "id long, repo_id string, path string, content string")
+    out = str(tmp_path / "out")
+    run(incremental.analyze_stream(parts(df, "id", 1), out, str(tmp_path / "ck-files"), order="id"), tmp_path, "files")
+    assert sorted(r.file_path for r in incremental.stored_findings(spark, out).collect()) == ["b.js", "c.js"]
 
 
 def test_live_counts(spark, parts, tmp_path):
