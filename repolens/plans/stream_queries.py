@@ -127,7 +127,7 @@ def stream_job_events(t: Tables) -> DataFrame:
     events = _stream(t, derived.EVENTS, "events", ARRIVALS)
     folder = new_folder(t.spark, "jobs")
     run_available(write_events(events, folder, f"{folder}-state", buckets=16))
-    return t.spark.read.parquet(folder).select("job_id", "seq", "event", "message")
+    return t.spark.read.schema(events.schema).parquet(folder).select("job_id", "seq", "event", "message")
 
 
 @query("""
