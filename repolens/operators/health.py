@@ -54,7 +54,7 @@ def issue_rollup(issues: DataFrame) -> DataFrame:
     their sums per repository and category, per repository, and of all, in one aggregation.
 
     ``level`` has a bit for each column summed over, 0 to 7, so that a null that was there can be told from one
-    that stands for all.
+    that stands for all. No issues: no rows.
     """
     return issues.rollup("repo_id", "category", "severity").agg(
         F.grouping_id().cast("int").alias("level"), F.count("*").alias("issues"), F.count_if(F.col("status") == "open").alias("open")
