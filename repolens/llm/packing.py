@@ -11,6 +11,9 @@ from __future__ import annotations
 import heapq
 import os
 import re
+import sys
+import types
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +30,10 @@ GROUP_TOKENS = 1 << 20
 LINEAR, QUADRATIC = 2048.0, 1.0
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words, and parts of words, whose ids a task remembers; beyond, it starts anew.
-KNOWN_WORDS, KNOWN_PARTS = 300_000, 400_000
+#: Words, and parts of words, whose ids a Python worker remembers in each of two generations.
+KNOWN_WORDS, KNOWN_PARTS = 150_000, 150_000
+#: Bytes of text whose new words are learnt in one call.
+LEARN_BYTES = 1 << 21
 
 
 # A word that ends in a letter and then marks: the pre-tokenizer always parts them there. The apostrophe is
@@ -45,8 +50,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[bytes, bytes] = {}
-        self._parts: dict[bytes, bytes] = {}
+        self._known, self._parts = _Memory(), _Memory()
         self._most = words, parts
 
     @staticmethod
@@ -56,34 +60,58 @@ class WordTokenizer:
         if b"<|" in word or b"\xcc" in word or b"\xcd" in word:
             return (word,)
         low = word.lower()
+        if low.isalnum():
+            return (low,)
         parted = _MARKS.fullmatch(low)
         return parted.groups() if parted else (low,)
 
     def _learn(self, words: list[bytes]) -> None:
-        split = [self._split(w) for w in words]
-        new = list({p for parts in split for p in parts if p not in self._parts})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        split, known = list(map(self._split, words)), self._parts
+        new = list({p for parts in split for p in parts}.difference(known, known.old))
+        for at in range(0, len(new), 16384):
+            part = new[at : at + 16384]
             encoded = self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for word, e in zip(part, encoded, strict=True):
-                self._parts[word] = np.array(e.ids, "<u4").tobytes()
-        for word, parts in zip(words, split, strict=True):
-            self._known[word] = b"".join(map(self._parts.__getitem__, parts))
+            known.update(zip(part, [array("I", e.ids).tobytes() for e in encoded], strict=True))
+        self._known.update((w, known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]]) for w, p in zip(words, split, strict=True))
 
     def ids(self, text: bytes) -> np.ndarray:
-        out = []
-        for block in blocks(text):
-            words = block.split()
-            try:
-                out.append(b"".join(map(self._known.__getitem__, words)))
-                continue
-            except KeyError:
-                for known, most in zip((self._known, self._parts), self._most, strict=True):
-                    if len(known) > most:
-                        known.clear()
-            self._learn([w for w in set(words) if w not in self._known])
-            out.append(b"".join(map(self._known.__getitem__, words)))
-        return np.frombuffer(b"".join(out), "<u4")
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text; the words of all of them that are new are learnt together."""
+        for known, most in zip((self._known, self._parts), self._most, strict=True):
+            if len(known) > most:
+                known.age()
+        cut = [[block.split() for block in blocks(text)] for text in texts]
+        words = set().union(*(words for parts in cut for words in parts))
+        self._learn(list(words.difference(self._known, self._known.old)))
+        look = self._known.__getitem__
+        return [np.frombuffer(b"".join([b"".join(map(look, words)) for words in parts]), "<u4") for parts in cut]
+
+
+class _Memory(dict):
+    """What was used lately. When it grows too large it ages: what is used again comes over from before, the rest
+    goes at the next time."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[bytes, bytes] = {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self[key] = self.old[key]
+        return value
+
+    def age(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+
+def _tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this Python worker, which keeps its memory from task to task."""
+    kept = sys.modules.setdefault("_repolens_tokenizers", types.ModuleType("_repolens_tokenizers"))
+    if path not in vars(kept):
+        setattr(kept, path, WordTokenizer(path))
+    return vars(kept)[path]
 
 
 def cost(tokens: int) -> float:
@@ -141,10 +169,10 @@ def packed(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = _tokenizer(tokenizer_path)
         group: list[tuple[int, np.ndarray]] = []
         tokens, next_id = 0, TaskContext.get().partitionId() << 40
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -155,11 +183,24 @@ def packed(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str
             ]
             for at in range(0, len(rows), 4096):
                 columns = zip(*rows[at : at + 4096], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-        for batch in batches:
+        def tokenized(batch: pa.RecordBatch, tokenizer: WordTokenizer) -> Iterator[tuple[int, np.ndarray]]:
+            held, size = [], 0
             for doc, content in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                ids = np.append(tokenizer.ids(content), np.uint32(END_ID)).astype("<u4")
+                held.append((doc, content))
+                size += len(content)
+                if size >= LEARN_BYTES:
+                    yield from ended(held, tokenizer)
+                    held, size = [], 0
+            yield from ended(held, tokenizer)
+
+        def ended(held: list[tuple[int, bytes]], tokenizer: WordTokenizer) -> Iterator[tuple[int, np.ndarray]]:
+            for (doc, _), ids in zip(held, tokenizer.ids_of([t for _, t in held]), strict=True):
+                yield doc, np.append(ids, np.uint32(END_ID)).astype("<u4")
+
+        for batch in batches:
+            for doc, ids in tokenized(batch, tokenizer):
                 group.append((doc, ids))
                 tokens += len(ids)
                 if tokens >= group_tokens:
