@@ -33,8 +33,8 @@ DEPTHS, MISS = (2, 4, 8), 1e-6
 #: Comparisons of a region per set in it, from which it is cut deeper; sets that share a first neighbour.
 CROWD, FIRST = 256, 1024
 SKETCH = 16
-#: Shingles a task hands on at once, and sets whose copies a task remembers.
-_CHUNK, _KNOWN = 1 << 20, 100_000
+#: Documents a task looks at, shingles it hands on at once, and sets whose copies it remembers.
+_SLICE, _CHUNK, _KNOWN = 256, 1 << 18, 50_000
 _NODE = "row long, doc_id {id}, n long, key binary, hashes array<long>, sketch array<long>, regions array<long>"
 
 
@@ -73,7 +73,7 @@ def _sets(docs: DataFrame, id_type: str, words: int, percent: int) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
-        for batch in batches:
+        for batch in (b.slice(at, _SLICE) for b in batches for at in range(0, b.num_rows, _SLICE)):
             names, held = [], 0
             rows: list[tuple] = []
 
