@@ -106,6 +106,8 @@ def _sets(docs: DataFrame, id_type: str, words: int, percent: int) -> DataFrame:
                     held = 0
             if rows:
                 yield out()
+        # The worker stays for later tasks; what it held goes back to the machine.
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(build, _NODE.format(id=id_type))
 
