@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.llm import linespread, mixing, packing, ppm, simhash
-from repolens.llm.common import stored, table
+from repolens.llm.common import fresh, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if model is None:
         # Nothing names a language: only texts without letters are rejected.
         return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    found = ppm.with_language(docs, model, lang="lang_pred", score="lang_score")
-    named = found.where(F.col("lang_pred") != ppm.UNDECIDED).withColumn("lang", F.col("lang_pred"))
+    lang, score = fresh(docs, "lang_pred", "lang_score")
+    found = ppm.with_language(docs, model, lang=lang, score=score)
+    named = found.where(F.col(lang) != ppm.UNDECIDED).withColumn("lang", F.col(lang))
     return named.select(*docs.columns)
 
 

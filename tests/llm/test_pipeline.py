@@ -76,3 +76,11 @@ def test_pipeline_without_languages(spark, docs):
 def test_pipeline_of_nothing(spark, docs, tmp_path):
     docs([(1, "x")]).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_language_keeps_columns_of_its_own_names(spark, docs, rng):
+    """A document's own ``lang_pred`` and ``lang_score`` pass through."""
+    rows = docs([(i, prose(rng, 50), "en") for i in range(40)] + [(99, "123 456", "en")], lang_pred="'keep'", lang_score="doc_id")
+    got = corpus_pipeline.language(spark, rows, "").collect()
+    assert sorted(r.lang_score for r in got) == list(range(40))
+    assert {(r.lang, r.lang_pred) for r in got} == {("en", "keep")}
