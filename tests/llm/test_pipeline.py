@@ -10,13 +10,14 @@ import corpus_pipeline
 from repolens.llm import ppm, queries, simhash
 
 from .conftest import edge_rows, prose
+from .test_groups import brute_words
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
-def test_entry_has_all_eleven():
+def test_entry_has_all_operators():
     assert set(queries.QUERIES) | {"pipeline"} <= set(E.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -24,10 +25,16 @@ def test_entry_has_all_eleven():
 def test_query_covers_its_table(spark, name):
     df = queries.QUERIES[name](spark, FOLDER)
     rows = df.collect()
-    docs = {r.doc_id for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id").collect()}
-    if name.startswith("op5"):
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
+    docs = {doc_id for doc_id, _ in texts}
+    if name.startswith(("op5", "op11")):
         ids = {r.vec_id for r in spark.read.parquet(f"{FOLDER}/embeddings.parquet").select("vec_id").collect()}
+        if name.startswith("op11"):
+            assert sorted(r.vec_id for r in rows) == sorted(ids)
+            return
         assert Counter(r.query_id for r in rows) == {i: min(20, len(ids) - 1) for i in ids if i % 20 == 0}
+    elif name.startswith("op13"):
+        assert {r.word: r.n for r in rows} == brute_words(texts)
     else:
         assert {r.doc_id for r in rows} == docs
         assert name.startswith("op7") or len(rows) == len(docs)
