@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from repolens import constants as K
 from repolens.functions import text as X
 from repolens.session import materialize
+from repolens.sources.layout import beside
 
 # Rewrite patterns.
 SECRET_LINE = r"^(\s*\w+)\s*=\s*[\"'].+[\"']"
@@ -92,19 +93,20 @@ _TEXT_FIXES: list[tuple[str, Callable[[Column], Column]]] = [
 ]
 
 
-def issue_targets(issues: DataFrame, files: DataFrame, content: str = "content") -> DataFrame:
+def issue_targets(issues: DataFrame, files: DataFrame, content: str = "content", laid_out: bool = False) -> DataFrame:
     """``(issue_id, repo_id, file_path, line_number, target)``: issues with the line they point at.
 
     An issue whose file is missing is left out; ``target`` is null outside the file. Issues of a file
     are gathered as line numbers before they meet its content, so it is not repeated per issue; the
-    numbers are written first, so Spark knows their size and broadcasts them if they are few.
+    numbers are written first, so Spark knows their size and broadcasts them if they are few. ``laid_out``
+    tells that ``files`` is a table of :mod:`repolens.sources.layout`, whose contents then stay in place.
     """
-    wanted = issues.select("repo_id", "file_path", F.coalesce("line_number", F.lit(0)).alias("n")).distinct()
-    per_file = materialize(wanted.groupBy("repo_id", "file_path").agg(F.collect_list("n").alias("ns")), "pointers")
-    source = files.select("repo_id", F.col("path").alias("file_path"), F.col(content).alias("_text"))
+    wanted = issues.select("repo_id", F.col("file_path").alias("path"), F.coalesce("line_number", F.lit(0)).alias("n")).distinct()
+    per_file = materialize(wanted.groupBy("repo_id", "path").agg(F.collect_list("n").alias("ns")), "pointers")
+    source = files.select("repo_id", "path", F.col(content).alias("_text"))
     lines = X.split_lines(F.col("_text"))
-    found = source.join(per_file, ["repo_id", "file_path"]).withColumn("_lines", lines).select(
-        "repo_id", "file_path",
+    found = source.join(beside(per_file, laid_out), ["repo_id", "path"]).withColumn("_lines", lines).select(
+        "repo_id", F.col("path").alias("file_path"),
         F.explode(F.transform("ns", lambda n: F.struct(n.alias("n"), F.when(n > 0, F.get("_lines", n - 1)).alias("target")))).alias("t"),
     ).select("repo_id", "file_path", F.col("t.n").alias("_n"), F.col("t.target").alias("target"))
     rows = issues.select("issue_id", "repo_id", "file_path", "line_number", F.coalesce("line_number", F.lit(0)).alias("_n"))
@@ -168,14 +170,15 @@ def rewrite(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def apply_codemods(issues: DataFrame, files: DataFrame, content: str = "content") -> DataFrame:
+def apply_codemods(issues: DataFrame, files: DataFrame, content: str = "content", laid_out: bool = False) -> DataFrame:
     """``(repo_id, path, before, after, applied)`` of every file some issue asks to rewrite.
 
     All issues of a file are applied together; ``applied`` tells if the text changed. Edits are one
     narrow row per file and are written first, so Spark knows their size: below its broadcast
-    threshold contents are not shuffled.
+    threshold contents are not shuffled. ``laid_out`` tells that ``files`` is a table of
+    :mod:`repolens.sources.layout`: then they never are.
     """
-    edits = materialize(file_edits(issues), "edits")
+    edits = beside(materialize(file_edits(issues), "edits"), laid_out)
     rows = files.select("repo_id", "path", F.col(content).alias("before")).join(edits, ["repo_id", "path"])
     return rewrite(rows).select(
         "repo_id", "path", "before", "after", (F.col("before") != F.col("after")).alias("applied")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repolens.session import materialize
+from repolens.sources.layout import beside
 
 
 def changed_files(before: DataFrame, after: DataFrame, content: str = "content") -> DataFrame:
@@ -48,13 +49,15 @@ def unified_diff(changed: DataFrame) -> DataFrame:
     return rows.withColumn("diff", diff_text(F.col("path"), F.col("before"), F.col("after")))
 
 
-def snapshot_diff(before: DataFrame, after: DataFrame, content: str = "content") -> DataFrame:
+def snapshot_diff(before: DataFrame, after: DataFrame, content: str = "content", laid_out: bool = False) -> DataFrame:
     """Diffs of the changed files of two snapshots; contents of other files are not shuffled.
 
     The keys of the changed files are written first, so Spark knows their size: below its broadcast
-    threshold both snapshots are cut down to the changed files where they are read.
+    threshold both snapshots are cut down to the changed files where they are read. If both are tables of
+    :mod:`repolens.sources.layout` with equally many buckets (``laid_out``), no content is ever shuffled, and hashes
+    are compared bucket by bucket.
     """
-    keys = materialize(changed_files(before, after, content).select("repo_id", "path"), "changed")
+    keys = beside(materialize(changed_files(before, after, content).select("repo_id", "path"), "changed"), laid_out)
     of = lambda df, name: df.select("repo_id", "path", F.col(content).alias(name)).join(
         keys, ["repo_id", "path"], "left_semi"
     )

@@ -17,6 +17,7 @@ from repolens.operators.lines import LINE_RULES
 from repolens.plans import analysis
 from repolens.plans.registry import Tables, literal, query
 from repolens.session import ensure_checkpoint_dir, materialize
+from repolens.sources import layout
 
 COLUMNS = ["repo_id", "file_path", "line_number", "category", "severity", "title", "evidence"]
 _EXPECTED = "SELECT repo_id, file_path, CAST(line_number AS int) AS line_number, category, severity, title, evidence FROM {EXPECTED_FINDINGS} f"
@@ -163,11 +164,25 @@ def issue_sink(t: Tables) -> DataFrame:
     )
 
 
-@query("""
+def _laid_out(t: Tables, files: DataFrame, buckets: int | None = None) -> DataFrame:
+    name = f"corpus_{uuid4().hex}"
+    return layout.write_laid_out(files, name, f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/{name}", buckets)
+
+
+_TARGETS = """
 SELECT p.issue_id, p.repo_id, p.file_path, p.line_number, coalesce(CASE WHEN p.line_number > 0 AND p.line_number <= len(l) - CASE WHEN l[len(l)] = '' THEN 1 ELSE 0 END
   THEN l[p.line_number] END, '-') AS target FROM {POINTERS} p JOIN (SELECT repo_id, path, string_split(content, chr(10)) AS l FROM {CORPUS} c) c
   ON c.repo_id = p.repo_id AND c.path = p.file_path
-""")
+"""
+
+
+@query(_TARGETS)
+def targets_laid_out(t: Tables) -> DataFrame:
+    """Issues meet a corpus in buckets of its key."""
+    return C.issue_targets(t.pointers, _laid_out(t, t.corpus), laid_out=True).fillna("-", ["target"])
+
+
+@query(_TARGETS)
 def issue_targets(t: Tables) -> DataFrame:
     return C.issue_targets(t.pointers, t.corpus).fillna("-", ["target"])
 
@@ -254,16 +269,26 @@ for _step in (
     _ALL_FIXED = _step.replace("{c}", _ALL_FIXED)
 
 
-@query(f"""
+_APPLIED = f"""
 SELECT c.repo_id, c.path, md5(content) AS before, md5(fixed) AS after, content <> fixed AS applied FROM
   (SELECT repo_id, path, doc_id, content, {_ALL_FIXED} AS fixed FROM {{CORPUS}} c) c
 JOIN (SELECT DISTINCT repo_id, file_path FROM {{EXPECTED_FINDINGS}} f WHERE (title LIKE '%Secret%' OR title LIKE '%eval%' OR title LIKE '%shell%' OR title LIKE 'Unused%'
   OR title LIKE 'Broad%') AND category <> 'missing_test') i ON i.repo_id = c.repo_id AND i.file_path = c.path
-""")
+"""
+
+
+@query(_APPLIED)
 def codemod_applied(t: Tables) -> DataFrame:
     return _rewrites(t, t.corpus)
 
 
+@query(_APPLIED)
+def codemods_laid_out(t: Tables) -> DataFrame:
+    """Edits meet a corpus in buckets of its key."""
+    rows = C.apply_codemods(t.corpus_issues, _laid_out(t, t.corpus), laid_out=True)
+    return rows.select("repo_id", "path", F.md5("before").alias("before"), F.md5("after").alias("after"), "applied")
+
+
 _CHANGED = """(SELECT coalesce(b.repo_id, a.repo_id) AS repo_id, coalesce(b.path, a.path) AS path, b.content AS before, a.content AS after
   FROM {CORPUS} b FULL OUTER JOIN {CORPUS_AFTER} a ON a.repo_id = b.repo_id AND a.path = b.path WHERE b.content IS DISTINCT FROM a.content)"""
 
@@ -273,9 +298,20 @@ def changed_files(t: Tables) -> DataFrame:
     return D.changed_files(t.corpus, t.corpus_after)
 
 
-@query(f"""
+_DIFF_STAT = f"""
 SELECT repo_id, path, CAST(CASE WHEN before IS NULL THEN len(string_split(after, chr(10))) WHEN after IS NULL THEN 0 ELSE 1 END AS bigint) AS added,
   CAST(CASE WHEN before IS NULL THEN 0 WHEN after IS NULL THEN len(string_split(before, chr(10))) ELSE 1 END AS bigint) AS removed FROM {_CHANGED} x
-""")
+"""
+
+
+@query(_DIFF_STAT)
 def unified_diff(t: Tables) -> DataFrame:
     return D.diff_stat(D.snapshot_diff(t.corpus, t.corpus_after))
+
+
+@query(_DIFF_STAT)
+def diffs_laid_out(t: Tables) -> DataFrame:
+    """Both snapshots in equally many buckets of their key."""
+    buckets = layout.buckets_for(t.corpus)
+    before, after = _laid_out(t, t.corpus, buckets), _laid_out(t, t.corpus_after, buckets)
+    return D.diff_stat(D.snapshot_diff(before, after, laid_out=True))
