@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,9 +21,9 @@ from repolens.functions import text as X
 from repolens.operators import lines as LN
 from repolens.operators import profile as PR
 from repolens.plans.registry import Tables, literal, query
-from repolens.session import materialize
+from repolens.session import ensure_checkpoint_dir, materialize
 from repolens.sources import archives as A
-
+from repolens.sources import trees
 
 
 def _names(values) -> str:
@@ -50,6 +51,14 @@ def corpus_scan(t: Tables) -> DataFrame:
     return t.corpus.select("repo_id", "path", F.octet_length("content").cast("bigint").alias("bytes"), F.md5("content").alias("hash"))
 
 
+@query("SELECT repo_id, path, CAST(octet_length(encode(content)) AS bigint) AS bytes, md5(content) AS hash FROM {CORPUS} c")
+def tree_scan(t: Tables) -> DataFrame:
+    """The corpus written as directory trees, listed and read back."""
+    root = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/trees-{uuid4().hex}"
+    trees.write_trees(t.corpus, root)
+    return trees.read_trees(t.spark, root).select("repo_id", "path", F.col("size").alias("bytes"), F.md5("content").alias("hash"))
+
+
 @query("SELECT repo_id, path, md5(content) AS hash FROM {CORPUS} c")
 def decode_source(t: Tables) -> DataFrame:
     """The corpus as bytes with Windows newlines, read back as text."""
