@@ -13,7 +13,8 @@ from repolens.operators import diffs as D
 from repolens.operators import factrules as R
 from repolens.operators import findings as FD
 from repolens.operators.facts import extract_facts, fact_rows
-from repolens.operators.lines import LINE_RULES
+from repolens.operators.lines import LINE_RULES, rules_from_table
+from repolens.operators.ruleindex import apply_many_rules
 from repolens.plans import analysis
 from repolens.plans.registry import Tables, literal, query
 from repolens.session import ensure_checkpoint_dir, materialize
@@ -95,6 +96,18 @@ def py_secret_rule(t: Tables) -> DataFrame:
     return FD.line_findings(t.corpus, [r for r in LINE_RULES if r.language == "py"]).select(*COLUMNS, "confidence")
 
 
+@query(f"""
+WITH lines AS MATERIALIZED {_LINES}, keys AS (SELECT *, CAST(regexp_extract(line, '"k(\\d+)zz"', 1) AS bigint) % 1000 AS n FROM lines
+  WHERE regexp_matches(line, '(?i)api_key[ ]*[:=][ ]*"k\\d+zz"') AND (path LIKE '%.py' OR NOT starts_with(trim(line), '//') AND NOT starts_with(trim(line), '*')))
+SELECT repo_id, path AS file_path, line_number, 'security' AS category, 'high' AS severity, concat('Key ', n) AS title,
+  CASE WHEN n % 3 = 0 THEN regexp_replace(trim(line), '"k\\d+zz"', '"[REDACTED]"') ELSE trim(line) END AS evidence
+FROM keys WHERE path LIKE CASE WHEN n % 2 = 0 THEN '%.py' ELSE '%.js' END
+""")
+def many_line_rules(t: Tables) -> DataFrame:
+    """A thousand rules kept as rows."""
+    return apply_many_rules(t.corpus, rules_from_table(t.key_rules)).select(COLUMNS)
+
+
 @query(_EXPECTED)
 def all_findings(t: Tables) -> DataFrame:
     return FD.all_findings(t.corpus).select(COLUMNS)
