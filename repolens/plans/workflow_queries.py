@@ -24,6 +24,7 @@ from repolens.plans import report as RP
 from repolens.plans.registry import Tables, choose, literal, query
 from repolens.session import ensure_checkpoint_dir
 from repolens.sources.events import parse_events
+from repolens.sources.statelog import StateLog
 from repolens.sources.tables import append_table, read_table
 from repolens.streaming import folds
 
@@ -483,11 +484,27 @@ def run_view(t: Tables) -> DataFrame:
     return I.run_view(R.parse_runs(t.runs)).drop("output").fillna("-", ["job_id"])
 
 
-@query("SELECT job_id, seq, status FROM {STATUS_LOG} l QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) = 1")
+_LAST_STATE = "SELECT job_id, seq, status FROM {STATUS_LOG} l QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) = 1"
+
+
+@query(_LAST_STATE)
 def latest_state(t: Tables) -> DataFrame:
     return LC.latest_state(t.status_log, "job_id").select("job_id", "seq", "status")
 
 
+@query(_LAST_STATE)
+def compacted_state(t: Tables) -> DataFrame:
+    """The log in four appends in no order of time, compacted after the second, and after the third where two came."""
+    rows = t.status_log
+    log = StateLog(t.spark, f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/log-{uuid4().hex}", rows.schema, "job_id", buckets=8)
+    for number in range(4):
+        log.append(rows.where(F.pmod(F.xxhash64("seq"), F.lit(4)) == number), number)
+        if number in (1, 2):
+            log.compact(min_appends=number)
+    log.forget()
+    return log.latest().select("job_id", "seq", "status")
+
+
 _MOVES = "(SELECT job_id, seq, lag(status) OVER (PARTITION BY job_id ORDER BY ts, seq) AS from_status, status FROM {STATUS_LOG} l)"
 
 
