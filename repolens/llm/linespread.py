@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repolens.llm.common import SPACE_CLASS, WORD_PATTERN, fresh, same, stored
+from repolens.llm.common import SPACE_CLASS, fresh, same, stored
 
 MIN_SITES = 5
-MIN_WORDS = 4
 #: 2^10 registers: a relative error of about 3 %.
 SKETCH_BITS = 10
 #: Estimates within this share of the threshold, several times the error, are counted exactly.
@@ -59,21 +58,20 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, near: float = NEA
 
 
 def dedup_lines(
-    docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, near: float = NEAR,
+    docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR,
     text: str = "text", doc_id: str = "doc_id", site: str = "source",
 ) -> DataFrame:
     """``docs`` with the lines that spread over sites taken out of ``text``, and two more columns:
     ``n_lines`` and ``n_removed`` (prefixed if the names are taken).
 
-    Lines end at a newline and are compared without white space around them. Lines of fewer than
-    ``min_words`` words stay. A spread line stays at its first place: the smallest doc_id (nulls last),
+    Lines end at a newline and are compared without white space around them; blank ones stay. A spread line stays at its first place: the smallest doc_id (nulls last),
     then the smallest hash of the text, then the first line. A null text stays null, with no lines; an
     empty one has one line. Rows that repeat id and text are treated alike. A text all of whose lines go
     becomes empty. Other columns pass through. Empty input: no rows.
     """
     key = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("th"), F.col(site).alias("site"), F.col(text).alias("text"))
     lines = key.select("id", "th", "site", F.posexplode(_lines(F.col("text"))).alias("at", "line"))
-    lines = lines.where(F.regexp_count("line", F.lit(WORD_PATTERN)) >= min_words).withColumn("line", _trimmed(F.col("line")))
+    lines = lines.withColumn("line", _trimmed(F.col("line"))).where(F.col("line") != "")
     lines = lines.select("id", "th", "site", "at", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), F.col("line")).alias("k2"))
     lines = stored(lines, "lines")
     place = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "th", "at")

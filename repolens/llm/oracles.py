@@ -71,8 +71,7 @@ WITH p AS (
 ), l AS (
   SELECT doc_id, source, unnest(range(len(parts))) AS pos, unnest(parts) AS line FROM p
 ), k AS (
-  SELECT *, CASE WHEN len(regexp_extract_all(line, '{WORD_PATTERN}')) >= {linespread.MIN_WORDS}
-                 THEN regexp_replace(line, '^{SPACE_CLASS}+|{SPACE_CLASS}+$', '', 'g') END AS key
+  SELECT *, nullif(regexp_replace(line, '^{SPACE_CLASS}+|{SPACE_CLASS}+$', '', 'g'), '') AS key
   FROM l
 ), spread AS (
   SELECT key, min({{'d': doc_id, 'pos': pos}}) AS first FROM k WHERE key IS NOT NULL

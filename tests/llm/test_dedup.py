@@ -149,13 +149,13 @@ def test_exact_groups(docs, rng, table_bytes):
 
 def test_spread_lines_leave_but_once(docs):
     common, rare, short = "share this page with friends", "a line on only four sites", "menu"
-    rows = [(i, f"own line of number {i} here\n  {common}\t\n{rare if i < 4 else 'x'}\n{short}", "en", f"s{i}") for i in range(6)]
+    rows = [(i, f"own line of number {i} here\n  {common}\t\n{rare if i < 4 else 'x'}\n{short}\n \n", "en", f"s{i}") for i in range(6)]
     rows += [(20, f"{common}\n{common}", "en", "s1"), (21, None, "en", "s2"), (22, "", "en", None), (23, common, "en", None), (23, common, "en", None), (None, common, "en", "s9")]
     cleaned = linespread.dedup_lines(docs(rows, gone_id="1", n_lines="9"))
     assert cleaned.columns == ["doc_id", "text", "lang", "source", "n_chars", "gone_id", "n_lines", "_n_lines", "n_removed"]
     got = Counter((r.doc_id, r.text, r._n_lines, r.n_removed) for r in cleaned.collect())
-    want = [(0, rows[0][1], 4, 0)]
-    want += [(i, f"own line of number {i} here\n{rare if i < 4 else 'x'}\n{short}", 4, 1) for i in range(1, 6)]
+    want = [(0, rows[0][1], 6, 0)]
+    want += [(i, f"own line of number {i} here\n{rare if i < 4 else 'x'}\n \n", 6, 2) for i in range(1, 6)]
     want += [(20, "", 2, 2), (21, None, 0, 0), (22, "", 1, 0), (23, "", 1, 1), (23, "", 1, 1), (None, "", 1, 1)]
     assert got == Counter(want)
     assert linespread.dedup_lines(docs(rows).limit(0)).collect() == []
