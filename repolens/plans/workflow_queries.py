@@ -21,6 +21,7 @@ from repolens.operators import lifecycle as LC
 from repolens.operators import runs as R
 from repolens.operators import sessions as SS
 from repolens.plans import report as RP
+from repolens.plans import runlog
 from repolens.plans.registry import Tables, choose, literal, query
 from repolens.session import ensure_checkpoint_dir
 from repolens.sources.events import parse_events
@@ -604,3 +605,45 @@ def metadata_with_job(t: Tables) -> DataFrame:
     return I.metadata_with_job(t.scanned, F.lit("j1")).select(
         "repo_id", field("analysis_job_id").alias("job_id"), F.coalesce(field("file_count").cast("int"), F.lit(-1)).alias("file_count")
     )
+
+
+_RUN_LOG = """
+WITH n AS (SELECT repo_id, count(*) AS n FROM {ISSUES} i GROUP BY repo_id),
+  r AS (SELECT repo_id, coalesce(n, 0) AS n, tech_stack IN ('python', 'unknown') AS py, tech_stack <> 'python' AND tech_stack <> 'go' AS js FROM {REPOS} r LEFT JOIN n USING (repo_id)),
+  h AS (SELECT *, 3 + CASE WHEN py THEN 2 ELSE 0 END + CASE WHEN js THEN 1 ELSE 0 END AS head FROM r),
+  p AS (SELECT i.*, row_number() OVER (PARTITION BY repo_id ORDER BY detected_at, issue_id) AS k FROM {ISSUES} i),
+  e AS (
+    SELECT repo_id, 1 AS seq, 'progress' AS event, 'starting' AS step, 5 AS pct, 'Starting analysis...' AS message, NULL AS total, NULL AS issue FROM h
+    UNION ALL SELECT repo_id, 2, 'progress', 'python_scan', 15, 'Scanning Python files...', NULL, NULL FROM h WHERE py
+    UNION ALL SELECT repo_id, 3, 'progress', 'missing_tests', 35, 'Checking test coverage...', NULL, NULL FROM h WHERE py
+    UNION ALL SELECT repo_id, head - 2, 'progress', 'js_scan', 45, 'Scanning JS/TS files...', NULL, NULL FROM h WHERE js
+    UNION ALL SELECT repo_id, head - 1, 'progress', 'dedup', 55, concat('Found ', n, ' raw issues. Deduplicating...'), NULL, NULL FROM h
+    UNION ALL SELECT repo_id, head, 'progress', 'root_cause', 60, 'Assistant is analyzing root causes...', NULL, NULL FROM h
+    UNION ALL SELECT repo_id, head + 2 * k - 1, 'progress', 'root_cause', 60 + floor((k - 1) / n * 30), concat('Assistant analyzing issue ', k, '/', n, ': ', title), NULL, NULL
+      FROM p JOIN h USING (repo_id)
+    UNION ALL SELECT repo_id, head + 2 * k, 'issue_found', NULL, NULL, NULL, NULL, concat_ws('|', issue_id, severity, category, title, file_path, line_number) FROM p JOIN h USING (repo_id)
+    UNION ALL SELECT repo_id, head + 2 * n + 1, 'progress', 'scoring', 92, 'Computing health score...', NULL, NULL FROM h
+    UNION ALL SELECT repo_id, head + 2 * n + 2, 'done', NULL, NULL, NULL, n, NULL FROM h)
+SELECT repo_id, CAST(seq AS bigint) AS seq, event, coalesce(step, '-') AS step, CAST(coalesce(pct, -1) AS int) AS pct, coalesce(message, '-') AS message,
+  CAST(coalesce(total, -1) AS bigint) AS total_issues, coalesce(issue, '-') AS issue FROM e
+"""
+
+
+@query(_RUN_LOG)
+def run_log(t: Tables) -> DataFrame:
+    """The events of a run over every repository; its issues are taken for the raw ones too."""
+    runs = t.repos.join(t.issues.groupBy("repo_id").agg(F.count("*").alias("raw")), "repo_id", "left")
+    issue = F.concat_ws("|", "issue.id", "issue.severity", "issue.category", "issue.title", "issue.file_path", F.col("issue.line_number").cast("string"))
+    events = runlog.run_events(runs, t.issues)
+    return events.withColumn("issue", F.when(F.col("issue").isNull(), "-").otherwise(issue)).fillna("-", ["step", "message"]).fillna(-1, ["pct", "total_issues"])
+
+
+@query(f"""
+SELECT r.repo_id, name, status, tech_stack, CAST(greatest(0, 100 - coalesce(points, 0)) AS int) AS health_score_before
+FROM {{REPOS}} r LEFT JOIN (SELECT repo_id, sum(CASE severity {" ".join(f"WHEN '{s}' THEN {n}" for s, n in K.PENALTIES.items())} ELSE 0 END) AS points FROM {{ISSUES}} i GROUP BY repo_id) p USING (repo_id)
+""")
+def scored_repositories(t: Tables) -> DataFrame:
+    """Repositories as a run leaves them, stored and read back."""
+    path = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/repositories-{uuid4().hex}"
+    append_table(runlog.score_repositories(t.repos, t.issues), path, schemas.REPOSITORIES, buckets=8)
+    return read_table(t.spark, path, schemas.REPOSITORIES).select("repo_id", "name", "status", "tech_stack", "health_score_before")
