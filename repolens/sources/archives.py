@@ -28,13 +28,17 @@ _DAMAGE = (
 )
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def _limit(max_bytes: int | None) -> int:
+    return K.MAX_ARCHIVE_BYTES if max_bytes is None else max_bytes
+
+
+def read_archives(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """``(path, length, content)`` of ZIP files.
 
-    The content of a file above the size limit is never loaded: it is refused by its length.
+    The content of a file above ``max_bytes`` is never loaded: it is refused by its length.
     """
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.[zZ][iI][pP]").load(path)
-    fits = F.col("length") <= K.MAX_ARCHIVE_BYTES
+    fits = F.col("length") <= _limit(max_bytes)
     small = found.where(fits).select("path", "length", "content")
     large = found.where(~fits).select("path", "length").withColumn("content", F.lit(None).cast("binary"))
     return small.unionByName(large)
@@ -102,17 +106,17 @@ def _resolves_outside(member):
     ).low < 0
 
 
-def archive_verdicts(members: DataFrame) -> DataFrame:
+def archive_verdicts(members: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """``(archive, reason)``: why an archive is refused, null if it is admitted.
 
     An archive is judged as a whole: size, then readability, then checksums, then the first member
-    with an unsafe name.
+    with an unsafe name. ``max_bytes`` is the limit the archives were read with.
     """
     name = F.col("member")
     unsafe = name.startswith("/") | F.contains(name, F.lit(".."))
     error = F.col("error") if "error" in members.columns else F.lit(None).cast("string")
     reason = (
-        F.when(F.col("archive_bytes") > K.MAX_ARCHIVE_BYTES, F.struct(F.lit(0).alias("rank"), F.lit("too large").alias("text")))
+        F.when(F.col("archive_bytes") > _limit(max_bytes), F.struct(F.lit(0).alias("rank"), F.lit("too large").alias("text")))
         .when(error.isNotNull(), F.struct(F.lit(1).alias("rank"), error.alias("text")))
         .when(~F.col("crc_ok"), F.struct(F.lit(2).alias("rank"), F.lit("corrupt").alias("text")))
         .when(unsafe, F.struct(F.lit(3).alias("rank"), F.lit("unsafe path").alias("text")))
@@ -122,13 +126,13 @@ def archive_verdicts(members: DataFrame) -> DataFrame:
     return found.groupBy("archive").agg(F.min("r").alias("r")).select("archive", F.col("r.text").alias("reason"))
 
 
-def admit_archives(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+def admit_archives(members: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Members of the admitted archives, and ``(archive, reason)`` of the refused ones.
 
     The refused ones are few and narrow and are written first, so that Spark broadcasts them when it
     can and member contents are not shuffled.
     """
-    refused = materialize(archive_verdicts(members).where(F.col("reason").isNotNull()), "refused")
+    refused = materialize(archive_verdicts(members, max_bytes).where(F.col("reason").isNotNull()), "refused")
     return members.join(refused.select("archive"), "archive", "left_anti"), refused
 
 
@@ -147,19 +151,23 @@ def _below_root(member, root):
 
 
 def unwrap_root(members: DataFrame) -> DataFrame:
-    """Adds ``path``: the member name without the single top-level directory of its archive."""
-    joined = members.join(_roots(members), "archive", "left")
+    """Adds ``path``: the member name without the single top-level directory of its archive.
+
+    The roots are one narrow row per archive, written first, so that Spark knows their size: below its broadcast
+    threshold member contents stay where they are.
+    """
+    joined = members.join(materialize(_roots(members), "roots"), "archive", "left")
     return joined.withColumn("path", _below_root(F.col("member"), F.col("root"))).drop("root")
 
 
-def archive_files(members: DataFrame) -> DataFrame:
+def archive_files(members: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """``files`` rows of the admitted archives; the archive's name is the repository.
 
     Verdict and root are one narrow row per archive, written first: while that table is below the
     broadcast threshold the member contents stay where they are. ``members`` should be a written
     table, as it is read three times.
     """
-    outcome = archive_verdicts(members).where(F.col("reason").isNull()).join(_roots(members), "archive", "left")
+    outcome = archive_verdicts(members, max_bytes).where(F.col("reason").isNull()).join(_roots(members), "archive", "left")
     outcome = materialize(outcome, "archives")
     return (
         members.where(F.col("content").isNotNull()).join(outcome, "archive")

@@ -175,6 +175,27 @@ def test_trees_are_analysed_as_they_are_read(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [("_a.py", 3, "Syntax Error"), ("b.js", 1, "Potential XSS via innerHTML")]
 
 
+def test_the_size_limit_is_a_parameter(spark, tmp_path):
+    small, large = zipped({"p/a.py": "x"}), zipped({"p/b.py": "y" * 5000})
+    (tmp_path / "small.zip").write_bytes(small)
+    (tmp_path / "large.zip").write_bytes(large)
+    for limit, admitted in ((len(small), ["a.py"]), (len(large), ["a.py", "b.py"]), (1, [])):
+        members = A.explode_archives(A.read_archives(spark, str(tmp_path), limit))
+        assert sorted(r.path for r in A.archive_files(members, limit).collect()) == admitted
+        refused = A.admit_archives(members, limit)[1].collect()
+        assert [r.reason for r in refused] == ["too large"] * (2 - len(admitted))
+
+
+def test_unwrapping_leaves_contents_in_place(spark, tmp_path):
+    (tmp_path / "a.zip").write_bytes(zipped({"p/a.py": "x", "p/q/b.py": "y"}))
+    (tmp_path / "b.zip").write_bytes(zipped({"p/a.py": "x", "c.py": "y"}))
+    out = str(tmp_path / "members")
+    A.explode_archives(A.read_archives(spark, str(tmp_path))).write.parquet(out)
+    rows = A.unwrap_root(spark.read.parquet(out))
+    assert sorted(r.path for r in rows.collect()) == ["a.py", "c.py", "p/a.py", "q/b.py"]
+    assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_an_empty_archive_is_admitted(spark, tmp_path):
     (tmp_path / "empty.zip").write_bytes(zipped({}))
     members = A.explode_archives(A.read_archives(spark, str(tmp_path)))
