@@ -140,7 +140,6 @@ def test_packed(spark, docs, rng, group_tokens):
         assert at == 2048 or at & (at - 1) == 0
     for doc_id in {r[0] for r in rows}:
         mine = Counter({ids: n for (d, ids), n in want.items() if d == doc_id})
-        assert Counter({i: n for ids, n in mine.items() for i in ids for _ in ids}) or True
         assert sum(len(ids) for _, ids, _ in seen[doc_id]) == sum(len(ids) * n for ids, n in mine.items())
         for ids, n in mine.items():
             covered = Counter()
@@ -156,20 +155,24 @@ def test_crc_of_ids(spark):
     assert spark.createDataFrame([(ids,)], "ids binary").select(F.crc32("ids")).first()[0] == zlib.crc32(ids)
 
 
-def slow_scan(text):
+def license_words(text):
     lower = (text or "").translate({c: c + 32 for c in range(65, 91)})
-    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
-    base, labels, score = [], set(), 0.0
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
+def slow_scan(text, frequency):
+    """Every notice at every place, also places before the text."""
+    words, base, labels, score = license_words(text), [], set(), 0.0
     for t in licenses.TEMPLATES:
-        notice, key = t.notice.split(), t.key.split()
-        start = next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
-        for p in range(len(words)):
-            if words[p : p + len(key)] == key:
+        must = [i for i, m in enumerate(t.must) if m]
+        rare = sorted(set(t.words), key=lambda w: (not frequency[w], frequency[w], w))[: licenses.RARE]
+        for p in range(-len(t.words), len(words)):
+            stands = [0 <= p + i < len(words) and words[p + i] == w for i, w in enumerate(t.words)]
+            if all(stands[i] for i in must) and sum(stands[t.words.index(w)] for w in rare) >= licenses.AGREE:
                 labels.add(t.label)
+                score = max(score, sum(stands) / len(stands))
                 if t.base:
-                    base.append((p, t.label))
-                same = sum(0 <= p - start + i < len(words) and words[p - start + i] == w for i, w in enumerate(notice))
-                score = max(score, same / len(notice))
+                    base.append((p + must[0], t.label))
     places = [p for p, _ in base]
     return (
         len(words), len(base), min(places, default=None), max(places, default=None),
@@ -178,20 +181,61 @@ def slow_scan(text):
 
 
 def test_scan_licenses(spark, docs, rng):
-    notices = [t.notice for t in licenses.TEMPLATES] + [t.key for t in licenses.TEMPLATES] + ["mit", "license", "cc by", "CC BY-NC", "Apache License, Version 2", "cc by nc nc by nc"]
-    rows = edge_rows(rng) + [
+    notices = [" ".join(t.words) for t in licenses.TEMPLATES]
+    notices += [" ".join(w for w, m in zip(t.words, t.must, strict=True) if m) for t in licenses.TEMPLATES]
+    notices += ["mit", "license", "cc by", "CC BY-NC", "Apache License, Version 2", "cc by nc nc by nc"]
+    rows = edge_rows(rng)[:8] + edge_rows(rng)[9:] + [(50, prose(rng, 20_000) + " under the MIT license")] + [
         (100 + i, " ".join(rng.choice([prose(rng, rng.randint(0, 6)), rng.choice(notices).upper() if i % 2 else rng.choice(notices), "É", "x_y"]) for _ in range(12)))
         for i in range(120)
-    ]
+    ]
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     got = licenses.scan_licenses(docs(rows, score="1", found="2"))
     assert {"_score", "found"} <= set(got.columns)
     found = Counter((r.doc_id, *(r[n] if n != "score" else round(r[n], 9) for n in names)) for r in got.collect())
-    want = Counter((r[0], *(x if i < 6 else round(x, 9) for i, x in enumerate(slow_scan(r[1])))) for r in rows)
+    frequency = Counter(w for r in rows for w in set(license_words(r[1])))
+    want = Counter((r[0], *(x if i < 6 else round(x, 9) for i, x in enumerate(slow_scan(r[1], frequency)))) for r in rows)
     assert found == want
     assert licenses.scan_licenses(docs(rows).limit(0)).collect() == []
 
 
+def test_notices_of_real_files(docs, rng):
+    """Headers as they stand in files, comment marks and all; prose that talks of licences has no label."""
+    gpl = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU {}General Public License as published by
+ * the Free Software Foundation, either version {} of the License, or
+ * (at your option) any later version."""
+    real = {
+        gpl.format("", 3): "gpl-3", gpl.format("", 2): "gpl-2", gpl.format("Lesser ", "2.1"): "lgpl", gpl.format("Affero ", 3): "agpl-3",
+        "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not": "mpl-2",
+        "made available under the\n# terms of the Eclipse Public License v. 2.0 which is available at": "epl-2",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that": "bsd",
+        "Use of this source code is governed by a BSD-style license": "bsd",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee": "isc",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software": "mit",
+        "# SPDX-License-Identifier: Apache-2.0": "apache-2", "/* SPDX-License-Identifier: MIT */": "mit",
+        "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2", "SPDX-License-Identifier: BSD-3-Clause": "bsd",
+        "Creative Commons Attribution 4.0 International License": "cc-by",
+        "a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International": "cc-by-nc-sa",
+        "under the Creative Commons CC0 1.0 Universal Public Domain Dedication": "cc0",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "(c) 2020 X. All rights reserved.": "proprietary",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl-3",
+        "Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0": "apache-2",
+        "A license to use version 3 of this software is given to the public by the foundation": "",
+        "the public licence of GNU, in general, as published": "", "MIT is a school": "",
+    }
+    rows = [(i, f"{prose(rng, 30)}\n{text}\n{prose(rng, 30)}") for i, text in enumerate(real)]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(docs(rows)).collect()}
+    assert [got[i][0] for i in range(len(rows))] == list(real.values())
+    assert all((score >= 0.5) == bool(label) for label, score in got.values())
+
+
+@pytest.mark.parametrize("notice", ["no phrase", "[one]", "far too many words that stand around [this phrase]"])
+def test_templates_that_cannot_be_indexed(docs, notice):
+    with pytest.raises(ValueError):
+        licenses.scan_licenses(docs([(1, "x")]), templates=(licenses.Template("x", True, notice),))
+
+
 def slow_search(rows, k, is_query):
     live = []
     for vec_id, v in rows:
