@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,15 @@ def blocks(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
         at = stop
 
 
+def drawn(count: int, most: int, seed: int) -> np.ndarray:
+    """The places below ``count`` if there are no more than ``most``; else ``most`` of them, drawn from all
+    alike; the same for the same seed. Ascending."""
+    if count <= most:
+        return np.arange(count)
+    order = np.random.default_rng(seed).random(count)
+    return np.sort(np.argsort(order, kind="stable")[:most])
+
+
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves this remainder; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus == remainder

@@ -7,6 +7,7 @@ attention weights, the encoder and the scorer are learned together from it.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from operator import eq
 from typing import NamedTuple
@@ -16,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolens.llm.common import blocks, stored, text_bytes
+from repolens.llm.common import blocks, drawn, stored, text_bytes
 
 #: Bytes of a passage, cut after white space.
 PASSAGE = 1024
-#: Labelled documents to learn from, and passages a document in the sample has at most.
+#: Labelled documents to learn from, and passages of a document that train at most, drawn from its whole text.
 SAMPLE, SAMPLE_PASSAGES = 4000, 64
 HIDDEN, GATES, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 16, 30, 64, 3e-3, 1e-4, 7
 
@@ -43,24 +44,28 @@ def _byte_classes() -> np.ndarray:
 FEATURES = _CLASSES * _CLASSES + 6
 
 
+def _encoded(part: bytes, kinds: np.ndarray) -> np.ndarray:
+    codes = kinds[np.frombuffer(part, np.uint8)].astype(np.int32)
+    x = np.zeros(FEATURES, np.float32)
+    if len(codes) > 1:
+        pairs = np.bincount(codes[:-1] * _CLASSES + codes[1:], minlength=_CLASSES * _CLASSES)
+        x[: _CLASSES * _CLASSES] = np.sqrt(pairs / (len(codes) - 1))
+    words = part.split()
+    n = len(words)
+    if n:
+        distinct = len(set(words))
+        x[-6:] = (
+            distinct / n, sum(map(eq, words, words[1:])) / n, sum(map(bytes.isupper, words)) / n,
+            min(len(part) / n, 40) / 10, part.count(b"\n") / n, len(part) / PASSAGE,
+        )
+    return x
+
+
 def passage_features(text: bytes, kinds: np.ndarray) -> Iterator[np.ndarray]:
     """Features of the passages of a text, up to 256 passages at a time; one row of zeros for an empty text."""
     rows: list[np.ndarray] = []
     for part in blocks(text, PASSAGE):
-        codes = kinds[np.frombuffer(part, np.uint8)].astype(np.int32)
-        x = np.zeros(FEATURES, np.float32)
-        if len(codes) > 1:
-            pairs = np.bincount(codes[:-1] * _CLASSES + codes[1:], minlength=_CLASSES * _CLASSES)
-            x[: _CLASSES * _CLASSES] = np.sqrt(pairs / (len(codes) - 1))
-        words = part.split()
-        n = len(words)
-        if n:
-            distinct = len(set(words))
-            x[-6:] = (
-                distinct / n, sum(map(eq, words, words[1:])) / n, sum(map(bytes.isupper, words)) / n,
-                min(len(part) / n, 40) / 10, part.count(b"\n") / n, len(part) / PASSAGE,
-            )
-        rows.append(x)
+        rows.append(_encoded(part, kinds))
         if len(rows) == 256:
             yield np.stack(rows)
             rows = []
@@ -68,6 +73,15 @@ def passage_features(text: bytes, kinds: np.ndarray) -> Iterator[np.ndarray]:
         yield np.stack(rows) if rows else np.zeros((1, FEATURES), np.float32)
 
 
+def sampled_features(text: bytes, kinds: np.ndarray, most: int) -> np.ndarray:
+    """Features of all passages of a text, or of ``most`` drawn from the whole of a longer one."""
+    count = sum(1 for _ in blocks(text, PASSAGE))
+    if count <= most:
+        return np.concatenate(list(passage_features(text, kinds)))
+    places = set(drawn(count, most, zlib.crc32(text)).tolist())
+    return np.stack([_encoded(part, kinds) for i, part in enumerate(blocks(text, PASSAGE)) if i in places])
+
+
 class Weights(NamedTuple):
     encode: np.ndarray
     encode_bias: np.ndarray
@@ -153,20 +167,19 @@ def score_text(model: Model, text: bytes, kinds: np.ndarray) -> float:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE,
           sample_passages: int = SAMPLE_PASSAGES, text: str = "text", doc_id: str = "doc_id") -> Model | float:
-    """The model of at most ``sample`` labelled documents, drawn by hash of their ids; those with more than
-    ``sample_passages`` passages are left to scoring. With labels of one kind only, or none, a number:
+    """The model of at most ``sample`` labelled documents, drawn by hash of their ids, with at most
+    ``sample_passages`` passages of each, drawn from its whole text. With labels of one kind only, or none, a number:
     the share of ones, or 0.5. Labels other than 0 and 1 and null ids are not used; of documents that
     repeat an id, each has its label."""
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).alias("y")).where("y in (0, 1) and id is not null").distinct()
     drawn = stored(known.orderBy(F.xxhash64("id"), "id", "y").limit(sample), "drawn")
     bags = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).join(drawn, F.col("doc") == F.col("id"))
-    bags = bags.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= PASSAGE * sample_passages // 2)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = _byte_classes()
         for batch in batches:
             for doc, y, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True):
-                x = np.concatenate(list(passage_features(content, kinds)))
+                x = sampled_features(content, kinds, sample_passages)
                 yield pa.RecordBatch.from_pydict({"id": pa.array([doc], pa.int64()), "y": pa.array([float(y)]), "n": pa.array([len(x)], pa.int32()), "x": pa.array([x.tobytes()])})
 
     got = bags.select(F.col("id").cast("long").alias("id"), "y", "text").mapInArrow(features, "id long, y double, n int, x binary").toArrow()

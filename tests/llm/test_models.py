@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from repolens.llm import milquality, ppm, toxicity
-from repolens.llm.common import held_out
+from repolens.llm.common import drawn, held_out
 
 from .conftest import WORDS, edge_rows, prose
 
@@ -192,6 +192,40 @@ def test_quality(spark, docs, rng):
     assert milquality.score_text(model, text, kinds) == pytest.approx(1 / (1 + np.exp(-logit)), rel=1e-6)
 
 
+def test_quality_of_long_documents(spark, docs, rng):
+    """All labelled documents have more passages than train."""
+    rows = [(i, " ".join(junk(rng, 100) if i % 2 and part % 2 else prose(rng, 100) for part in range(24))) for i in range(160)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
+    model = milquality.learn(docs(rows), labels.where("doc_id < 120"), sample_passages=4)
+    got = {r.doc_id: r.score for r in milquality.with_quality(docs(rows), model).collect()}
+    assert np.mean([(got[i] >= 0.3) == (i % 2 == 0) for i in range(120, 160)]) >= 0.95
+
+
+def test_drawn_places_are_of_the_whole_text():
+    places = np.array([drawn(10_000, 50, seed) for seed in range(40)])
+    assert places.shape == (40, 50) and (np.diff(places) > 0).all()
+    counts = np.bincount(places.ravel() // 1000, minlength=10)
+    assert counts.min() > 140 and counts.max() < 260
+    assert drawn(5, 50, 3).tolist() == [0, 1, 2, 3, 4] and drawn(0, 5, 1).tolist() == []
+
+
+def test_toxicity_of_long_documents(spark, docs, rng):
+    """All labelled documents are longer than what trains of each."""
+
+    def text(i):
+        words = prose(rng, 3000).split()
+        if i % 4 == 0:
+            for at in rng.sample(range(3000), 150):
+                words[at] = rng.choice(("nitwit", "blockhead", "numbskull"))
+        return " ".join(words)
+
+    rows = [(i, text(i)) for i in range(240)] + [(300, "x" * 200_000), (301, "")]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs(rows), labels.where("doc_id < 200 or doc_id >= 300"), sample_bytes=6000)
+    got = {r.doc_id: r.score for r in toxicity.with_toxicity(docs(rows), model).collect()}
+    assert np.mean([(got[i] >= 0.3) == (i % 4 == 0) for i in range(200, 240)]) >= 0.95
+
+
 def test_toxicity(spark, docs, rng):
     insults = "nitwit blockhead dunderhead numbskull".split()
     good = lambda r: prose(r, 150)
