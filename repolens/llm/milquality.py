@@ -193,7 +193,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
 def with_quality(docs: DataFrame, model: Model | float, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text from 0 to 1, higher for label 1. A null counts as an
-    empty text, which has one passage without features."""
+    empty text, which has one passage without features. A column named
+    ``name`` is replaced."""
     plain = model if isinstance(model, float) else (model.mean, model.scale, tuple(model.weights))
     shared = docs.sparkSession.sparkContext.broadcast(plain)
 

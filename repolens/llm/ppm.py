@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 
 from repolens.llm.common import text_bytes
 
-#: Languages with the most documents that are learned.
-MAX_LANGUAGES = 256
 #: Bytes coded at a time, places whose code lengths are looked up at a time, and places a task collects
 #: before it counts them.
 _BLOCK, _ROWS, _PENDING = 1 << 20, 1 << 12, 1 << 22
@@ -147,10 +145,10 @@ def sparse_code_lengths(at: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.
     return np.log2(size_two.ravel()[two]) - np.log2(counts), Escapes(*escapes)
 
 
-def learn(texts: DataFrame, text: str = "text", lang: str = "lang", max_languages: int = MAX_LANGUAGES) -> Model | None:
-    """The model of all rows with a text and a language, None if there are none.
+def learn(texts: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
+    """The model of all rows with a text and a language, None if there are none; of every language there is.
 
-    Two passes over all rows: bytes and documents per language, then contexts. Tasks send sums, a row for
+    Two passes over all rows: bytes per language, then contexts. Tasks send sums, a row for
     each triple of symbols that occurs in a language; the model has a code length for each language and
     triple of any.
     """
@@ -158,10 +156,8 @@ def learn(texts: DataFrame, text: str = "text", lang: str = "lang", max_language
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        docs: dict[str, int] = {}
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                docs[name] = docs.get(name, 0) + 1
                 seen = sums.setdefault(name, np.zeros(256, np.int64))
                 for at in range(0, len(content), _BLOCK):
                     seen += np.bincount(np.frombuffer(content, np.uint8, min(_BLOCK, len(content) - at), at), minlength=256)
@@ -169,12 +165,11 @@ def learn(texts: DataFrame, text: str = "text", lang: str = "lang", max_language
             used = np.flatnonzero(seen)
             yield pa.RecordBatch.from_pydict({
                 "lang": pa.array([name] * (len(used) + 1)), "byte": pa.array([-1, *used.tolist()], pa.int32()),
-                "n": pa.array([docs[name], *seen[used].tolist()], pa.int64()),
+                "n": pa.array([0, *seen[used].tolist()], pa.int64()),
             })
 
     found = rows.mapInArrow(histogram, "lang string, byte int, n long").groupBy("lang", "byte").agg(F.sum("n").alias("n"))
-    docs = found.where("byte = -1").orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    languages = sorted(r.lang for r in docs)
+    languages = sorted(r.lang for r in found.where("byte = -1").collect())
     if not languages:
         return None
     folded = np.zeros(256, np.int64)
@@ -204,8 +199,6 @@ def learn(texts: DataFrame, text: str = "text", lang: str = "lang", max_language
 
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                if name not in place:
-                    continue
                 for at in contexts(content, symbol_of, n):
                     pending.setdefault(name, []).append(at)
                     waiting += len(at)
@@ -238,6 +231,7 @@ def with_language(docs: DataFrame, model: Model | None, text: str = "text", lang
     The score is the language's probability if each is as likely and a text of n bytes weighs as much
     as its square root of bytes, for neighbouring bytes tell much the same. Ties go to the first name.
     A text that is null or has no letter, and every text without a model, is ``und`` with score 0.
+    Columns named ``lang`` and ``score`` are replaced.
     """
 
     # Broadcast values travel as plain data, without the code of their class.

@@ -113,6 +113,17 @@ def test_minority_languages_of_one_script(docs, rng):
     assert all(got[r[0]] == r[2] for r in rows)
 
 
+def test_every_language_is_learned(docs, rng):
+    """Hundreds of languages, the rarest with one document."""
+    words = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(5)] for i in range(300)}
+    text = lambda name: " ".join(rng.choice(words[name]) for _ in range(40))
+    rows = [(i, text(name), name) for i, name in enumerate([*words, *list(words)[:40] * 2])]
+    model = ppm.learn(docs(rows))
+    assert model.languages == sorted(words)
+    tried = docs([(i, text(name), name) for i, name in enumerate(words)])
+    assert all(r.lang_pred == r.lang for r in ppm.with_language(tried, model).collect())
+
+
 def test_counts_added_up_in_parts(docs, rng, monkeypatch):
     df = docs([(i, invented(rng, "xx", 20) + " ж", "xx") for i in range(40)])
     whole = ppm.learn(df)
