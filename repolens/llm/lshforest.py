@@ -158,11 +158,17 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").where(link).select("a", "b")
 
 
+def _shared(members: DataFrame) -> DataFrame:
+    """``region, node, total, top`` of the regions with more than one set; most have one only, and their rows
+    are moved no further."""
+    many = members.groupBy("region").agg(F.count("*").alias("total"), F.min("node").alias("top")).where("total > 1")
+    return stored(members.join(stored(many, "many"), "region"), "members")
+
+
 def _first_neighbours(members: DataFrame) -> DataFrame:
     """``a, b``: in each region, sets with the first of about ``FIRST`` of them, and these with the first of all."""
-    many = members.groupBy("region").agg(F.count("*").alias("total"), F.min("node").alias("top")).where("total > 1")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / FIRST))
-    dealt = members.join(many, "region").select("region", "top", "node", part.alias("part"))
+    dealt = members.select("region", "top", "node", part.alias("part"))
     heads = dealt.groupBy("region", "part").agg(F.min("node").alias("head"), F.first("top").alias("top"))
     near = dealt.join(heads.select("region", "part", "head"), ["region", "part"]).select(F.col("head").alias("a"), F.col("node").alias("b"))
     return near.unionByName(heads.select(F.col("top").alias("a"), F.col("head").alias("b"))).where("a < b").distinct()
@@ -175,7 +181,7 @@ def _crossing(members: DataFrame, known: DataFrame, nodes: DataFrame, crowd: int
     Sets outside the region's largest component meet all others, so the comparisons are at most twice the
     pairs that cross components.
     """
-    placed = members.join(known, "node")
+    placed = members.select("region", "node").join(known, "node")
     shares = placed.groupBy("region", "root").agg(F.count("*").alias("c"))
     regions = shares.groupBy("region").agg(F.sum("c").alias("total"), F.sum(F.col("c") * F.col("c")).alias("square"), F.max(F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
     crowded = F.lit(False) if crowd is None else (F.col("total") * F.col("total") - F.col("square")) > 2 * crowd * F.col("total")
@@ -214,7 +220,7 @@ def similar_groups(
     members = nodes.select(F.explode("regions").alias("region"), "node")
     links = None
     for depth in DEPTHS:
-        members = stored(members, "members")
+        members = _shared(members)
         # One neighbour each is enough to tell most of a group of near copies.
         first = stored(_nearest(_first_neighbours(members), nodes, percent), "neighbours")
         found = _confirmed(first, sets, percent)
@@ -227,7 +233,7 @@ def similar_groups(
         if depth == DEPTHS[-1] or crowded.isEmpty():
             break
         deeper = DEPTHS[DEPTHS.index(depth) + 1]
-        members = _deeper(sets.join(crowded, "node", "left_semi"), orders_for(deeper, percent), deeper)
+        members = stored(_deeper(sets.join(crowded, "node", "left_semi"), orders_for(deeper, percent), deeper), "deeper")
     roots = components(links)
     grouped = owners.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
