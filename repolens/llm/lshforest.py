@@ -144,7 +144,9 @@ def _side(nodes: DataFrame, x: str) -> DataFrame:
 
 def _nearest(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Of ``a, b``, one pair the bounds leave for each b: that of the most similar sketches."""
-    left = pairs.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b").where(_near(percent))
+    pairs = stored(pairs, "first")
+    ends = stored(nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "node", "left_semi"), "ends")
+    left = pairs.join(_side(ends, "a"), "a").join(_side(ends, "b"), "b").where(_near(percent))
     return left.groupBy("b").agg(F.min(F.struct(_apart().alias("apart"), "a"))["a"].alias("a"))
 
 
@@ -152,7 +154,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of ``a, b``, the pairs whose full sets are similar enough. Only the sets in question are moved."""
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     needed = stored(sets.select("node", "n", "hashes").join(stored(ids, "ids"), "node", "left_semi"), "needed")
-    side = lambda x: needed.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("hashes").alias(f"h_{x}"))
+    ends = lambda x: needed.join(pairs.select(F.col(x).alias("node")), "node", "left_semi")
+    side = lambda x: ends(x).select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("hashes").alias(f"h_{x}"))
     both = F.size(F.array_intersect("h_a", "h_b")).cast("long")
     link = 100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)
     return pairs.join(side("b"), "b").join(side("a"), "a").where(link).select("a", "b")
