@@ -25,24 +25,19 @@ def list_issues(
 def list_issues_for(issues: DataFrame, requests: DataFrame) -> DataFrame:
     """:func:`list_issues` for many requests ``(request_id, repo_id, severity, category, file_path)``.
 
-    Null or empty fields of a request filter nothing. A request is one key: its repository, which fields
-    it asks for, and their values. An issue has the eight keys it can be asked by, so the join pairs no
-    request with an issue it does not want.
+    Null or empty fields of a request filter nothing. A request is one key: its repository, and the file or that it
+    asks for none. An issue has the two keys it can be asked by, so each is moved twice; severity and category, which
+    have few values, are compared where a request and an issue of its key meet.
     """
-    fields = ("severity", "category", "file_path")
-    asks = [F.coalesce(f, F.lit("")) != "" for f in fields]
-    mask = sum((F.when(a, 1 << i).otherwise(0) for i, a in enumerate(asks)), F.lit(0))
-    side = requests.select(
-        "request_id", F.col("repo_id").alias("_repo"), mask.alias("_asked"),
-        *[F.when(a, F.col(f)).alias(f"_{f}") for f, a in zip(fields, asks)],
-    )
-    keys = F.explode(F.array(*[
-        F.struct(F.lit(m).alias("m"), *[(F.col(f) if m >> i & 1 else F.lit(None).cast("string")).alias(f) for i, f in enumerate(fields)])
-        for m in range(8)
-    ]))
-    same = [F.col("_key.m") == F.col("_asked"), *[F.col(f"_key.{f}").eqNullSafe(F.col(f"_{f}")) for f in fields]]
-    rows = issues.withColumn("_key", keys).join(side, [F.col("repo_id") == F.col("_repo"), *same])
-    return rows.select("request_id", *issues.columns)
+    asks = {f: F.coalesce(f, F.lit("")) != "" for f in ("severity", "category", "file_path")}
+    side = requests.select("request_id", F.col("repo_id").alias("_repo"), *[F.when(a, F.col(f)).alias(f"_{f}") for f, a in asks.items()])
+    side = side.withColumn("_asked", F.col("_file_path").isNotNull())
+    # The first key, a null, is that of requests for any file.
+    keys = F.array(F.lit(None).cast("string"), "file_path")
+    rows = issues.select("*", F.posexplode(keys).alias("_by", "_key"))
+    same = [F.col("repo_id") == F.col("_repo"), (F.col("_by") == 1) == F.col("_asked"), F.col("_key").eqNullSafe(F.col("_file_path"))]
+    fits = [F.col(f"_{f}").isNull() | (F.col(f) == F.col(f"_{f}")) for f in ("severity", "category")]
+    return rows.join(side, [*same, *fits]).select("request_id", *issues.columns)
 
 
 def get(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -79,12 +74,17 @@ def issues_sorted(issues: DataFrame, ranked: bool = False) -> DataFrame:
     return ordinal(issues, ["repo_id"], [first, "detected_at", "issue_id"], "position")
 
 
+def progress_pct() -> Column:
+    """The percentage of issue ``position`` of ``total``."""
+    return (60 + F.floor((F.col("position") - 1) / F.col("total") * 30)).cast("int")
+
+
 def issue_progress(issues: DataFrame, order: list | None = None) -> DataFrame:
     """Adds ``position`` (from 1), ``total`` and ``pct``: analysing issue i of n is at 60 + i/n of 30."""
     placed = ordinal(issues, ["repo_id"], order or ["detected_at", "issue_id"], "position")
     totals = issues.groupBy("repo_id").agg(F.count("*").alias("total"))
     rows = placed.join(totals, "repo_id")
-    return rows.withColumn("pct", (60 + F.floor((F.col("position") - 1) / F.col("total") * 30)).cast("int"))
+    return rows.withColumn("pct", progress_pct())
 
 
 def _gate(df: DataFrame, reason: Column) -> DataFrame:

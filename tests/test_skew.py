@@ -91,6 +91,19 @@ def test_requests_meet_hot_repositories(spark):
     assert one.count() == 100
 
 
+def test_issues_are_moved_twice_for_requests(spark):
+    """All filters, nulls and empty texts on both sides, repeated rows; an issue has two keys at most."""
+    texts = [None, "", "a", "b"]
+    every = [(s, c, f) for s in texts for c in texts for f in texts]
+    issues = [(f"i{k}", r, *x) for r in ("r", "s", None) for k, x in enumerate([*every, *every[:5]])]
+    requests = [(f"q{k}", r, *x) for r in ("r", "t", None) for k, x in enumerate([*every, *every[:5]])]
+    fields = "repo_id string, severity string, category string, file_path string"
+    found = I.list_issues_for(spark.createDataFrame(issues, f"issue_id string, {fields}"), spark.createDataFrame(requests, f"request_id string, {fields}"))
+    expected = [(q[0], *i) for q in requests for i in issues if q[1] is not None and q[1] == i[1] and all(not a or a == x for a, x in zip(q[2:], i[2:]))]
+    assert as_set(found) == sorted(expected, key=repr)
+    assert "posexplode(array(cast(null as string), file_path" in found._jdf.queryExecution().analyzed().toString()
+
+
 def test_moves_of_a_hot_entity(spark):
     log = spark.range(400).select(
         F.when(F.col("id") < 200, "j").otherwise(F.concat(F.lit("j"), F.col("id") % 10)).alias("job_id"),
