@@ -5,12 +5,14 @@ letters); a window that is shorter under the toxic dictionary by enough speaks f
 documents are mostly ordinary prose, so the toxic dictionary is trained on what they say more often: words
 whose beginnings stand often in toxic documents and hardly ever in ordinary ones. Places of toxic documents
 with the same words around them count once, as copies of a passage repeat what it says; a fixed phrase
-stands among other words each time. How much shorter is enough is calibrated on labelled documents: a
-logistic regression over the counts of windows at each threshold.
+stands among other words each time. How much shorter is enough is calibrated on the whole texts of labelled
+documents: a logistic regression over the counts of windows at each threshold. Every window of a text is
+compressed with both, when calibrating as when scoring.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from repolens.llm.common import blocks, stored, text_bytes
 
-#: Labelled documents of each kind to learn from, and bytes of a document that train at most, in passages drawn
-#: from its whole text.
+#: Labelled documents of each kind to learn from, and bytes of a document that train dictionaries at most, in passages
+#: drawn from its whole text.
 SAMPLE, SAMPLE_BYTES, PASSAGE = 3000, 1 << 16, 1 << 11
 #: Bytes of the ordinary dictionary, and of the toxic one at least: that one has room for a sample of each of its words.
 DICTIONARY_BYTES = 112640
@@ -128,10 +130,7 @@ class Distances:
 
     def candidates(self, block: bytes) -> Iterator[bytes]:
         """Words that share four letters in a row with the toxic dictionary which the ordinary one lacks,
-        and the toxic words of fewer letters.
-
-        The others are no shorter under the toxic dictionary by a match of their own; they never count,
-        neither when thresholds are calibrated nor when texts are scored.
+        and the toxic words of fewer letters: those a match of their own makes shorter. Scores are of all windows.
         """
         low = block.lower()
         if self._short:
@@ -166,7 +165,8 @@ class Distances:
         size = 0
         for block in blocks(text):
             size += len(block)
-            counts.update(map(self.of, self.candidates(block)))
+            for word, n in Counter(_WORD.findall(block.lower())).items():
+                counts[self.of(word)] += n
         passing = np.array([
             sum(n for (ordinary, toxic), n in counts.items() if ordinary - toxic >= gain and toxic <= most)
             for gain in GAINS for most in MOST
@@ -223,14 +223,19 @@ def _regress(x: np.ndarray, y: np.ndarray, steps: int = 3000, rate: float = 0.05
     return w, float(b)
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
-    """Dictionaries and thresholds from the texts of each kind; repeated texts count once."""
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes, tuple[bytes, ...]]:
+    """The toxic and the ordinary dictionary, and the toxic words of few letters; repeated texts count once."""
     toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
     words = toxic_words(toxic, ordinary)
-    short = tuple(sorted({w for w in words if len(w) < _GRAM}))
     apart = set(words)  # their few places in ordinary texts do not make them ordinary words
     plain = [w for w in ordinary_words(ordinary, ORDINARY_WORDS) if w not in apart]
-    bad, good = _train_whole(words), _train(DICTIONARY_BYTES, plain)
+    return _train_whole(words), _train(DICTIONARY_BYTES, plain), tuple(sorted({w for w in words if len(w) < _GRAM}))
+
+
+def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
+    """Dictionaries and thresholds from the texts of each kind; repeated texts count once."""
+    bad, good, short = dictionaries(toxic, ordinary)
+    toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
     distances = Distances(bad, good, short)
     x = np.stack([distances.features(t) for t in toxic + ordinary])
     weights, bias = _regress(x, np.array([1.0] * len(toxic) + [0.0] * len(ordinary)))
@@ -256,10 +261,11 @@ def passages(text: bytes, most: int) -> bytes:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE,
           sample_bytes: int = SAMPLE_BYTES, text: str = "text", doc_id: str = "doc_id") -> Model | float:
-    """The model of at most ``sample`` labelled documents of each kind, drawn by hash of their ids; of longer
-    ones than ``sample_bytes``, about so many bytes of passages from the whole text. With labels of one kind only, or none, a number: the
+    """The model of at most ``sample`` labelled documents of each kind, drawn by hash of their ids. Dictionaries are
+    trained, of longer ones than ``sample_bytes``, on about so many bytes of passages from the whole text; thresholds
+    are calibrated by tasks on every window of the whole texts. With labels of one kind only, or none, a number: the
     share of ones, or 0. Labels other than 0 and 1 and null ids are not used; of documents that repeat an
-    id, each has its label."""
+    id, each has its label; repeated texts count once."""
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).alias("y")).where("y in (0, 1) and id is not null").distinct()
     drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
     drawn = stored(drawn[0].unionByName(drawn[1]), "drawn")
@@ -270,11 +276,28 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
             parts = [passages(x, sample_bytes) for x in text_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary())], ["y", "t"])
 
-    got = texts.select(F.col("y").cast("int").alias("y"), "text").mapInArrow(cut, "y int, t binary").toArrow()
+    texts = texts.select(F.col("y").cast("int").alias("y"), "text")
+    got = texts.mapInArrow(cut, "y int, t binary").toArrow()
     toxic, ordinary = (sorted(t for t, kind in zip(got["t"].to_pylist(), got["y"].to_pylist(), strict=True) if kind == y) for y in (1, 0))
     if not toxic or not ordinary:
         return 1.0 if toxic else 0.0
-    return fit(toxic, ordinary)
+    trained = dictionaries(toxic, ordinary)
+    shared = docs.sparkSession.sparkContext.broadcast(trained)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distances = None
+        for batch in batches:
+            distances = distances or Distances(*shared.value)
+            rows = [(hashlib.sha256(x).digest(), distances.features(x).tolist()) for x in text_bytes(batch.column(1))]
+            columns = [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["y", "h", "x"])
+
+    # The sample may lie in a few files only, so its texts are dealt anew.
+    spread = texts.repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    got = spread.mapInArrow(measure, "y int, h binary, x array<double>").toArrow().to_pydict()
+    seen = {(1 - y, h): x for y, h, x in zip(got["y"], got["h"], got["x"], strict=True)}
+    weights, bias = _regress(np.array([seen[k] for k in sorted(seen)]), np.array([1.0 - k[0] for k in sorted(seen)]))
+    return Model(trained[0], trained[1], weights, bias, trained[2])
 
 
 def with_toxicity(docs: DataFrame, model: Model | float, text: str = "text", name: str = "score") -> DataFrame:

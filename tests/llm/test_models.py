@@ -307,3 +307,23 @@ def test_ordinary_words_are_of_all_texts(rng, monkeypatch):
     monkeypatch.setattr(toxicity, "ORDINARY_WORDS", 3000)
     model = toxicity.fit([b"nitwit " * 5], texts)
     assert "éclair".encode() in model.ordinary
+
+
+def test_every_window_is_looked_at():
+    """Also windows without letters in a row that only the toxic dictionary has."""
+    d = toxicity.Distances(toxicity.LEAD + b"nitwit numbskull ", toxicity.LEAD + b"ordinary words ")
+    d.features("An odd nit, twice: Odd ordinary numbskulls élan x9y".encode() * 2)
+    assert set(d._known) == set("an odd nit twice ordinary numbskulls élan x y yan".encode().split())
+
+
+def test_thresholds_are_of_whole_texts(spark, docs, rng, monkeypatch):
+    """Documents train dictionaries by passages; every one of their windows is counted for the thresholds."""
+    rows = [(i, prose(rng, 3000) + (" nitwit" * 20 if i % 4 == 0 else "")) for i in range(40)]
+    rows.append((40, rows[1][1]))  # counts once
+    labels = spark.createDataFrame([(i, int(i % 4 == 0 and i < 40)) for i, _ in rows], "doc_id long, toxic int")
+    seen, regress = [], toxicity._regress
+    monkeypatch.setattr(toxicity, "_regress", lambda x, y: (seen.append((x, y)), regress(x, y, steps=10))[1])
+    model = toxicity.learn(docs(rows), labels, sample_bytes=6000)
+    distances = toxicity.Distances(model.toxic, model.ordinary, model.short)
+    (x, y), = seen
+    assert sorted(map(tuple, x)) == sorted(tuple(distances.features(t.encode())) for _, t in rows[:40]) and sum(y) == 10
