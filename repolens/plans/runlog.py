@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from repolens import schemas
 from repolens.operators import health as H
-from repolens.operators.issues import issue_progress
+from repolens.operators.issues import progress_pct
+from repolens.operators.skew import ordinal
+from repolens.session import materialize
 
 # Steps of a run with their percentages.
 STARTING, PYTHON_SCAN, MISSING_TESTS, SCRIPT_SCAN, DEDUP, CAUSES, SCORING = 5, 15, 35, 45, 55, 60, 92
@@ -40,14 +42,15 @@ def run_events(runs: DataFrame, issues: DataFrame, order: list | None = None, st
     part that finds root causes.
 
     Every event of an issue is a projection of its row with its position, so a repository of any size is split as
-    positions are; per run only the events around them are made.
+    positions are; per run only the events around them are made. The numbers of the runs, a narrow row each, are
+    written first, so that a task which makes events of issues sorts its issues and those rows only.
     """
     stack = F.coalesce("tech_stack", F.lit("unknown"))
     totals = issues.groupBy("repo_id").agg(F.count("*").alias("_total"))
     python, script = stack.isin(PYTHON_STACKS).cast("int"), stack.isin(SCRIPT_STACKS).cast("int")
     head = (F.lit(3) + 2 * python + script).alias("_head")
     known = runs.select("repo_id", python.alias("_py"), script.alias("_js"), F.coalesce("raw", F.lit(0)).alias("_raw"), head)
-    whole = known.join(totals, "repo_id", "left").fillna(0, ["_total"])
+    whole = materialize(known.join(totals, "repo_id", "left").fillna(0, ["_total"]), "runs")
     at, n, py = F.col("_head"), F.col("_total"), F.col("_py")
     end = at + 2 * n
     around = F.array(
@@ -61,7 +64,8 @@ def run_events(runs: DataFrame, issues: DataFrame, order: list | None = None, st
         _event(end + 2, "done", total=n),
     )
     fixed = whole.select("repo_id", F.inline(F.filter(around, lambda e: e.isNotNull())))
-    placed = issue_progress(issues, order).join(known.select("repo_id", "_head"), "repo_id")
+    placed = ordinal(issues, ["repo_id"], order or ["detected_at", "issue_id"], "position").select("repo_id", "issue_id", *_ISSUE, "position")
+    placed = placed.join(whole.select("repo_id", "_head", F.col("_total").alias("total")), "repo_id").withColumn("pct", progress_pct())
     row = lambda i: at + 2 * F.col("position") - i
     told = F.format_string(f"{helper.replace('%', '%%')} analyzing issue %d/%d: %s", "position", "total", F.coalesce("title", F.lit("")))
     issue = F.struct(F.col("issue_id").alias("id"), *_ISSUE)

@@ -34,3 +34,11 @@ def test_scores_are_kept(spark):
     issues = spark.createDataFrame([("a", "critical"), ("a", "low"), ("a", "odd"), ("x", "low")], "repo_id string, severity string")
     rows = runlog.score_repositories(repos, issues).select("repo_id", "health_score_before", "health_score_after").collect()
     assert sorted(map(tuple, rows)) == [("a", 77, None), ("b", 100, None)]
+
+
+def test_events_of_issues_are_one_join(spark):
+    """A task that makes events of issues counts nothing again: issues meet the written rows of their runs."""
+    issues = spark.createDataFrame([("i", "a", "low", "bug", "T", "f", 1)], "issue_id string, repo_id string, severity string, category string, title string, file_path string, line_number int")
+    runs = spark.createDataFrame([("a", "go", 1)], "repo_id string, tech_stack string, raw long")
+    plan = runlog.run_events(runs, issues, order=["issue_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan
