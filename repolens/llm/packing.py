@@ -13,11 +13,11 @@ import os
 import re
 import sys
 import types
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -30,63 +30,139 @@ GROUP_TOKENS = 1 << 20
 LINEAR, QUADRATIC = 2048.0, 1.0
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words, and parts of words, whose ids a Python worker remembers in each of two generations.
-KNOWN_WORDS, KNOWN_PARTS = 150_000, 150_000
-#: Bytes of text whose new words are learnt in one call.
-LEARN_BYTES = 1 << 21
-
+#: Words that are looked up together, and parts of words whose ids a Python worker remembers in each of two generations.
+MET_WORDS, KNOWN_PARTS = 1 << 20, 150_000
+#: Bytes of text whose new words are learnt in one call, and plain words that are encoded as one text.
+LEARN_BYTES, JOINED_WORDS = 1 << 23, 1024
 
 # A word that ends in a letter and then marks: the pre-tokenizer always parts them there. The apostrophe is
-# no such mark, as it starts contractions. Two-byte letters are those from U+00C0 to U+00FF.
-_MARKS = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+# no such mark, as it starts contractions.
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+# Two-byte letters are those from U+00C0 to U+00FF. A word of such letters is one pre-token.
+_LATIN = np.isin(np.arange(256), [*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)])
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+# Special tokens are matched before anything else, and case changes what combining marks (lead bytes CC and
+# CD) compose to: such words stay as they are.
+_ODD = rb"<\||\xcc|\xcd"
+#: How the vocabulary marks the last token of a word.
+_WORD_END = "</w>"
+
+
+def _runs(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` with these starts and lengths, one behind the other."""
+    ends = np.cumsum(lengths)
+    at = np.arange(ends[-1] if len(ends) else 0)
+    at += np.repeat(starts - ends + lengths, lengths)
+    return values[at]
+
+
+def _texts(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Texts from their bytes, one behind the other."""
+    offsets = np.append(0, np.cumsum(lengths)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer that lower-cases and whose words never span white space, so that words,
-    and their parts before and after the last letter, can be remembered."""
+    """Ids of texts by a tokenizer that lower-cases and whose words never span white space. Each different word
+    of some megabytes of text is looked at once, in columns; its parts before and after the last letter are
+    remembered."""
 
-    def __init__(self, path: str, words: int = KNOWN_WORDS, parts: int = KNOWN_PARTS):
+    def __init__(self, path: str, words: int = MET_WORDS, parts: int = KNOWN_PARTS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known, self._parts = _Memory(), _Memory()
-        self._most = words, parts
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[at for token, at in vocabulary.items() if token.endswith(_WORD_END)]] = True
+        self._parts = _Memory()
+        self._words, self._most = words, parts
 
     @staticmethod
-    def _split(word: bytes) -> tuple[bytes, ...]:
-        """Parts with the ids of the word. Special tokens are matched before anything else, and case changes
-        what combining marks (lead bytes CC and CD) compose to: such words stay as they are."""
-        if b"<|" in word or b"\xcc" in word or b"\xcd" in word:
-            return (word,)
-        low = word.lower()
-        if low.isalnum():
-            return (low,)
-        parted = _MARKS.fullmatch(low)
-        return parted.groups() if parted else (low,)
-
-    def _learn(self, words: list[bytes]) -> None:
-        split, known = list(map(self._split, words)), self._parts
-        new = list({p for parts in split for p in parts}.difference(known, known.old))
-        for at in range(0, len(new), 16384):
-            part = new[at : at + 16384]
-            encoded = self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            known.update(zip(part, [array("I", e.ids).tobytes() for e in encoded], strict=True))
-        self._known.update((w, known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]]) for w, p in zip(words, split, strict=True))
+    def _split(words: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
+        """Parts with the ids of each word: the first ones, whether there is a second, and the second ones."""
+        odd = pc.match_substring_regex(words.view(pa.large_binary()), pattern=_ODD)
+        low = pc.if_else(odd, words, pc.ascii_lower(words))
+        head = pc.ascii_rtrim(low, characters=_MARKS)
+        sizes, heads = (pc.binary_length(x).to_numpy() for x in (low, head))
+        data = np.frombuffer(low.buffers()[2] or b"", np.uint8)
+        starts = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low)]
+        two = np.flatnonzero((heads > 0) & (sizes > heads) & ~odd.to_numpy(zero_copy_only=False))
+        last = starts[two] + heads[two] - 1
+        wide = (heads[two] > 1) & (data[last - 1] == 0xC3) & _LATIN[data[last]]
+        two = two[wide | (data[last] >= ord("a")) & (data[last] <= ord("z"))]
+        parted = np.zeros(len(low), bool)
+        parted[two] = True
+        marks = sizes[two] - heads[two]
+        return pc.if_else(pa.array(parted), head, low), parted, _texts(_runs(data, starts[two] + heads[two], marks), marks)
+
+    def _learn(self, parts: list[bytes]) -> None:
+        known = self._parts
+        new = [p for p in parts if p not in known and p not in known.old]
+        plain = [p for p in new if p.isalpha() or _LETTERS.fullmatch(p)]
+        others = list(set(new).difference(plain))
+        joined = [plain[at : at + JOINED_WORDS] for at in range(0, len(plain), JOINED_WORDS)]
+        for some, ids in zip(joined, self._encoded([b" ".join(j) for j in joined]), strict=True):
+            ends = ((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()
+            if len(ends) == len(some):
+                raw = ids.tobytes()
+                known.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+            else:
+                others += some
+        known.update(zip(others, (ids.tobytes() for ids in self._encoded(others)), strict=True))
+
+    def _encoded(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        for at in range(0, len(texts), 16384):
+            some = [t.decode("utf-8", "replace") for t in texts[at : at + 16384]]
+            yield from (np.array(e.ids, "<u4") for e in self._tokenizer.encode_batch_fast(some, add_special_tokens=False))
+
+    def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, one behind the other, and how many each has."""
+        met = words.dictionary_encode()
+        first, parted, second = self._split(met.dictionary)
+        parts = pa.concat_arrays([first, second]).dictionary_encode()
+        names = parts.dictionary.view(pa.large_binary()).to_pylist()
+        self._learn(names)
+        found = [self._parts[p] for p in names]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at, n = parts.indices.to_numpy(), len(first)
+        in_order = np.insert(at[:n], np.flatnonzero(parted) + 1, at[n:])
+        values = _runs(np.frombuffer(b"".join(found), "<u4"), (np.cumsum(sizes) - sizes)[in_order], sizes[in_order])
+        counts = sizes[at[:n]]
+        counts[parted] += sizes[at[n:]]
+        each = met.indices.to_numpy()
+        return _runs(values, (np.cumsum(counts) - counts)[each], counts[each]), counts[each]
 
     def ids(self, text: bytes) -> np.ndarray:
         return self.ids_of([text])[0]
 
     def ids_of(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of each text; the words of all of them that are new are learnt together."""
-        for known, most in zip((self._known, self._parts), self._most, strict=True):
-            if len(known) > most:
-                known.age()
-        cut = [[block.split() for block in blocks(text)] for text in texts]
-        words = set().union(*(words for parts in cut for words in parts))
-        self._learn(list(words.difference(self._known, self._known.old)))
-        look = self._known.__getitem__
-        return [np.frombuffer(b"".join([b"".join(map(look, words)) for words in parts]), "<u4") for parts in cut]
+        """The ids of each text; the words of about ``LEARN_BYTES`` of them that are new are learnt together."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held, size = [], 0
+        for at, block in ((at, block) for at, text in enumerate(texts) for block in blocks(text)):
+            held.append((at, block))
+            size += len(block)
+            if size >= LEARN_BYTES:
+                self._add(held, out)
+                held, size = [], 0
+        self._add(held, out)
+        return [np.concatenate(ids) if ids else np.zeros(0, "<u4") for ids in out]
+
+    def _add(self, held: list[tuple[int, bytes]], out: list[list[np.ndarray]]) -> None:
+        if not held:
+            return
+        split = pc.ascii_split_whitespace(pa.array([b for _, b in held], pa.large_binary()).view(pa.large_string()))
+        words = split.flatten()
+        found = []
+        for at in range(0, len(words), self._words):
+            if len(self._parts) > self._most:
+                self._parts.age()
+            found.append(self._ids(words.slice(at, self._words)))
+        ids, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+        ends = np.append(0, np.cumsum(counts))[split.offsets.to_numpy()]
+        for (at, _), start, end in zip(held, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out[at].append(ids[start:end])
 
 
 class _Memory(dict):

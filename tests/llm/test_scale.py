@@ -116,6 +116,29 @@ def test_words_can_be_remembered(rng):
         assert own.ids(text.encode()).tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_new_words_are_encoded_together(rng):
+    """Plain words of a text go to the tokenizer many at a time, and each word has the ids it has alone."""
+    path = public_tokenizers.path(packing.TOKENIZER)
+    plain, own = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    calls = []
+
+    class Spy:
+        def encode_batch_fast(self, texts, **more):
+            calls.extend(texts)
+            return plain.encode_batch_fast(texts, **more)
+
+    own._tokenizer = Spy()
+    words = ["".join(rng.choice("abcdeéßÄOU") for _ in range(rng.randint(4, 9))) + rng.choice(["", "", ".", ",", "!?"]) for _ in range(20_000)]
+    texts = [" ".join(words[at : at + 500]) for at in range(0, len(words), 500)]
+    got = own.ids_of([t.encode() for t in texts])
+    assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) < 100
+    # Where the ends of words cannot be told, each word is encoded alone.
+    other = packing.WordTokenizer(path)
+    other._ends[:] = False
+    assert other.ids(texts[0].encode()).tolist() == got[0].tolist()
+
+
 @pytest.mark.parametrize("group_tokens", [1 << 20, 3000])
 def test_packed(spark, docs, rng, group_tokens):
     path = public_tokenizers.path(packing.TOKENIZER)
