@@ -33,6 +33,8 @@ DEPTHS, MISS = (2, 4, 8), 1e-6
 #: Comparisons of a region per set in it, from which it is cut deeper; sets that share a first neighbour.
 CROWD, FIRST = 256, 1024
 SKETCH = 16
+#: A bitmap has room for 2^15 node ids, those that are alike but for so many last bits.
+_BITS = 15
 #: Documents a task looks at, shingles it hands on at once, and sets whose copies it remembers.
 _SLICE, _CHUNK, _KNOWN = 256, 1 << 18, 50_000
 _NODE = "row long, doc_id {id}, n long, key binary, hashes array<long>, sketch array<long>, regions array<long>"
@@ -142,18 +144,31 @@ def _side(nodes: DataFrame, x: str) -> DataFrame:
     return nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
 
 
+def _only(table: DataFrame, picked: DataFrame) -> DataFrame:
+    """The rows of ``table`` with a ``node`` of ``picked``, where they lie. Ids count the rows of a task, so a bitmap of
+    them takes about a bit for each document; it is sent to all, and the wide rows are not moved."""
+    of, bit = F.shiftright("node", _BITS), F.col("node").bitwiseAND((1 << _BITS) - 1)
+    maps = picked.groupBy(of.alias("_of")).agg(F.bitmap_construct_agg(bit).alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    met = table.join(F.broadcast(maps), of == F.col("_of"))
+    return met.where(F.getbit(byte, bit % 8) == 1).select(*table.columns)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+
+
 def _nearest(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Of ``a, b``, one pair the bounds leave for each b: that of the most similar sketches."""
     pairs = stored(pairs, "first")
-    ends = stored(nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "node", "left_semi"), "ends")
+    ends = stored(_only(nodes.select("node", "n", "sketch"), _ends(pairs)), "ends")
     left = pairs.join(_side(ends, "a"), "a").join(_side(ends, "b"), "b").where(_near(percent))
     return left.groupBy("b").agg(F.min(F.struct(_apart().alias("apart"), "a"))["a"].alias("a"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of ``a, b``, the pairs whose full sets are similar enough. Only the sets in question are moved."""
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    needed = stored(sets.select("node", "n", "hashes").join(stored(ids, "ids"), "node", "left_semi"), "needed")
+    needed = stored(_only(sets.select("node", "n", "hashes"), _ends(pairs)), "needed")
     ends = lambda x: needed.join(pairs.select(F.col(x).alias("node")), "node", "left_semi")
     side = lambda x: ends(x).select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("hashes").alias(f"h_{x}"))
     both = F.size(F.array_intersect("h_a", "h_b")).cast("long")
@@ -177,20 +192,20 @@ def _first_neighbours(members: DataFrame) -> DataFrame:
     return near.unionByName(heads.select(F.col("top").alias("a"), F.col("head").alias("b"))).where("a < b").distinct()
 
 
-def _crossing(members: DataFrame, known: DataFrame, nodes: DataFrame, crowd: int | None, percent: int) -> tuple[DataFrame, DataFrame]:
+def _crossing(members: DataFrame, roots: DataFrame, nodes: DataFrame, crowd: int | None, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of a region's sets in different components that the bounds leave, and ``node`` of those in regions
     too crowded for it.
 
     Sets outside the region's largest component meet all others, so the comparisons are at most twice the
     pairs that cross components.
     """
-    placed = members.select("region", "node").join(known, "node")
+    placed = members.select("region", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     shares = placed.groupBy("region", "root").agg(F.count("*").alias("c"))
     regions = shares.groupBy("region").agg(F.sum("c").alias("total"), F.sum(F.col("c") * F.col("c")).alias("square"), F.max(F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
     crowded = F.lit(False) if crowd is None else (F.col("total") * F.col("total") - F.col("square")) > 2 * crowd * F.col("total")
     open_ = stored(placed.join(regions.select("region", F.col("main.root").alias("main"), crowded.alias("crowded")), "region"), "open")
     fit = open_.where("not crowded")
-    ends = stored(nodes.join(fit.select("node").distinct(), "node", "left_semi"), "ends")
+    ends = stored(_only(nodes.select("node", "n", "sketch"), fit.select("node")), "ends")
     others = fit.where("root <> main").select("region", F.col("node").alias("b"), F.col("root").alias("root_b")).join(_side(ends, "b"), "b")
     every = fit.select("region", F.col("node").alias("a"), "root").join(_side(ends, "a"), "a")
     met = every.join(others, "region").where((F.col("root") != F.col("root_b")) & _near(percent))
@@ -219,7 +234,7 @@ def similar_groups(
     owners = stored(owners, "owners")
     # Several tasks may have the same set; only one of its rows is a node, and pairs are pairs of nodes.
     sets = rows.where("sketch is not null").withColumnRenamed("row", "node")
-    nodes = stored(sets.select("node", "n", "sketch", "regions").join(owners.select("node"), "node", "left_semi"), "nodes")
+    nodes = stored(_only(sets.select("node", "n", "sketch", "regions"), owners.select("node")), "nodes")
     members = nodes.select(F.explode("regions").alias("region"), "node")
     links = None
     for depth in DEPTHS:
@@ -227,17 +242,18 @@ def similar_groups(
         # One neighbour each is enough to tell most of a group of near copies.
         first = stored(_nearest(_first_neighbours(members), nodes, percent), "neighbours")
         found = _confirmed(first, sets, percent)
-        links = stored(found if links is None else links.unionByName(found), "links")
-        roots = components(links)
-        known = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-        crossing, crowded = _crossing(members, known, nodes, None if depth == DEPTHS[-1] else crowd, percent)
-        links = stored(links.unionByName(_confirmed(stored(crossing, "crossing"), sets, percent)), "links")
+        roots = components(found if links is None else links.unionByName(found))
+        crossing, crowded = _crossing(members, roots, nodes, None if depth == DEPTHS[-1] else crowd, percent)
+        found = stored(_confirmed(stored(crossing, "crossing"), sets, percent), "links")
+        # What is known of components is a star of each.
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
         crowded = stored(crowded, "crowded")
         if depth == DEPTHS[-1] or crowded.isEmpty():
             break
         deeper = DEPTHS[DEPTHS.index(depth) + 1]
-        members = stored(_deeper(sets.join(crowded, "node", "left_semi"), orders_for(deeper, percent), deeper), "deeper")
-    roots = components(links)
+        members = stored(_deeper(_only(sets, crowded), orders_for(deeper, percent), deeper), "deeper")
+    if not found.isEmpty():
+        roots = components(links)
     grouped = owners.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
     grouped = grouped.join(least, "root").select("key", "component_id")

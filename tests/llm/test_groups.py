@@ -163,6 +163,60 @@ def test_groups_without_rows(docs):
     assert grouped(docs([])) == [] and grouped(docs([(1, None), (2, " ")])) == [(1, 0, 1), (2, 0, 2)]
 
 
+def test_rows_are_picked_where_they_lie(spark, rng):
+    """By ids of several tasks, at the borders of bitmaps too; wide rows cross no shuffle, whatever their size."""
+    ids = sorted({(part << 33) + i for part in range(5) for i in [0, 1, 7, 8, 32767, 32768, 65535, *rng.sample(range(100_000), 40)]})
+    picked = rng.sample(ids, len(ids) // 2) + [(9 << 33) + 5]
+    table = spark.createDataFrame([(i, [i, i + 1]) for i in ids], "node long, hashes array<long>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        only = lshforest._only(table, spark.createDataFrame([(i,) for i in picked + picked], "node long"))
+        assert only.columns == table.columns
+        assert sorted(tuple(r) for r in only.collect()) == [(i, [i, i + 1]) for i in ids if i in set(picked)]
+        assert lshforest._only(table, table.select("node").limit(0)).collect() == []
+        plan = only._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.split("\n") if "hashpartitioning(node" in line]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_forest_moves_no_wide_rows_but_those_confirmed(docs, rng, monkeypatch):
+    """With broadcasts of Spark's choice off, sets and sketches are picked where they lie."""
+    shuffled, kept = [], lshforest.stored
+
+    def watched(df, name):
+        if name in ("nodes", "ends", "needed"):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            shuffled.extend(line for line in plan.split("\n") if "hashpartitioning(node" in line)
+        return kept(df, name)
+
+    monkeypatch.setattr(lshforest, "stored", watched)
+    rows = family(rng)[:80]
+    frame = docs(rows)
+    spark = frame.sparkSession
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert grouped(frame) == brute_groups(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not shuffled
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    """Edges that are stars already need no round; others end as stars on the smallest node."""
+    from repolens.llm import components as module
+
+    rounds, kept = [], module.stored
+    monkeypatch.setattr(module, "stored", lambda df, name: rounds.append(name) or kept(df, name))
+    stars = spark.createDataFrame([(5, 1), (1, 7), (9, 8), (9, 8), (4, 4), (None, 3)], "a long, b long")
+    assert sorted(map(tuple, module.components(stars).collect())) == [(5, 1), (7, 1), (9, 8)]
+    assert rounds == ["edges"]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 40), (41, 50)], "a long, b long")
+    assert sorted(map(tuple, module.components(chain).collect())) == [(i, 0) for i in range(1, 31)] + [(41, 40), (50, 40)]
+
+
 def test_forest_misses_hardly_a_pair_at_the_threshold():
     gen = np.random.default_rng(1)
     for depth in lshforest.DEPTHS:
