@@ -33,7 +33,9 @@ TOKENIZER = "word_bpe_49k.json"
 #: Words that are looked up together, and parts of words whose ids a Python worker remembers in each of two generations.
 MET_WORDS, KNOWN_PARTS = 1 << 20, 150_000
 #: Bytes of text whose new words are learnt in one call, and plain words that are encoded as one text.
-LEARN_BYTES, JOINED_WORDS = 1 << 23, 1024
+LEARN_BYTES, JOINED_WORDS = 1 << 22, 1024
+#: Bytes and texts that are encoded in one call: an encoding is many times larger than its text.
+ENCODED_BYTES, ENCODED_TEXTS = 1 << 18, 1 << 12
 
 # A word that ends in a letter and then marks: the pre-tokenizer always parts them there. The apostrophe is
 # no such mark, as it starts contractions.
@@ -112,9 +114,13 @@ class WordTokenizer:
         known.update(zip(others, (ids.tobytes() for ids in self._encoded(others)), strict=True))
 
     def _encoded(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        for at in range(0, len(texts), 16384):
-            some = [t.decode("utf-8", "replace") for t in texts[at : at + 16384]]
-            yield from (np.array(e.ids, "<u4") for e in self._tokenizer.encode_batch_fast(some, add_special_tokens=False))
+        some, size = [], 0
+        for at, text in enumerate(texts, 1):
+            some.append(text.decode("utf-8", "replace"))
+            size += len(text)
+            if at == len(texts) or size >= ENCODED_BYTES or len(some) >= ENCODED_TEXTS:
+                yield from [np.array(e.ids, "<u4") for e in self._tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                some, size = [], 0
 
     def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words, one behind the other, and how many each has."""

@@ -256,5 +256,7 @@ def with_language(docs: DataFrame, model: Model | None, text: str = "text", lang
             scores.append(float(1 / np.exp2(np.maximum((bits[best] - bits) / len(content) ** 0.5, -1000)).sum()))
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    found = identify(F.col(text))
+    # What follows may ask for the language in filters, too: the optimizer must not copy the function there, as each
+    # copy scores every text again, in Python workers of its own.
+    found = identify.asNondeterministic()(F.col(text))
     return docs.withColumn(lang, found).withColumns({score: F.col(f"{lang}.score"), lang: F.col(f"{lang}.lang")})

@@ -91,3 +91,10 @@ def test_language_keeps_columns_of_its_own_names(spark, docs, rng):
     got = corpus_pipeline.language(spark, rows, "").collect()
     assert sorted(r.lang_score for r in got) == list(range(40))
     assert {(r.lang, r.lang_pred) for r in got} == {("en", "keep")}
+
+
+def test_language_scores_a_text_once(spark, docs, rng):
+    """The filter on the language and the column share one evaluation: a task has one Python worker."""
+    rows = docs([(i, prose(rng, 50), "en") for i in range(40)])
+    plan = corpus_pipeline.language(spark, rows, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

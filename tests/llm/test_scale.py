@@ -139,6 +139,24 @@ def test_new_words_are_encoded_together(rng):
     assert other.ids(texts[0].encode()).tolist() == got[0].tolist()
 
 
+def test_calls_of_the_tokenizer_are_bounded(rng):
+    """However many new words a text has, the tokenizer gets some of them at a time."""
+    path = public_tokenizers.path(packing.TOKENIZER)
+    plain, own = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    sizes = []
+
+    class Spy:
+        def encode_batch_fast(self, texts, **more):
+            sizes.append((len(texts), sum(len(t.encode()) for t in texts)))
+            return plain.encode_batch_fast(texts, **more)
+
+    own._tokenizer = Spy()
+    words = ["".join(rng.choice("abcde") for _ in range(9)) for _ in range(90_000)] + [f"{i}x{i}" for i in range(9000)]
+    text = " ".join(words)
+    assert own.ids(text.encode()).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(sizes) > 4 and max(n for n, _ in sizes) <= 4096 and max(size for _, size in sizes) < 300_000
+
+
 @pytest.mark.parametrize("group_tokens", [1 << 20, 3000])
 def test_packed(spark, docs, rng, group_tokens):
     path = public_tokenizers.path(packing.TOKENIZER)
